@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import is_absent, key_chars, micros, parse_day, present
-from siltstone.operators import event_time, orphans, unit_conversion
+from siltstone.operators import event_time, load_profile, orphans, unit_conversion
 from siltstone.session import table
 
 
@@ -147,5 +147,45 @@ orphans as (
 P7_FOUND_SQL = f"with {_P7_ORPHANS_SQL} select distinct table_name, row_key from orphans"
 P7_REPORT_SQL = f"with {_P7_ORPHANS_SQL} select table_name, strftime(seen, '%Y-%m') as month, count(*) as orphan_rows, count(distinct k) as missing_keys from orphans group by 1, 2"
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_units": p3_units, "p7_found": p7_found, "p7_report": p7_report}
-SQL = {"p1_found": P1_FOUND_SQL, "p7_found": P7_FOUND_SQL, "p7_report": P7_REPORT_SQL}
+def load_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The profiled cells of both tables that are delivered again and again."""
+    skip = {"row_id", "load_no", "survey_year", "loaded_at"}
+    parts = []
+    for name in ("sb_penguins", "ds_employment_us_aat1"):
+        df = table(spark, sf_dir, name)
+        parts.append(load_profile.cells(df, name, "load_no", [c for c in df.columns if c not in skip]))
+    return parts[0].unionByName(parts[1])
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_profile.departures(load_cells(spark, sf_dir))
+
+
+def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_profile.describe(load_cells(spark, sf_dir)).drop("top_mask")
+
+
+def p5_drift(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = load_profile.drift(load_cells(spark, sf_dir))
+    return scores.select("table_name", "load_no", "column_name", "kind", "rare", F.round("divergence", 6).alias("divergence"), F.round("score", 6).alias("score"))
+
+
+def p5_rare_masks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load_profile.rare_masks(load_cells(spark, sf_dir))
+
+
+_P5_COLUMNS = {
+    "sb_penguins": ["species", "island", "bill_length_mm", "bill_depth_mm", "flipper_length_mm", "body_mass_g", "sex"],
+    "ds_employment_us_aat1": ["population", "labor_force", "population_percent", "employed_total", "employed_percent", "unemployed", "unemployed_percent", "not_in_labor", "footnotes"],
+}
+_TEXTS = {"species", "island", "sex", "footnotes"}
+P5_PROFILE_SQL = " union all ".join(
+    f"select '{t}' as table_name, load_no, '{c}' as column_name, count(*) as n_rows, count(*) - count({c}) as n_null, count(distinct {c}) as n_distinct, "
+    + ("null::double as min_number, null::double as max_number" if c in _TEXTS else f"min({c})::double as min_number, max({c})::double as max_number")
+    + f" from {t} group by load_no"
+    for t, columns in _P5_COLUMNS.items()
+    for c in columns
+)
+
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_units": p3_units, "p5_found": p5_found, "p5_profile": p5_profile, "p5_drift": p5_drift, "p5_rare_masks": p5_rare_masks, "p7_found": p7_found, "p7_report": p7_report}
+SQL = {"p1_found": P1_FOUND_SQL, "p5_profile": P5_PROFILE_SQL, "p7_found": P7_FOUND_SQL, "p7_report": P7_REPORT_SQL}
