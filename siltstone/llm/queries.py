@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from siltstone.llm import groups
+from siltstone.llm import groups, text_stats
 from siltstone.session import table
 
 
@@ -26,5 +27,14 @@ reach(node, root) as (
 select min(root) as group_id, node as mention_id from reach group by node
 """
 
-QUERIES = {"p4_found": p4_found}
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return text_stats.text_quality(table(spark, sf_dir, "documents")).where(F.col("kind") == "not_prose").select("doc_id")
+
+
+def p10_text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measures = text_stats.text_quality(table(spark, sf_dir, "documents"))
+    return measures.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in measures.dtypes])
+
+
+QUERIES = {"p4_found": p4_found, "p10_found": p10_found, "p10_text_quality": p10_text_quality}
 SQL = {"p4_found": P4_FOUND_SQL}
