@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import groups, text_stats
+from siltstone.llm import groups, mixing, packing, text_stats, tokens
 from siltstone.session import table
 
 
@@ -36,5 +36,27 @@ def p10_text_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return measures.select(*[F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in measures.dtypes])
 
 
-QUERIES = {"p4_found": p4_found, "p10_found": p10_found, "p10_text_quality": p10_text_quality}
+def _capacities(spark: SparkSession, sf_dir: str) -> dict[int, int]:
+    """Three rows, fixed."""
+    return {r["pack_id"]: r["capacity_tokens"] for r in table(spark, sf_dir, "pack_sizes").collect()}
+
+
+def p8_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sizes = tokens.with_token_counts(table(spark, sf_dir, "documents").select("doc_id", "text"), "text")
+    return packing.pack(sizes, _capacities(spark, sf_dir), "doc_id")
+
+
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill(p8_containers(spark, sf_dir), _capacities(spark, sf_dir))
+
+
+def p9_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"), table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
+
+
+QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p4_found": p4_found, "p10_found": p10_found, "p10_text_quality": p10_text_quality}
 SQL = {"p4_found": P4_FOUND_SQL}
