@@ -40,3 +40,13 @@ def cut(df: DataFrame) -> DataFrame:
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables of a scale-factor folder."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def cut_counting(df: DataFrame, **counts) -> tuple[DataFrame, dict[str, int]]:
+    """cut(df), and sums of the given columns over it, taken in the same job."""
+    from pyspark.sql import Observation
+    from pyspark.sql import functions as F
+
+    seen = Observation()
+    held = cut(df.observe(seen, *[F.sum(c.cast("long")).alias(k) for k, c in counts.items()]))
+    return held, {k: v or 0 for k, v in seen.get.items()}
