@@ -1,11 +1,14 @@
-"""Session helpers: building a session for tests, checkpoints on the cluster's shared folder."""
+"""Session helpers: building a session for tests, tables cut off from their lineage in the cluster's shared folder."""
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
 
 def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "siltstone") -> SparkSession:
@@ -23,30 +26,53 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "silts
     )
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the folder the cluster names in spark.checkpoint.dir; only where it is unset take a temporary one."""
-    context = spark.sparkContext
-    if context._jsc.sc().getCheckpointDir().isDefined():
-        return
-    context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="siltstone-checkpoint-"))
+_folders: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the shared checkpoint folder, so that a lost executor can't lose it."""
-    ensure_checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+def shared_folder(spark: SparkSession) -> str:
+    """This run's own folder below the one the cluster names in spark.checkpoint.dir; only where that is unset,
+    as in tests, below a temporary one. It is removed when the driver ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _folders:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        held = spark.sparkContext._jsc.sc().getCheckpointDir()
+        base = named or (held.get() if held.isDefined() else tempfile.mkdtemp(prefix="siltstone-"))
+        _folders[app] = f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _folders[app])
+    return _folders[app]
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the Parquet tables of a scale-factor folder."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+    except Exception:  # the session has ended: nothing can be removed through it any more
+        pass
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df written to the shared folder and read again: lineage, statistics and constraints start anew, and the
+    loss of an executor loses nothing."""
+    path = f"{shared_folder(df.sparkSession)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    held = df.sparkSession.read.schema(df.schema).parquet(path)
+    held._held_at = path
+    return held
 
 
 def cut_counting(df: DataFrame, **counts) -> tuple[DataFrame, dict[str, int]]:
     """cut(df), and sums of the given columns over it, taken in the same job."""
-    from pyspark.sql import Observation
-    from pyspark.sql import functions as F
-
     seen = Observation()
     held = cut(df.observe(seen, *[F.sum(c.cast("long")).alias(k) for k, c in counts.items()]))
     return held, {k: v or 0 for k, v in seen.get.items()}
+
+
+def discard(df: DataFrame) -> None:
+    """Remove a table made by cut that no later plan reads."""
+    if path := getattr(df, "_held_at", None):
+        _remove(df.sparkSession, path)
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """One of the Parquet tables of a scale-factor folder."""
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
