@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from siltstone.llm import groups, mixing, packing, text_stats, tokens
+from siltstone.functions.text import fold, is_absent
+from siltstone.llm import groups, mixing, name_variants, packing, text_stats, tokens
 from siltstone.session import table
 
 
@@ -58,5 +59,31 @@ def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.shares(p9_mixture(spark, sf_dir), table(spark, sf_dir, "mix_targets"))
 
 
-QUERIES = {"p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p4_found": p4_found, "p10_found": p10_found, "p10_text_quality": p10_text_quality}
+def registrant_groups(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return name_variants.link_registrants(table(spark, sf_dir, "faa_master"), "reg_key", "registrant_name", "street", "city", "state_code", "zip_code", "county")
+
+
+def described_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """bom_components without a model code: the model that the description means."""
+    rows = table(spark, sf_dir, "bom_components").where(is_absent(F.col("parent_model_code"))).select("bom_id", fold(F.col("parent_description")).alias("name"))
+    models = table(spark, sf_dir, "products").select(fold(F.col("product_name")).alias("name"), F.col("model_code").alias("model"))
+    named = models.groupBy("model").agg(F.min("name").alias("product_name"))
+    return rows.join(name_variants.link_models(rows, models), "name").join(named, "model")
+
+
+def p2_models(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return described_models(spark, sf_dir).select("bom_id", "name", "model").distinct()
+
+
+def p2_registrants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return registrant_groups(spark, sf_dir)
+
+
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pairs = name_variants.variant_pairs(registrant_groups(spark, sf_dir))
+    models = described_models(spark, sf_dir).where("name <> product_name").select(F.lit("bom_components").alias("table_name"), F.col("bom_id").alias("key_a"), F.col("model").alias("key_b"))
+    return pairs.select(F.lit("faa_master").alias("table_name"), "key_a", "key_b").unionByName(models.distinct())
+
+
+QUERIES = {"p2_found": p2_found, "p2_models": p2_models, "p2_registrants": p2_registrants, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p4_found": p4_found, "p10_found": p10_found, "p10_text_quality": p10_text_quality}
 SQL = {"p4_found": P4_FOUND_SQL}
