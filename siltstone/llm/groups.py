@@ -2,7 +2,8 @@
 
 Minimum labels are propagated along edges and chains of labels are shortened by pointer jumping. After each round
 the edges are relabelled: an edge whose ends got the same label is done and dropped, the others are joined with the
-labels of their ends, so edges shrink from round to round until no label changes. Each round is checkpointed.
+labels of their ends, so edges shrink from round to round until no label changes. Each round is written to the shared
+folder.
 
 Every step is a hash aggregation or a join to a side that is unique on its key; hot nodes (hubs) are joined apart.
 """
@@ -13,7 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.skew import MOST_HOT, join_unique
-from siltstone.session import cut
+from siltstone.session import cut_counting, discard
 
 
 def latest_matches(pairs: DataFrame, left: str, right: str, verdict: str, decided_at: str) -> DataFrame:
@@ -29,19 +30,33 @@ def latest_matches(pairs: DataFrame, left: str, right: str, verdict: str, decide
     return last.where("last.match").select("a", "b")
 
 
-def _jump(parents: DataFrame) -> DataFrame:
-    """parents (node, label) with label < node or equal: every label replaced by the root of its chain."""
+def _hot(rows: DataFrame, key: str, total: int) -> list:
+    """Values of key that a fair part of all rows share; none as long as all rows together are few."""
+    limit = max(50_000, total // MOST_HOT)
+    if total <= limit:
+        return []
+    crowd = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n"))
+    return [r[key] for r in crowd.where(F.col("n") > limit).collect()]
+
+
+def _compose(first: DataFrame, second: DataFrame, hot: list) -> DataFrame:
+    """first (node, label) with each label replaced by its label in second, where it has one."""
+    asked = first.select(F.col("node").alias("child"), F.col("label").alias("node"))
+    found = join_unique(asked, second.select("node", "label"), "node", hot, "left")
+    return found.select(F.col("child").alias("node"), F.coalesce("label", "node").alias("label"), (F.coalesce("label", "node") != F.col("node")).alias("moved"))
+
+
+def _jump(parents: DataFrame) -> tuple[DataFrame, int]:
+    """parents (node, label), label <= node: every label replaced by the root of its chain; the number of nodes."""
+    rows, hot = 0, None
     while True:
-        # a label is asked for by many nodes (a hub's), so the asked side is the one that is unique
-        asked = parents.withColumnRenamed("node", "child").withColumnRenamed("label", "node")
-        crowd = parents.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-        limit = max(50_000, parents.count() // MOST_HOT)
-        hot = [r["label"] for r in crowd.where(F.col("n") > limit).collect()]
-        found = join_unique(asked, parents, "node", hot, "left")
-        stepped = cut(found.select(F.col("child").alias("node"), F.coalesce("label", "node").alias("label"), (F.coalesce("label", "node") != F.col("node")).alias("moved")))
-        parents = stepped.drop("moved")
-        if stepped.where("moved").isEmpty():
-            return parents
+        if hot is None:
+            hot = _hot(parents, "label", rows) if rows else []
+        stepped, seen = cut_counting(_compose(parents, parents, hot), moved=F.col("moved"), rows=F.lit(1))
+        discard(parents)
+        parents, rows, hot = stepped, seen["rows"], None
+        if not seen["moved"]:
+            return parents, rows
 
 
 def connected(edges: DataFrame) -> DataFrame:
@@ -50,26 +65,26 @@ def connected(edges: DataFrame) -> DataFrame:
     Nodes are of any orderable type. Null ends and self loops are dropped, repeated edges change nothing, no edges
     give no rows.
     """
-    edges = cut(edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-    labels = None
-    while not edges.isEmpty():
+    edges = edges.where("a is not null and b is not null and a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    edges, seen = cut_counting(edges, rows=F.lit(1))
+    none, rounds = edges.limit(0).select(F.col("a").alias("node"), F.col("b").alias("label")), []
+    while seen["rows"]:
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
-        nearest = cut(ends.groupBy("node").agg(F.least("node", F.min("other")).alias("label"), F.count(F.lit(1)).alias("n")))
-        limit = max(50_000, edges.count() // MOST_HOT)
-        hubs = [r["node"] for r in nearest.where(F.col("n") > limit).collect()]
-        roots = _jump(nearest.drop("n"))
-        if labels is None:
-            labels = roots
-        else:
-            crowd = labels.groupBy("label").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(50_000, labels.count() // MOST_HOT))
-            hot = [r["label"] for r in crowd.collect()]
-            asked = labels.select(F.col("node").alias("child"), F.col("label").alias("node"))
-            found = join_unique(asked, roots, "node", hot, "left")
-            labels = cut(found.select(F.col("child").alias("node"), F.coalesce("label", "node").alias("label")))
+        nearest = ends.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
+        roots, nodes = _jump(nearest)
+        rounds.append((roots, nodes))
+        hubs = _hot(ends, "node", 2 * seen["rows"])
         first = join_unique(edges.select(F.col("a").alias("node"), "b"), roots, "node", hubs).select(F.col("label").alias("a"), F.col("b").alias("node"))
         both = join_unique(first, roots, "node", hubs).select(F.least("a", "label").alias("a"), F.greatest("a", "label").alias("b"))
-        edges = cut(both.where("a <> b").distinct())
-    return labels if labels is not None else edges.select(F.col("a").alias("node"), F.col("b").alias("label"))
+        done = edges
+        edges, seen = cut_counting(both.where("a <> b").distinct(), rows=F.lit(1))
+        discard(done)
+    if not rounds:
+        return none
+    labels, nodes = rounds[0]
+    for roots, _ in rounds[1:]:
+        labels = _compose(labels, roots, _hot(labels, "label", nodes)).drop("moved")
+    return labels
 
 
 def group_records(records: DataFrame, key: str, edges: DataFrame) -> DataFrame:
