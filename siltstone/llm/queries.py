@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import fold, is_absent
-from siltstone.llm import groups, mixing, name_variants, packing, text_stats, tokens
+from siltstone.llm import groups, matching, mixing, name_variants, packing, text_stats, tokens
 from siltstone.session import table
 
 
@@ -85,5 +85,14 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.lit("faa_master").alias("table_name"), "key_a", "key_b").unionByName(models.distinct())
 
 
-QUERIES = {"p2_found": p2_found, "p2_models": p2_models, "p2_registrants": p2_registrants, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p4_found": p4_found, "p10_found": p10_found, "p10_text_quality": p10_text_quality}
+def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = matching.match(table(spark, sf_dir, "er_identity"), table(spark, sf_dir, "faa_master"))
+    return found.where("fits > 0").withColumn("confidence", F.round("confidence", 6))
+
+
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p6_matches(spark, sf_dir).select("reg_key", "identity_id")
+
+
+QUERIES = {"p6_found": p6_found, "p6_matches": p6_matches, "p2_found": p2_found, "p2_models": p2_models, "p2_registrants": p2_registrants, "p8_containers": p8_containers, "p8_fill": p8_fill, "p9_mixture": p9_mixture, "p9_shares": p9_shares, "p4_found": p4_found, "p10_found": p10_found, "p10_text_quality": p10_text_quality}
 SQL = {"p4_found": P4_FOUND_SQL}
