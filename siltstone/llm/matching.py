@@ -26,7 +26,7 @@ from siltstone.llm.name_variants import near, parsed_names
 from siltstone.session import cut
 
 ALPHA = 0.4
-TOP = 5
+TOP = 10
 TRAIN_ROWS = 20_000
 
 PARTS = ["kind", "core", "given", "middle", "generation", "state", "city", "post", "number", "model", "year", "serial"]
