@@ -136,19 +136,26 @@ class UnitModel:
         scored = self.forest.transform(_features(records, F.lit(False)))
         units = F.array(F.lit(None).cast("string"), *[F.lit(u) for u, *_ in UNITS])
         raw = F.array_max(vector_to_array("probability"))
-        level = F.lit(0.0)
-        for score, confidence in self.steps:
-            level = F.when(raw >= score, F.lit(confidence)).otherwise(level)
+        scores, levels = F.array(*[F.lit(s) for s, _ in self.steps]), F.array(*[F.lit(c) for _, c in self.steps])
+        # the confidence of the highest step at or below the raw score
+        level = F.coalesce(F.get(levels, F.size(F.filter(scores, lambda s: s <= raw)) - 1), F.lit(0.0))
         inputs = [c for c in records.columns]
         return scored.select(*inputs, F.element_at(units, F.col("prediction").cast("int") + 1).alias("predicted_unit"), level.alias("confidence"))
 
 
 def fit(records: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 10) -> UnitModel | None:
-    """Fit on at most about 2 * train_rows of the records that state a unit; None if there are too few."""
-    labelled = records.withColumn("stated", stated_unit()).where("stated is not null and value is not null").withColumn("pick", F.xxhash64("table_name", "row_key"))
+    """Fit on a hash sample of at most about 4 * train_rows rows, of which those that state a unit count, each unit
+    with at most about 2 * train_rows / len(UNITS); None if there are too few."""
+    totals = {r["table_name"]: r["count"] for r in records.groupBy("table_name").count().collect()}  # a row a source
+    if not totals:
+        return None
+    share = F.create_map(*[x for t, n in totals.items() for x in (F.lit(t), F.lit(max(1, n * len(totals) // (4 * train_rows))))])
+    drawn = records.where(F.pmod(F.xxhash64("row_key"), F.element_at(share, F.col("table_name"))) == 0)
+    labelled = drawn.withColumn("stated", stated_unit()).where("stated is not null and value is not null").withColumn("pick", F.xxhash64("table_name", "row_key", F.lit(1))).cache()
     # each family and unit gets its share, so that rare units are seen; hash sampling is the same at any layout
     sizes = {r["stated"]: r["n"] for r in labelled.groupBy("stated").agg(F.count(F.lit(1)).alias("n")).collect()}
     if sum(sizes.values()) < 50:
+        labelled.unpersist()
         return None
     each = train_rows // len(UNITS)
     gap = F.create_map(*[x for u, n in sizes.items() for x in (F.lit(u), F.lit(max(1, n // each)))])
@@ -159,6 +166,7 @@ def fit(records: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 12, depth
     curve = IsotonicRegression(featuresCol="raw", labelCol="hit").fit(held)
     bounds, levels = list(curve.boundaries), list(curve.predictions)
     sample.unpersist()
+    labelled.unpersist()
     return UnitModel(forest, [(float(b), float(v)) for b, v in zip(bounds, levels, strict=True)][:: max(1, len(bounds) // 40)])
 
 
