@@ -66,7 +66,7 @@ def _fragment(text: str, begin: int, end: int, line_start: bool) -> tuple:
         start = START_ITEM if _LIST_ITEM.match(text, begin) else START_PLAIN
     visible = len(part) - sum(map(len, _SPACES.findall(part)))
     if not visible:
-        return ((0,) * 7, start, "")
+        return ((0, 0, 0, 0, len(_SEPARATORS.findall(part)), 0, 0), start, "")
     letters = _NOT_LETTER.sub("", part)
     position = begin
     if begin and _WORD.match(text[begin - 1]):  # the word began before
