@@ -120,7 +120,7 @@ def commit(cells: DataFrame, batch: DataFrame, now: int) -> DataFrame:
         rows = [{k: (None if pd.isna(v) else v) for k, v in r.items()} for r in group.to_dict("records")]
         return pd.DataFrame(fold_commit(rows, now), columns=[*columns, "incoming"])[columns]
 
-    return untouched.unionByName(both.groupBy("entity_uri", "prop").applyInPandas(apply, schema))
+    return untouched.unionByName(both.groupBy("entity_uri", "prop").applyInPandas(apply, schema)).select(*columns)
 
 
 def neighbors(links: DataFrame, predicate: str, reverse: bool = False) -> DataFrame:

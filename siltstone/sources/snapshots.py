@@ -15,7 +15,11 @@ def load_table(spark: SparkSession, path: str, limit: int | None = None) -> Data
         df = spark.read.parquet(path)
         df = df.select(*[F.col(f"`{c}`").cast("string").alias(c) for c in df.columns])
     else:
-        df = spark.read.csv(path, header=True, inferSchema=False, emptyValue="", nullValue="\0", multiLine=False)
+        names = spark.read.csv(path, header=True).columns
+        schema = ", ".join(f"`{c}` string" for c in [*names, "_malformed"])
+        df = spark.read.csv(path, schema=schema, header=True, mode="PERMISSIVE", columnNameOfCorruptRecord="_malformed")
+        # the reader gives blanks as nulls, too; only those of rows that are too short stay so
+        df = df.select(*[F.when(F.col("_malformed").isNull(), F.coalesce(F.col(f"`{c}`"), F.lit(""))).otherwise(F.col(f"`{c}`")).alias(c) for c in names])
     return df.limit(limit) if limit is not None else df
 
 
