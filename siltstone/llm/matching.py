@@ -4,8 +4,10 @@ Every record of both tables becomes a set of terms, one or more for each attribu
 the name, city, state, postal code, house number, model, year, end of the serial number). Records are retrieved by
 BM25 over an inverted index of these terms (each stands once in a record, so only the inverse document frequencies
 remain of the formula). Only records that reach ALPHA of a query's own weight can be matches. That makes pruning
-exact: the most common terms of a query that together stay below this can't lift a record to it alone, so the
-index is only read for the other, rarer terms; what is met is scored with all terms and the best TOP are kept.
+exact: if the most common terms of a query and its single heaviest one together stay below this, a record that
+reaches it shares at least two of the other, rarer terms. The index therefore holds pairs of terms, and is only read
+for pairs of rarer ones; what is met is scored with all terms and the best TOP are kept. A query whose heaviest term
+alone is enough reads the postings of single terms.
 
 A pair is mutual if the record's own best query points back to it. Confidence comes from the score's gap to the
 next best record, the score's share of the query's weight and mutuality, through a logistic model fitted on a
@@ -74,8 +76,8 @@ def identity_records(rows: DataFrame) -> DataFrame:
     return _with_names(rows)
 
 
-def terms() -> Column:
-    """The terms of a record, each once."""
+def terms(query: bool = False) -> Column:
+    """The terms of a record, each once. A query with a whole postal code doesn't ask for its first digits as well."""
     def term(mark: str, c: Column) -> Column:
         return F.concat(F.lit(mark + ":"), c)
 
@@ -83,12 +85,18 @@ def terms() -> Column:
     each = [
         term("name", core), term("head", F.substring(core, 1, 5)), term("tail", F.expr("right(nullif(core, ''), 5)")),
         term("given", F.when(F.length("given") > 1, F.col("given"))), term("state", F.col("state")), term("city", F.col("city")),
-        term("zip", F.when(F.length(post) == 5, post)), term("zone", F.substring(post, 1, 3)), term("number", F.col("number")),
+        term("zip", F.when(F.length(post) == 5, post)), term("zone", F.when(F.lit(not query) | (F.length(post) < 5), F.substring(post, 1, 3))), term("number", F.col("number")),
         term("model", F.col("model")), term("year", F.col("year")), term("serial", F.expr("right(serial, 4)")),
     ]
     return F.array_distinct(F.array_compact(F.array(*each)))
 
 
+def _pairs() -> Column:
+    """Hashes of all pairs of a record's terms; equal hashes of unequal pairs only add candidates."""
+    t = F.array_sort("terms")
+    return F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, F.greatest(F.size(t) - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
+
+
 def retrieve(queries: DataFrame, records: DataFrame, alpha: float = ALPHA, top: int = TOP) -> DataFrame:
     """(q, d, score, weight, place): for each query the best records that reach alpha of the query's own weight.
 
@@ -101,9 +109,14 @@ def retrieve(queries: DataFrame, records: DataFrame, alpha: float = ALPHA, top:
     weight = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     asked = queries.select(F.col("id").alias("q"), F.explode("terms").alias("term")).join(frequency, "term").withColumn("w", weight)
     by_query = Window.partitionBy("q")
-    asked = asked.withColumn("weight", F.sum("w").over(by_query)).withColumn("common", F.sum("w").over(by_query.orderBy("w", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    asked = cut(asked)
-    met = asked.where(F.col("common") >= alpha * F.col("weight")).select("q", "term").join(postings, "term").select("q", "d").distinct()
+    asked = asked.withColumn("weight", F.sum("w").over(by_query)).withColumn("most", F.max("w").over(by_query))
+    asked = cut(asked.withColumn("common", F.sum("w").over(by_query.orderBy("w", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    least = alpha * F.col("weight")
+    lone = asked.where((F.col("most") >= least) & (F.col("common") >= least)).select("q", "term").join(postings, "term").select("q", "d")
+    rare = asked.where((F.col("most") < least) & (F.col("common") + F.col("most") >= least)).groupBy("q").agg(F.collect_list("term").alias("terms"))
+    sought = rare.select("q", F.explode(_pairs()).alias("pair"))
+    paired = sought.join(records.select(F.col("id").alias("d"), F.explode(_pairs()).alias("pair")), "pair").select("q", "d")
+    met = paired.unionByName(lone).distinct()
     whole = asked.groupBy("q").agg(F.first("weight").alias("weight"), F.collect_list(F.struct("term", "w")).alias("asked"))
     scored = met.join(whole, "q").join(records.select(F.col("id").alias("d"), "terms"), "d")
     shared = F.filter("asked", lambda x: F.array_contains(F.col("terms"), x["term"]))
@@ -151,7 +164,7 @@ def match(identities: DataFrame, register: DataFrame, alpha: float = ALPHA, top:
     """(identity_id, reg_key, confidence, mutual, fits): the retrieved record of each identity row that suits it
     best. fits: as agreement; rows with 0 are no match. At most one row per identity; identities that retrieve
     nothing have none. Rows that repeat an id count once."""
-    q = cut(identity_records(identities).withColumn("terms", terms()))
+    q = cut(identity_records(identities).withColumn("terms", terms(True)))
     d = cut(register_records(register).withColumn("terms", terms()))
     d = d.where("id is not null")
     found = cut(retrieve(q, d.dropDuplicates(["id"]), alpha, top))
