@@ -14,7 +14,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.skew import MOST_HOT, join_unique
-from siltstone.session import cut_counting, discard
+from siltstone.session import cut, cut_counting, discard
+
+#: Up to so many edges, taking the nearest nodes twice is cheaper than writing them.
+FEW = 1_000_000
 
 
 def latest_matches(pairs: DataFrame, left: str, right: str, verdict: str, decided_at: str) -> DataFrame:
@@ -46,15 +49,15 @@ def _compose(first: DataFrame, second: DataFrame, hot: list) -> DataFrame:
     return found.select(F.col("child").alias("node"), F.coalesce("label", "node").alias("label"), (F.coalesce("label", "node") != F.col("node")).alias("moved"))
 
 
-def _jump(parents: DataFrame) -> tuple[DataFrame, int]:
-    """parents (node, label), label <= node: every label replaced by the root of its chain; the number of nodes."""
-    rows, hot = 0, None
+def _jump(parents: DataFrame, rows: int) -> tuple[DataFrame, int]:
+    """parents (node, label), label <= node: every label replaced by the root of its chain; the number of nodes.
+    rows is how many there are at most."""
     while True:
-        if hot is None:
-            hot = _hot(parents, "label", rows) if rows else []
+        # a label that many nodes have (a hub's) is joined apart
+        hot = _hot(parents, "label", rows)
         stepped, seen = cut_counting(_compose(parents, parents, hot), moved=F.col("moved"), rows=F.lit(1))
         discard(parents)
-        parents, rows, hot = stepped, seen["rows"], None
+        parents, rows = stepped, seen["rows"]
         if not seen["moved"]:
             return parents, rows
 
@@ -71,7 +74,9 @@ def connected(edges: DataFrame) -> DataFrame:
     while seen["rows"]:
         ends = edges.select(F.col("a").alias("node"), F.col("b").alias("other")).unionByName(edges.select(F.col("b").alias("node"), F.col("a").alias("other")))
         nearest = ends.groupBy("node").agg(F.least("node", F.min("other")).alias("label"))
-        roots, nodes = _jump(nearest)
+        if seen["rows"] > FEW:
+            nearest = cut(nearest)
+        roots, nodes = _jump(nearest, 2 * seen["rows"])
         rounds.append((roots, nodes))
         hubs = _hot(ends, "node", 2 * seen["rows"])
         first = join_unique(edges.select(F.col("a").alias("node"), "b"), roots, "node", hubs).select(F.col("label").alias("a"), F.col("b").alias("node"))
