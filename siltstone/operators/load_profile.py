@@ -14,6 +14,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import cut
+
 LONG_RUN = 4
 #: A class is dominant if this share of the loads shows it and it holds this share of the values.
 IN_LOADS, OF_VALUES = 0.2, 0.002
@@ -110,7 +112,8 @@ def drift(rows: DataFrame) -> DataFrame:
     counted = counted.join(F.broadcast(edges), ["table_name", "column_name"], "left")
     second = F.when(F.col("edges").isNull(), F.struct(F.lit("value").alias("kind"), text.alias("class"))).otherwise(F.struct(F.lit("bin").alias("kind"), binned.alias("class")))
     classes = counted.select(*by, "n", F.explode(F.array(F.struct(F.lit("mask").alias("kind"), form.alias("class")), second)).alias("c"))
-    return _score(classes.groupBy(*by, F.col("c.kind").alias("kind"), F.col("c.class").alias("class")).agg(F.sum("n").alias("n")))
+    # the counts are read several times by the score; they are far fewer than the cells
+    return _score(cut(classes.groupBy(*by, F.col("c.kind").alias("kind"), F.col("c.class").alias("class")).agg(F.sum("n").alias("n"))))
 
 
 def departures(rows: DataFrame, limit: float = LIMIT) -> DataFrame:
