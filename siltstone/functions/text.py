@@ -11,7 +11,8 @@ NULL_TOKENS = ("", "NULL", "N/A", "-", "TBD")
 
 def is_absent(c: Column) -> Column:
     """True for null, blank and the null tokens in any case."""
-    return c.isNull() | F.upper(F.trim(squeeze(c))).isin(*NULL_TOKENS)
+    # translate, not a pattern: this is asked of every key of every row
+    return c.isNull() | F.upper(F.trim(F.translate(c, "\t\n\r\x0b\x0c\u00a0", "      "))).isin(*NULL_TOKENS)
 
 
 def present(c: Column) -> Column:

@@ -56,18 +56,29 @@ def unit_of(notation: Column, family: str) -> Column:
     """The unit that a notation names, or null."""
     known = [(alias, u) for u, fam, _, aliases in UNITS if fam == family for alias in aliases.split()]
     names = F.create_map(*[F.lit(x) for pair in known for x in pair])
-    return F.when(~is_absent(notation), F.try_element_at(names, F.regexp_replace(F.lower(notation), r"[^a-z0-9]", "")))
+    low = F.lower(notation)
+    return F.when(~is_absent(notation), F.coalesce(F.try_element_at(names, low), F.try_element_at(names, F.regexp_replace(low, r"[^a-z0-9]", ""))))
 
 
-def read_figure(c: Column) -> tuple[Column, Column]:
-    """(value, notation of the unit) of a figure such as '1.009,7 kg', 'SF 1,001.0' or '12'."""
-    t = F.trim(c)
-    leading = t.rlike(r"^[A-Za-z]")
-    number = F.when(leading, F.regexp_extract(t, r"\s([0-9][0-9.,]*)$", 1)).otherwise(F.regexp_extract(t, r"^([0-9][0-9.,]*)", 1))
-    unit = F.when(leading, F.regexp_extract(t, r"^(.*?)\s[0-9][0-9.,]*$", 1)).otherwise(F.regexp_extract(t, r"^[0-9][0-9.,]*\s*(.*)$", 1))
-    decimal_comma = number.rlike(r"\.[0-9]+,[0-9]*$")
-    plain = F.when(decimal_comma, F.replace(F.replace(number, F.lit("."), F.lit("")), F.lit(","), F.lit("."))).otherwise(F.replace(number, F.lit(","), F.lit("")))
-    return plain.try_cast("double"), unit
+def with_figure(df: DataFrame, figure: str) -> DataFrame:
+    """df with value and notation (of the unit) of a figure such as '1.009,7 kg', 'SF 1,001.0' or '12'. Each step has
+    a column of its own, so that no pattern is matched twice; plain numbers need none."""
+    t = F.col("_t")
+    df = df.withColumn("_t", F.trim(F.col(figure)))
+    df = df.withColumn("_plain", F.translate(t, "0123456789.", "") == "").withColumn("_leading", ~F.col("_plain") & t.rlike(r"^[A-Za-z]"))
+    number = F.when(F.col("_plain"), t).when(F.col("_leading"), F.regexp_extract(t, r"\s([0-9][0-9.,]*)$", 1)).otherwise(F.regexp_extract(t, r"^([0-9][0-9.,]*)", 1))
+    notation = F.when(F.col("_plain"), "").when(F.col("_leading"), F.regexp_extract(t, r"^(.*?)\s[0-9][0-9.,]*$", 1)).otherwise(F.regexp_extract(t, r"^[0-9][0-9.,]*\s*(.*)$", 1))
+    df = df.withColumn("_number", number).withColumn("notation", notation)
+    n = F.col("_number")
+    without = lambda c, mark: F.replace(c, F.lit(mark), F.lit(""))
+    marks = F.when(F.instr(n, ",") == 0, n).when(n.rlike(r"\.[0-9]+,[0-9]*$"), F.replace(without(n, "."), F.lit(","), F.lit("."))).otherwise(without(n, ","))
+    return df.withColumn("value", marks.try_cast("double")).drop("_t", "_plain", "_leading", "_number")
+
+
+def amount(c: Column) -> Column:
+    """The number in a field that is only a hint to the model: thousands separators and other signs are dropped."""
+    t = F.translate(F.trim(c), ",", "")
+    return F.coalesce(t.try_cast("double"), F.regexp_replace(t, r"[^0-9.]", "").try_cast("double"))
 
 
 def count_unit_in_text(c: Column) -> Column:
@@ -87,22 +98,22 @@ def prepare(df: DataFrame, *, table_name: str, row_key: Column, family: str, fig
     """Records in the common form: table_name, row_key, family, value, figure_unit, column_unit, text_unit,
     default_unit and features. All columns are read from df through the given expressions, so other columns of df
     may have any name. Figures that can't be read have a null value."""
-    value, notation = read_figure(figure)
     none = F.lit(None).cast("string")
-    numbers = [log_of(x) for x in near] + [F.lit(None).cast("double")] * (3 - len(near))
-    return df.select(
+    rows = df.select(
         F.lit(table_name).alias("table_name"),
         row_key.alias("row_key"),
         F.lit(family).alias("family"),
-        value.alias("value"),
-        unit_of(notation, family).alias("figure_unit"),
-        unit_of(unit_column, family).alias("column_unit"),
+        figure.alias("figure"),
+        unit_column.alias("unit_column"),
         (none if unit_text is None else unit_text).alias("text_unit"),
         (none if default is None else default).alias("default_unit"),
         F.pmod(F.hash(F.lower(F.trim(category))), F.lit(97)).cast("double").alias("category_code"),
         F.pmod(F.hash(F.lower(F.trim(place))), F.lit(97)).cast("double").alias("place_code"),
-        *[n.alias(f"near_{i + 1}") for i, n in enumerate(numbers)],
+        *[n.alias(f"n{i + 1}") for i, n in enumerate(near)],
     )
+    numbers = [log_of(F.col(f"n{i + 1}")) for i in range(len(near))] + [F.lit(None).cast("double")] * (3 - len(near))
+    rows = with_figure(rows, "figure")
+    return rows.select("table_name", "row_key", "family", "value", unit_of(F.col("notation"), family).alias("figure_unit"), unit_of(F.col("unit_column"), family).alias("column_unit"), "text_unit", "default_unit", "category_code", "place_code", *[n.alias(f"near_{i + 1}") for i, n in enumerate(numbers)])
 
 
 def _code(c: Column) -> Column:
@@ -133,14 +144,16 @@ class UnitModel:
 
     def predict(self, records: DataFrame) -> DataFrame:
         """records with predicted_unit and its calibrated confidence."""
-        scored = self.forest.transform(_features(records, F.lit(False)))
+        # only the probabilities are asked for, once per row; what is read several times has a column of its own
+        scorer = self.forest.copy().setRawPredictionCol("").setPredictionCol("")
+        scored = scorer.transform(_features(records, F.lit(False)))
+        # rand() is never below 0: the optimizer sees a value that it must not compute twice, and so neither pushes
+        # later filters below the forest nor copies it into each expression that uses its result
+        scored = scored.select(*records.columns, F.when(F.rand(0) >= 0, vector_to_array("probability")).alias("chances"))
+        scored = scored.withColumn("best", F.array_max("chances")).withColumn("at", F.array_position("chances", F.col("best")))
         units = F.array(F.lit(None).cast("string"), *[F.lit(u) for u, *_ in UNITS])
-        raw = F.array_max(vector_to_array("probability"))
-        scores, levels = F.array(*[F.lit(s) for s, _ in self.steps]), F.array(*[F.lit(c) for _, c in self.steps])
-        # the confidence of the highest step at or below the raw score
-        level = F.coalesce(F.get(levels, F.size(F.filter(scores, lambda s: s <= raw)) - 1), F.lit(0.0))
-        inputs = [c for c in records.columns]
-        return scored.select(*inputs, F.element_at(units, F.col("prediction").cast("int") + 1).alias("predicted_unit"), level.alias("confidence"))
+        levels = F.array(*[F.lit(max((c for s, c in self.steps if s <= i / 100), default=0.0)) for i in range(101)])
+        return scored.select(*records.columns, F.element_at(units, F.col("at").cast("int")).alias("predicted_unit"), F.get(levels, F.floor(F.col("best") * 100).cast("int")).alias("confidence"))
 
 
 def fit(records: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 10) -> UnitModel | None:

@@ -60,18 +60,18 @@ select distinct reg_key, work_order_id from best where n = 1
 
 
 def weight_records(shipments: DataFrame) -> DataFrame:
-    number = lambda c: unit_conversion.read_figure(F.col(c))[0]
+    number = lambda c: unit_conversion.amount(F.col(c))
     return unit_conversion.prepare(shipments, table_name="shipments", row_key=F.col("shipment_id"), family="weight", figure=F.col("gross_weight"), unit_column=F.col("weight_uom"), category=F.col("transport_mode"), place=F.col("origin_port"), near=[number("freight_cost")])
 
 
 def area_records(leases: DataFrame) -> DataFrame:
-    rent, (size, _) = unit_conversion.read_figure(F.col("base_rent_annual"))[0], unit_conversion.read_figure(F.col("square_footage"))
+    rent, size = unit_conversion.amount(F.col("base_rent_annual")), unit_conversion.amount(F.col("square_footage"))
     stated = F.when(is_absent(F.col("area_uom")), F.when(F.upper(F.trim("country")).isin("US", "CA"), "sqft").otherwise("sqm"))
     return unit_conversion.prepare(leases, table_name="leases", row_key=F.concat_ws("|", "lease_id", "amendment_no"), family="area", figure=F.col("square_footage"), unit_column=F.col("area_uom"), default=stated, category=F.col("property_type"), place=F.col("country"), near=[rent, F.try_divide(rent, size)])
 
 
 def count_records(lines: DataFrame) -> DataFrame:
-    number = lambda c: unit_conversion.read_figure(F.col(c))[0]
+    number = lambda c: unit_conversion.amount(F.col(c))
     per_line = F.try_divide(number("net_value_usd"), F.try_divide(number("order_qty") * number("net_price"), number("price_unit")))
     text = F.when(is_absent(F.col("order_uom")), unit_conversion.count_unit_in_text(F.col("short_text")))
     return unit_conversion.prepare(lines, table_name="purchase_order_lines", row_key=F.concat_ws("|", "po_number", "po_line_item"), family="count", figure=F.col("order_qty"), unit_column=F.col("order_uom"), unit_text=text, category=F.col("purch_group"), place=F.col("plant_code"), near=[number("net_price"), per_line])
