@@ -72,15 +72,33 @@ def edit_distance(a: str, b: str, limit: int) -> int:
     return row[-1]
 
 
+def _letters_of(word: str) -> int:
+    """The set of a word's letters as bits. An edit changes at most two of them, so words whose sets differ in more
+    than twice a number of letters are more edits apart."""
+    bits = 0
+    for ch in word:
+        bits |= 1 << (ord(ch) & 63)
+    return bits
+
+
+_NEAREST: dict[tuple[str, int, int], str | None] = {}
+
+
 def _nearest(word: str, words: dict[str, str], least: int = 5) -> str | None:
     """The entry that word is or is a misspelling of: one edit, two from eight letters on."""
     if word in words:
         return words[word]
     if len(word) < least:
         return None
-    limit = 1 if len(word) < 8 else 2
-    best = min(((edit_distance(word, spelling, limit), full) for spelling, full in words.items() if len(spelling) >= least), default=(9, ""))
-    return best[1] if best[0] <= limit else None
+    known = (word, id(words), least)
+    if known not in _NEAREST:
+        if len(_NEAREST) > 100_000:
+            _NEAREST.clear()
+        limit, bits = (1 if len(word) < 8 else 2), _letters_of(word)
+        near = ((edit_distance(word, spelling, limit), full) for spelling, full in words.items() if len(spelling) >= least and (bits ^ _letters_of(spelling)).bit_count() <= 2 * limit)
+        best = min(near, default=(9, ""))
+        _NEAREST[known] = best[1] if best[0] <= limit else None
+    return _NEAREST[known]
 
 
 def parse_name(name: str) -> tuple[str, str, str, str, str]:
@@ -138,7 +156,9 @@ def _parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def parsed_names(names: DataFrame) -> DataFrame:
     """names with kind, core, given, middle and generation; each distinct name is parsed once."""
-    return names.select("name").distinct().mapInPandas(_parse, "name string, kind string, core string, given string, middle string, generation string")
+    # parsing costs more than moving a name: names are spread over all cores however few bytes they are
+    spread = 4 * names.sparkSession.sparkContext.defaultParallelism
+    return names.select("name").distinct().repartition(spread, "name").mapInPandas(_parse, "name string, kind string, core string, given string, middle string, generation string")
 
 
 def near(a: Column, b: Column, limit: int) -> Column:
