@@ -3,16 +3,17 @@
 Every record of both tables becomes a set of terms, one or more for each attribute it has (parsed name, parts of
 the name, city, state, postal code, house number, model, year, end of the serial number). Records are retrieved by
 BM25 over an inverted index of these terms (each stands once in a record, so only the inverse document frequencies
-remain of the formula). Only records that reach ALPHA of a query's own weight can be matches. That makes pruning
+remain of the formula). Only records that reach ALPHA of a query's own weight are retrieved. That makes pruning
 exact: if the most common terms of a query and its single heaviest one together stay below this, a record that
 reaches it shares at least two of the other, rarer terms. The index therefore holds pairs of terms, and is only read
-for pairs of rarer ones; what is met is scored with all terms and the best TOP are kept. A query whose heaviest term
+for pairs of rarer ones; what is met is scored with all terms. A query whose heaviest term
 alone is enough reads the postings of single terms.
 
 A pair is mutual if the record's own best query points back to it. Confidence comes from the score's gap to the
 next best record, the score's share of the query's weight and mutuality, through a logistic model fitted on a
 bounded sample of pairs, labelled by whether the attributes contradict each other. An exact check of the attributes
-decides which pairs of the best are matches.
+decides which pairs are matches. It doesn't depend on retrieval: all pairs that may pass it are joined on model or
+end of the serial number, and of a query's pairs that pass the best by score is its match.
 """
 
 from __future__ import annotations
@@ -97,17 +98,33 @@ def _pairs() -> Column:
     return F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, F.greatest(F.size(t) - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
 
 
-def retrieve(queries: DataFrame, records: DataFrame, alpha: float = ALPHA, top: int = TOP) -> DataFrame:
-    """(q, d, score, weight, place): for each query the best records that reach alpha of the query's own weight.
+def weights(queries: DataFrame, records: DataFrame) -> DataFrame:
+    """(q, term, w): the terms of each query that the index has, with their weights."""
+    n = records.count()
+    frequency = records.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    weight = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    return queries.select(F.col("id").alias("q"), F.explode("terms").alias("term")).join(frequency, "term").select("q", "term", weight.alias("w"))
+
+
+def score(pairs: DataFrame, asked: DataFrame, records: DataFrame) -> DataFrame:
+    """pairs (q, d) with score and weight. A query's terms are summed in one order, so equal records tie exactly."""
+    whole = asked.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("asked"))
+    whole = whole.withColumn("weight", F.aggregate("asked", F.lit(0.0), lambda a, x: a + x["w"]))
+    shared = F.filter("asked", lambda x: F.array_contains(F.col("terms"), x["term"]))
+    # a query of whose terms the index has none scores 0
+    scored = pairs.join(whole, "q", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).join(records.select(F.col("id").alias("d"), "terms"), "d")
+    return scored.withColumn("score", F.coalesce(F.aggregate(shared, F.lit(0.0), lambda a, x: a + x["w"]), F.lit(0.0))).drop("asked", "terms")
+
+
+def retrieve(queries: DataFrame, records: DataFrame, alpha: float = ALPHA, top: int | None = TOP) -> DataFrame:
+    """(q, d, score, weight, place): for each query the best records that reach alpha of the query's own weight, all
+    of them if top is None.
 
     queries, records: id, terms. weight is the sum over the query's terms that the index has; place is 1 for the
     best, ties by id. Queries that share no such record have no row.
     """
     postings = records.select(F.col("id").alias("d"), F.explode("terms").alias("term"))
-    n = records.count()
-    frequency = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    weight = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    asked = queries.select(F.col("id").alias("q"), F.explode("terms").alias("term")).join(frequency, "term").withColumn("w", weight)
+    asked = weights(queries, records)
     by_query = Window.partitionBy("q")
     asked = asked.withColumn("weight", F.sum("w").over(by_query)).withColumn("most", F.max("w").over(by_query))
     asked = cut(asked.withColumn("common", F.sum("w").over(by_query.orderBy("w", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))))
@@ -117,12 +134,10 @@ def retrieve(queries: DataFrame, records: DataFrame, alpha: float = ALPHA, top:
     sought = rare.select("q", F.explode(_pairs()).alias("pair"))
     paired = sought.join(records.select(F.col("id").alias("d"), F.explode(_pairs()).alias("pair")), "pair").select("q", "d")
     met = paired.unionByName(lone).distinct()
-    whole = asked.groupBy("q").agg(F.first("weight").alias("weight"), F.collect_list(F.struct("term", "w")).alias("asked"))
-    scored = met.join(whole, "q").join(records.select(F.col("id").alias("d"), "terms"), "d")
-    shared = F.filter("asked", lambda x: F.array_contains(F.col("terms"), x["term"]))
-    scored = scored.select("q", "d", "weight", F.aggregate(shared, F.lit(0.0), lambda a, x: a + x["w"]).alias("score")).where(F.col("score") >= alpha * F.col("weight"))
+    scored = score(met, asked, records).where(F.col("score") >= alpha * F.col("weight"))
     order = Window.partitionBy("q").orderBy(F.desc("score"), "d")
-    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top)
+    placed = scored.withColumn("place", F.row_number().over(order))
+    return placed if top is None else placed.where(F.col("place") <= top)
 
 
 def agreement(q: str = "q", d: str = "d") -> Column:
@@ -160,21 +175,53 @@ def agreement(q: str = "q", d: str = "d") -> Column:
     return F.when(~F.coalesce(fits, F.lit(False)), 0).when((plus >= 2) & (minus == 0) & F.coalesce(name, F.lit(False)), 2).otherwise(1)
 
 
-def match(identities: DataFrame, register: DataFrame, alpha: float = ALPHA, top: int = TOP, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(identity_id, reg_key, confidence, mutual, fits): the retrieved record of each identity row that suits it
-    best. fits: as agreement; rows with 0 are no match. At most one row per identity; identities that retrieve
-    nothing have none. Rows that repeat an id count once."""
+def _aircraft_keys(query: bool, lengths: list[int]) -> Column:
+    """Hashes of the model and of the end of the serial number, each with the state, for agreeing: a pair whose
+    aircraft agree and whose states don't differ shares one. lengths: of the other side's serial numbers."""
+    own, other = ("q:", "d:") if query else ("d:", "q:")
+    n = F.length("serial")
+    ends = [F.when(k < n if query else k <= n, F.concat(F.lit(other), F.right("serial", F.lit(k)))) for k in lengths]
+    marks = F.array_compact(F.array(F.concat(F.lit("model:"), "model"), F.concat(F.lit(own), "serial"), *ends))
+    known = F.array(F.col("state"), F.lit("?")) if query else F.array(F.col("state"), F.lit("*"))
+    states = F.when(F.col("state").isNotNull(), known).otherwise(F.array(F.lit("*")) if query else F.array(F.lit("?"), F.lit("*")))
+    return F.flatten(F.transform(marks, lambda m: F.transform(states, lambda s: F.xxhash64(m, s))))
+
+
+def _lengths(df: DataFrame) -> list[int]:
+    return sorted(r["n"] for r in df.where("serial is not null").select(F.length("serial").alias("n")).distinct().collect())  # a row a length
+
+
+def agreeing(queries: DataFrame, records: DataFrame) -> DataFrame:
+    """(q, d, fits): every pair whose agreement is above 0, whatever its score; d once if its id is repeated.
+
+    Such a pair has the same model or the same end of the serial number, and no other state, so these are joined."""
+    x = queries.select(F.col("id").alias("q"), F.struct(*PARTS, "seen").alias("x"), F.explode(_aircraft_keys(True, _lengths(records))).alias("key"))
+    y = records.select(F.col("id").alias("d"), F.struct(*PARTS, "since", "until").alias("y"), F.explode(_aircraft_keys(False, _lengths(queries))).alias("key"))
+    in_force = (F.col("y.since") <= F.col("x.seen")) & (F.col("x.seen") <= F.coalesce(F.col("y.until"), F.lit(2**62)))
+    met = x.join(y, "key").where(in_force).withColumn("fits", agreement("x", "y"))
+    return met.where("fits > 0").groupBy("q", "d").agg(F.max("fits").alias("fits"))
+
+
+def match(identities: DataFrame, register: DataFrame, alpha: float = ALPHA, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """(identity_id, reg_key, confidence, mutual, fits): the record of each identity row that suits it best: of all
+    that agree with it the best one, and only where none does the best of those retrieved. fits: as agreement; rows
+    with 0 are no match. At most one row per identity; identities that agree with nothing and retrieve nothing have
+    none. Rows that repeat an id count once."""
     q = cut(identity_records(identities).withColumn("terms", terms(True)))
     d = cut(register_records(register).withColumn("terms", terms()))
     d = d.where("id is not null")
-    found = cut(retrieve(q, d.dropDuplicates(["id"]), alpha, top))
+    one = cut(d.dropDuplicates(["id"]))
+    fitting = cut(score(agreeing(q, d), weights(q, one), one))
+    found = retrieve(q, one, alpha, None).select("q", "d", "score", "weight", F.lit(0).alias("fits"))
+    found = found.unionByName(fitting).groupBy("q", "d").agg(*[F.max(c).alias(c) for c in ("score", "weight", "fits")])
+    found = cut(found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))))
     # back from the record: the best query of each, and whether that one's best is the record
     best = found.groupBy("d").agg(F.max_by("place", F.struct("score", F.col("q"))).alias("back"))
     following = F.lead("score").over(Window.partitionBy("q").orderBy("place"))
     pairs = found.withColumn("next", F.coalesce(following, F.lit(0.0))).join(best, "d").withColumn("mutual", F.col("back") == 1)
-    pairs = pairs.join(q.select(F.col("id").alias("q"), F.struct(*PARTS, "seen").alias("x")), "q").join(d.select(F.col("id").alias("d"), F.struct(*PARTS, "since", "until").alias("y")), "d")
-    pairs = pairs.withColumn("fits", agreement("x", "y"))
-    pairs = pairs.select("q", "d", "place", "mutual", "fits", (F.col("score") / F.col("weight")).alias("share"), ((F.col("score") - F.col("next")) / F.col("weight")).alias("gap"), F.col("mutual").cast("double").alias("back"))
+    pairs = pairs.where("place = 1 or fits > 0")
+    share = lambda c: F.coalesce(F.try_divide(c, F.col("weight")), F.lit(0.0))
+    pairs = pairs.select("q", "d", "place", "mutual", "fits", share(F.col("score")).alias("share"), share(F.col("score") - F.col("next")).alias("gap"), F.col("mutual").cast("double").alias("back"))
     pairs = cut(VectorAssembler(inputCols=["share", "gap", "back"], outputCol="features").transform(pairs))
     sample = pairs.where("place = 1 and fits <> 1")
     size = sample.count()

@@ -155,6 +155,29 @@ def test_retrieve_equals_brute_force(spark):
         assert [s for _, s in found.get(q, [])] == pytest.approx([s for _, s in expected[q]])
 
 
+FAA = "reg_key string, registrant_name string, street string, city string, state_code string, zip_code string, mfr_mdl_code string, year_mfr string, serial_number string, cert_issue_date string, expiration_date string"
+IDENTITY = "identity_id long, raw_value string, place_text string, postal_text string, house_number string, model_text string, year_text string, serial_tail string, seen_on string"
+
+
+def test_match_finds_the_record_in_force_among_many_equal_ones(spark):
+    faa = [(f"R{i:02}", "OAKTON EQUIPMENT LLC", "12 Oak Lane", "Elmville", "TX", "12345", "1234567", "1999", f"000{i:04}", f"{1980 + i}0101", f"{1980 + i}1231") for i in range(25)]
+    asked = [(i, "OAKTON EQUIPMENT LLC", "Elmville TX", "12345", "12", "123-4567", "1999", None, f"{1980 + i}-06-15") for i in range(25)]
+    found = matching.match(spark.createDataFrame(asked, IDENTITY), spark.createDataFrame(faa, FAA))
+    assert {r["identity_id"]: r["reg_key"] for r in found.where("fits > 0").collect()} == {i: f"R{i:02}" for i in range(25)}
+
+
+def test_agreeing_equals_brute_force(spark):
+    rnd = random.Random(6)
+    some = lambda *v: rnd.choice([*v, None])
+    faa = [(f"R{i}", some("OAKTON LLC", "OAKTEN LLC", "THALNOVA FRED"), some("12 Oak", "9 Elm"), some("Elmville", "Elmvile"), some("TX", "VT"), some("12345", "123"), some("11", "22", "33"), some("1999", "2001"), some("0012345", "0022345", "345", "5"), "20000101", some("20091231", "20041231")) for i in range(150)]
+    asked = [(i, some("OAKTON LLC", "THALNOVA, FRED", "TALNOVA F"), some("Elmville TX", "Elmville", "VT"), some("12345", "123"), some("12", "9"), some("11", "22"), some("1999", "2000"), some("2345", "12345", "45", "99990012345"), some("2003-01-01", "2007-01-01")) for i in range(150)]
+    q, d = matching.identity_records(spark.createDataFrame(asked, IDENTITY)), matching.register_records(spark.createDataFrame(faa, FAA))
+    x = q.select(F.col("id").alias("q"), F.struct(*matching.PARTS, "seen").alias("x"))
+    y = d.select(F.col("id").alias("d"), F.struct(*matching.PARTS, "since", "until").alias("y"))
+    expected = sorted(map(tuple, x.crossJoin(y).select("q", "d", matching.agreement("x", "y").alias("fits")).where("fits > 0").collect()))
+    assert len(expected) > 100 and sorted(map(tuple, matching.agreeing(q, d).collect())) == expected
+
+
 def test_match_empty(spark, data):
     faa, ids = spark.read.parquet(f"{data}/faa_master.parquet"), spark.read.parquet(f"{data}/er_identity.parquet")
     assert matching.match(ids.limit(0), faa).count() == 0
