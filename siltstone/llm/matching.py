@@ -217,11 +217,12 @@ def match(identities: DataFrame, register: DataFrame, alpha: float = ALPHA, trai
     found = cut(found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))))
     # back from the record: the best query of each, and whether that one's best is the record
     best = found.groupBy("d").agg(F.max_by("place", F.struct("score", F.col("q"))).alias("back"))
+    # a runner-up below alpha isn't retrieved and may stand anywhere below it, so the gap is counted down to alpha only
     following = F.lead("score").over(Window.partitionBy("q").orderBy("place"))
-    pairs = found.withColumn("next", F.coalesce(following, F.lit(0.0))).join(best, "d").withColumn("mutual", F.col("back") == 1)
+    pairs = found.withColumn("next", F.greatest(F.coalesce(following, F.lit(0.0)), alpha * F.col("weight"))).join(best, "d").withColumn("mutual", F.col("back") == 1)
     pairs = pairs.where("place = 1 or fits > 0")
     share = lambda c: F.coalesce(F.try_divide(c, F.col("weight")), F.lit(0.0))
-    pairs = pairs.select("q", "d", "place", "mutual", "fits", share(F.col("score")).alias("share"), share(F.col("score") - F.col("next")).alias("gap"), F.col("mutual").cast("double").alias("back"))
+    pairs = pairs.select("q", "d", "place", "mutual", "fits", share(F.col("score")).alias("share"), share(F.greatest(F.col("score") - F.col("next"), F.lit(0.0))).alias("gap"), F.col("mutual").cast("double").alias("back"))
     pairs = cut(VectorAssembler(inputCols=["share", "gap", "back"], outputCol="features").transform(pairs))
     sample = pairs.where("place = 1 and fits <> 1")
     size = sample.count()

@@ -178,6 +178,18 @@ def test_agreeing_equals_brute_force(spark):
     assert len(expected) > 100 and sorted(map(tuple, matching.agreeing(q, d).collect())) == expected
 
 
+def test_match_keeps_agreeing_pairs_below_alpha(spark):
+    others = [(f"R{i:02}", f"PERSON{chr(65 + i)} ANN", f"{100 + i} Elm", f"Town{chr(65 + i)}", "VT", f"{50000 + i}", "1234567", "2000" if i == 6 else "1970", f"555{i:04}", "20000101", "20201231") for i in range(20)]
+    faa = [*others, ("R99", "THALNOVARSKI FREDERICK", "12 Oak Lane", "Elmville", "TX", "12345", "1234567", "1999", "0001234", "20000101", "20201231")]
+    # misspelt name and town, year off by one, a serial number of another aircraft
+    asked = [(1, "DHALNOVARSKY, FREDERIK", "Elmvlle", None, None, "1234567", "1970", None, "2010-06-15"), (2, "DHALNOVARSKY, FREDERIK", "Elmvlle", None, None, "1234567", "2000", "0006", "2010-06-15")]
+    ids, register = spark.createDataFrame(asked + [(9, "X", None, None, None, None, "1999", None, "2010-06-15")], IDENTITY), spark.createDataFrame(faa, FAA)
+    q, d = matching.identity_records(ids).withColumn("terms", matching.terms(True)), matching.register_records(register).withColumn("terms", matching.terms())
+    assert (2, "R99") not in {(r["q"], r["d"]) for r in matching.retrieve(q, d).collect()}
+    found = matching.match(ids, register).where("fits > 0").collect()
+    assert {(r["identity_id"], r["reg_key"]) for r in found} == {(2, "R99")}
+
+
 def test_match_empty(spark, data):
     faa, ids = spark.read.parquet(f"{data}/faa_master.parquet"), spark.read.parquet(f"{data}/er_identity.parquet")
     assert matching.match(ids.limit(0), faa).count() == 0
