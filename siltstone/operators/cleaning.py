@@ -27,11 +27,15 @@ def currency_to_number(c: Column, home: tuple[str, ...] = ("$", "USD")) -> Colum
     return F.when((prefix == "") | F.upper(prefix).isin(*home), digits.try_cast("double"))
 
 
-def scaled_unit(c: Column, units: dict[str, tuple[float, float]], bare: str) -> Column:
-    """value * scale + offset by the unit suffix of a text; a number without one has the unit bare; others null."""
+def scaled_unit(c: Column, units: dict[str, tuple[float, float]], bare: str | Column) -> Column:
+    """value * scale + offset by the unit suffix of a text, blanks and dots in it aside; a number without one has the
+    unit bare; others null. A comma after a point is a decimal one (7.381,0), others separate thousands."""
     t = F.trim(c)
-    number = F.regexp_replace(F.regexp_extract(t, r"^([-+]?[\d.,]+)", 1), ",", "").try_cast("double")
-    suffix = F.lower(F.regexp_extract(t, r"^[-+]?[\d.,]+\s*([A-Za-z°%]*)$", 1))
+    figure = F.regexp_extract(t, r"^([-+]?[\d.,]+)", 1)
+    european = F.replace(F.replace(figure, F.lit("."), F.lit("")), F.lit(","), F.lit("."))
+    number = F.when(figure.rlike(r"\.\d+,\d*$"), european).otherwise(F.replace(figure, F.lit(","), F.lit(""))).try_cast("double")
+    written = r"^[-+]?[\d.,]+\s*([A-Za-z°%][A-Za-z°%. ]*)?$"
+    suffix = F.when(t.rlike(written), F.regexp_replace(F.lower(F.regexp_extract(t, written, 1)), r"[. ]", ""))
     suffix = F.when(suffix == "", bare).otherwise(suffix)
     out = F.lit(None).cast("double")
     for u, (scale, offset) in units.items():

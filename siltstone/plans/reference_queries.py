@@ -398,6 +398,25 @@ def clean_unit_suffix(spark, d):
     return rows.select("shipment_id", F.round(cleaning.scaled_unit(F.col("gross_weight"), {"kg": (1.0, 0.0), "lb": (0.45359237, 0.0), "lbs": (0.45359237, 0.0)}, "kg"), 4).alias("kg"))
 
 
+@query()
+def clean_dates_all(spark, d):
+    """clean_dates over every row: all formats that parse_day reads, null for those it doesn't."""
+    from siltstone.functions.text import parse_day
+
+    return table(spark, d, "faa_master").select("reg_key", parse_day(F.col("cert_issue_date")).cast("string").alias("day"))
+
+
+@query()
+def clean_unit_suffix_all(spark, d):
+    """clean_unit_suffix over every row, with all notations of weight. A bare figure has the unit of weight_uom; null
+    where neither states one or the figure can't be read."""
+    from siltstone.operators.unit_conversion import UNITS, unit_of
+
+    units = {n: (factor, 0.0) for u, family, factor, names in UNITS if family == "weight" for n in (u, *names.split())}
+    kg = cleaning.scaled_unit(F.col("gross_weight"), units, unit_of(F.col("weight_uom"), "weight"))
+    return table(spark, d, "shipments").select("shipment_id", F.round(kg, 4).alias("kg"))
+
+
 @query("select user_id, event_id, value from (select *, row_number() over (partition by user_id order by ts, event_id) n from events) where n = 1")
 def dedupe_first(spark, d):
     return cleaning.first_row(table(spark, d, "events"), ["user_id"], ["ts", "event_id"]).select("user_id", "event_id", "value")

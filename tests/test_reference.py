@@ -97,6 +97,34 @@ def test_functional_dependencies_with_nulls(spark):
     assert ("a", "b") in found and ("b", "a") not in found
 
 
+WEIGHTS = [
+    ("7.381,0 kg", None, 7381.0), ("1,002.0 KGM", "LB", 1002.0), ("10kgs", None, 10.0), ("2 pounds", "", 0.9072), ("9.2 tonnes", None, 9200.0), ("3 t", None, 3000.0), ("1.5MT", None, 1500.0), ("2 short tons", None, 1814.3695),
+    ("2 sh tn", None, 1814.3695), ("995,000 G", None, 995.0), (" 1,187 ", "GRM", 1.187), ("100", "Lb.", 45.3592), ("100", "N/A", None), ("heavy", "KG", None), ("", "KG", None), (None, "KG", None), ("5 furlongs", "KG", None), ("1.2.3 kg", None, None),
+]
+
+
+def test_unit_suffixes_of_all_rows(spark, tmp_path):
+    spark.createDataFrame([(i, *w[:2]) for i, w in enumerate(WEIGHTS)], "shipment_id int, gross_weight string, weight_uom string").write.parquet(str(tmp_path / "shipments.parquet"))
+    found = {r["shipment_id"]: r["kg"] for r in rq.QUERIES["clean_unit_suffix_all"](spark, str(tmp_path)).collect()}
+    assert found == {i: w[2] if w[2] is None else pytest.approx(w[2], abs=1e-4) for i, w in enumerate(WEIGHTS)}
+
+
+def test_dates_of_all_rows(spark, data):
+    from datetime import datetime
+
+    def read(text):
+        for f in ("%Y%m%d", "%Y-%m-%d", "%d-%b-%Y", "%m/%d/%Y"):
+            try:
+                return datetime.strptime((text or "").strip(), f).date().isoformat()
+            except ValueError:
+                pass
+        return None
+
+    rows = spark.read.parquet(f"{data}/faa_master.parquet").select("reg_key", "cert_issue_date").collect()
+    found = rq.QUERIES["clean_dates_all"](spark, data).collect()
+    assert sorted(map(str, map(tuple, found))) == sorted(str((r[0], read(r[1]))) for r in rows)
+
+
 def test_jaro_winkler():
     assert round(resolve.jaro_winkler("MARTHA", "MARHTA"), 4) == 0.9611
     assert resolve.jaro_winkler("", "A") == 0.0 and resolve.jaro_winkler("A", "A") == 1.0
