@@ -226,12 +226,25 @@ def bitemporal_commit(spark, d):
   walk(start, uri, hops) as (select distinct 'c' || c_custkey, 'c' || c_custkey, 0 from customer where c_custkey % 50 = 0 union select w.start, e.v, w.hops + 1 from walk w join edges e on e.u = w.uri where w.hops < 3)
   select start, uri, min(hops) as hops from walk where uri <> start group by 1, 2""")
 def link_bfs_depth3(spark, d):
+    edges, customers = _customer_links(spark, d)
+    # the stated set of start entities
+    return bitemporal.reach(edges, customers.where("c_custkey % 50 = 0").select("uri"), 3)
+
+
+@query()
+def link_bfs_depth3_all(spark, d):
+    """link_bfs_depth3 from every customer."""
+    edges, customers = _customer_links(spark, d)
+    return bitemporal.reach(edges, customers.select("uri"), 3)
+
+
+def _customer_links(spark, d):
+    """Edges (uri, neighbor) between customers, nations and regions, and the customers (c_custkey, uri)."""
     c, n = table(spark, d, "customer"), table(spark, d, "nation")
     name = lambda p, k: F.concat(F.lit(p), F.col(k).cast("string"))
     up = n.select(name("n", "n_nationkey").alias("uri"), name("r", "n_regionkey").alias("neighbor"))
     edges = c.select(name("c", "c_custkey").alias("uri"), name("n", "c_nationkey").alias("neighbor")).unionByName(up).unionByName(up.select(F.col("neighbor").alias("uri"), F.col("uri").alias("neighbor"))).distinct()
-    # the stated set of start entities
-    return bitemporal.reach(edges, c.where("c_custkey % 50 = 0").select(name("c", "c_custkey").alias("uri")), 3)
+    return edges, c.select("c_custkey", name("c", "c_custkey").alias("uri"))
 
 
 # sources

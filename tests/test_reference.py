@@ -125,6 +125,22 @@ def test_dates_of_all_rows(spark, data):
     assert sorted(map(str, map(tuple, found))) == sorted(str((r[0], read(r[1]))) for r in rows)
 
 
+def test_links_from_every_customer(spark, data):
+    customers = spark.read.parquet(f"{data}/customer.parquet").select("c_custkey", "c_nationkey").collect()
+    nations = spark.read.parquet(f"{data}/nation.parquet").select("n_nationkey", "n_regionkey").distinct().collect()
+    near = {}
+    for a, b in [(f"c{k}", f"n{n}") for k, n in customers] + [(f"n{n}", f"r{r}") for n, r in nations] + [(f"r{r}", f"n{n}") for n, r in nations]:
+        near.setdefault(a, set()).add(b)
+    expected = set()
+    for start in {f"c{k}" for k, _ in customers}:
+        seen, ring = {start}, {start}
+        for hops in (1, 2, 3):
+            ring = {b for a in ring for b in near.get(a, ())} - seen
+            seen |= ring
+            expected |= {(start, b, hops) for b in ring}
+    assert set(map(tuple, rq.QUERIES["link_bfs_depth3_all"](spark, data).select("start", "uri", "hops").collect())) == expected
+
+
 def test_jaro_winkler():
     assert round(resolve.jaro_winkler("MARTHA", "MARHTA"), 4) == 0.9611
     assert resolve.jaro_winkler("", "A") == 0.0 and resolve.jaro_winkler("A", "A") == 1.0
