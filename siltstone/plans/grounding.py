@@ -17,9 +17,9 @@ ANSWER, CLARIFY = 0.60, 0.45
 AGGREGATE_WORDS = {"average": "avg", "mean": "avg", "total": "sum", "sum": "sum", "most": "max", "highest": "max", "lowest": "min", "smallest": "min", "count": "count", "many": "count", "number": "count"}
 
 
-def value_index(world: World, per_property: int = 10_000) -> DataFrame:
-    """(value, class, property, n): distinct values of text properties; the most frequent ones of each property, as
-    a property with more values names things and isn't a vocabulary."""
+def value_index(world: World) -> DataFrame:
+    """(value, class, property, n): all distinct values of text properties. Only those equal to a question's words
+    are read, so their number has no bound."""
     parts = None
     for name, c in sorted(world.ontology.classes.items()):
         props = [p for p, kind in c.properties.items() if kind == "string"]
@@ -28,8 +28,7 @@ def value_index(world: World, per_property: int = 10_000) -> DataFrame:
             rows = extent(world, name).select(each.alias("x")).select("x.*").where("value is not null and value <> ''").groupBy("property", "value").agg(F.count(F.lit(1)).alias("n"))
             rows = rows.select("value", F.lit(name).alias("class"), "property", "n")
             parts = rows if parts is None else parts.unionByName(rows)
-    sizes = parts.groupBy("class", "property").agg(F.count(F.lit(1)).alias("values")).where(F.col("values") <= per_property)
-    return parts.join(F.broadcast(sizes), ["class", "property"], "left_semi")
+    return parts
 
 
 @dataclass(frozen=True)

@@ -1,12 +1,13 @@
 """Grounding, commands, signatures, engine."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from siltstone.engine import Engine
 from siltstone.operators import signatures
 from siltstone.plans import commands, grounding
 from siltstone.plans import reference_queries as rq
-from siltstone.plans.algebra import Aggregate
+from siltstone.plans.algebra import Aggregate, World
 
 
 def test_ask(spark, data):
@@ -19,6 +20,15 @@ def test_ask(spark, data):
     assert isinstance(best.term, Aggregate) and best.term.source.conditions[0].value == "building"
 
 
+def test_value_index_keeps_properties_of_many_values(spark):
+    names = spark.range(12_000).select(F.col("id").alias("c_custkey"), F.concat(F.lit("name"), "id").alias("c_name"), F.lit(1).alias("c_nationkey"), F.lit(1.0).alias("c_acctbal"), F.lit("X").alias("c_mktsegment"))
+    w = World(rq.ONTOLOGY, {"Customer": names})
+    index = grounding.value_index(w)
+    assert index.where("property = 'c_name'").count() == 12_000
+    best = grounding.candidates("how many customers name777", rq.ONTOLOGY, index)[0]
+    assert best.term.source.conditions[0].value == "name777"
+
+
 @pytest.mark.parametrize("text,kind", [("rename T.a to b", "rename"), ("retype T.a as double", "retype"), ("split T by a = 1 into X and Y", "split"), ("merge T and U into V", "merge"), ("link T.a to U.k", "link"), ("T.a is the same as b", "synonym"), ("make tea", None)])
 def test_parse_command(text, kind):
     c = commands.parse_command(text)
