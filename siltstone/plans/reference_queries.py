@@ -558,6 +558,12 @@ def tfidf_search(spark, d):
     return search.tfidf_search(table(spark, d, "documents"), "doc_id", "text", "worn tool found during incoming inspection").select("id", r6("score"))
 
 
+@query()
+def tfidf_search_rows(spark, d):
+    """Every document whose id is divisible by 20 against all documents."""
+    return search.tfidf_search_rows(table(spark, d, "documents"), "doc_id", "text", F.col("doc_id") % 20 == 0).select("query", "id", r6("score"))
+
+
 @query("select id, label, round(score, 6) as score from (select s_suppkey as id, s_name as label, case when starts_with(lower(s_name), 'supplier#00000001') then 0.75 + 0.25 * least(17.0 / length(s_name), 1.0) end as score from supplier) where score is not null order by score desc, label, id limit 5")
 def federated_search_bands(spark, d):
     return search.search_bands(table(spark, d, "supplier"), "s_suppkey", "s_name", "Supplier#00000001", 5).select("id", "label", r6("score"))

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from siltstone.operators import bitemporal, dependencies, provenance, quality, resolve
+from siltstone.operators import bitemporal, dependencies, provenance, quality, resolve, search
 from siltstone.plans import reference_queries as rq
 from siltstone.plans.algebra import Aggregate, Condition, Select, TopK, Traverse, typecheck
 from siltstone.plans.transforms import Runner, Transform, TransformError, affected, lineage, ordered, validate_sql
@@ -97,6 +97,46 @@ def test_functional_dependencies_with_nulls(spark):
     assert ("a", "b") in found and ("b", "a") not in found
 
 
+def _tfidf(texts):
+    """Unit vectors of token weights, by the definition."""
+    import hashlib
+    import math
+    import re
+    from collections import Counter
+
+    tf = {}
+    for k, text in texts.items():
+        words = re.findall("[a-z0-9]+", (text or "").lower())
+        v = Counter()
+        for t, n in Counter([*words, *(w[i : i + 3] for w in words if len(w) > 3 for i in range(len(w) - 2))]).items():
+            v[int(hashlib.md5(t.encode()).hexdigest()[:8], 16) % 4096] += 1 + math.log(n)
+        tf[k] = v
+    df = Counter(b for v in tf.values() for b in v)
+    vectors = {k: {b: w * (math.log((1 + len(texts)) / (1 + df[b])) + 1) for b, w in v.items()} for k, v in tf.items()}
+    return {k: {b: w / math.sqrt(sum(x * x for x in v.values())) for b, w in v.items()} for k, v in vectors.items() if v}
+
+
+def test_search_finds_parts_of_words(spark):
+    df = spark.createDataFrame([(1, "weatherstation"), (2, "unrelated"), (3, None)], "k int, t string")
+    found = search.tfidf_search(df, "k", "t", "weather").collect()
+    assert found[0]["id"] == 1 and found[0]["score"] > 0.3
+
+
+def test_search_of_rows_equals_brute_force(spark, data):
+    texts = dict(map(tuple, spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text").collect()))
+    vectors = _tfidf(texts)
+    dot = lambda a, b: round(sum(w * b.get(i, 0.0) for i, w in a.items()), 6)
+    df = spark.read.parquet(f"{data}/documents.parquet").repartition(3)
+    found = {}
+    for r in search.tfidf_search_rows(df, "doc_id", "text", F.col("doc_id") % 20 == 0, block=2).collect():
+        found.setdefault(r["query"], {})[r["id"]] = round(r["score"], 6)
+    assert set(found) == {k for k in vectors if k % 20 == 0} and found
+    for q, rows in found.items():
+        every = {k: s for k, v in vectors.items() if (s := dot(vectors[q], v)) > 0}
+        assert sorted(rows.values()) == pytest.approx(sorted(every.values())[-10:], abs=2e-6)
+        assert all(every[k] == pytest.approx(s, abs=2e-6) for k, s in rows.items())
+
+
 WEIGHTS = [
     ("7.381,0 kg", None, 7381.0), ("1,002.0 KGM", "LB", 1002.0), ("10kgs", None, 10.0), ("2 pounds", "", 0.9072), ("9.2 tonnes", None, 9200.0), ("3 t", None, 3000.0), ("1.5MT", None, 1500.0), ("2 short tons", None, 1814.3695),
     ("2 sh tn", None, 1814.3695), ("995,000 G", None, 995.0), (" 1,187 ", "GRM", 1.187), ("100", "Lb.", 45.3592), ("100", "N/A", None), ("heavy", "KG", None), ("", "KG", None), (None, "KG", None), ("5 furlongs", "KG", None), ("1.2.3 kg", None, None),
