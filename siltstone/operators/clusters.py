@@ -2,40 +2,40 @@
 
 from __future__ import annotations
 
-import hashlib
-
-import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Components beyond this many records are not clustered further: the component is the cluster.
-LARGEST = 20_000
+from siltstone.session import cut, discard
 
 
 def pivot_clusters(component: DataFrame, edges: DataFrame) -> DataFrame:
     """(record, cluster) by pivot clustering: in an order given by hashes, each record not yet taken is a pivot and
-    takes its unassigned neighbours. The order is local to a component, so components are clustered apart, each in
-    one task and bounded by LARGEST records; larger ones stay whole.
+    takes its unassigned neighbours of the same component.
+
+    In rounds, so that components may have any size: a record is settled once its earlier neighbours are. It is a
+    pivot if none of these is one, else it belongs to the first of them that is. That is what the order one by one gives.
 
     component: record, component. edges: a, b (positive pairs)."""
-    sizes = component.groupBy("component").agg(F.count(F.lit(1)).alias("n"))
-    small = component.join(sizes.where(F.col("n") <= LARGEST), "component").select("record", "component")
-    large = component.join(sizes.where(F.col("n") > LARGEST), "component").select("record", F.col("component").cast("string").alias("cluster"))
-    near = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).groupBy("a").agg(F.collect_set("b").alias("near"))
-    rows = small.join(near, small["record"] == near["a"], "left").select("component", "record", "near")
-    kind = component.schema["record"].dataType.simpleString()
-
-    def cluster(group: pd.DataFrame) -> pd.DataFrame:
-        near_of = {r: (set(n) if n is not None else set()) for r, n in zip(group["record"], group["near"], strict=True)}
-        taken: dict = {}
-        for r in sorted(near_of, key=lambda r: hashlib.md5(str(r).encode()).hexdigest()):
-            if r not in taken:
-                members = [r, *(x for x in near_of[r] if x in near_of and x not in taken)]
-                label = str(min(members, key=str))
-                taken.update((m, label) for m in members)
-        return pd.DataFrame({"record": list(taken), "cluster": list(taken.values())})
-
-    return rows.groupBy("component").applyInPandas(cluster, f"record {kind}, cluster string").unionByName(large)
+    of = component.where("record is not null").select("record", "component").dropDuplicates(["record"]).withColumn("rank", F.struct(F.md5(F.col("record").cast("string")).alias("h"), F.col("record").cast("string").alias("r")))
+    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).where("a <> b").distinct()
+    x, y = (of.select(F.col("record").alias(n), F.col("component").alias(f"c{n}"), F.col("rank").alias(f"r{n}")) for n in ("a", "b"))
+    # b comes before a
+    before = cut(both.join(x, "a").join(y, "b").where("ca <=> cb and rb < ra").select("a", "b", "rb"))
+    # pivot: null while a record is open
+    state = cut(of.select("record", F.lit(None).cast(before.schema["b"].dataType).alias("pivot")))
+    while not state.where("pivot is null").isEmpty():
+        first = before.join(state.where("pivot is null").select(F.col("record").alias("a")), "a").join(state.select(F.col("record").alias("b"), "pivot"), "b")
+        open_, is_pivot = F.col("pivot").isNull(), F.col("pivot") == F.col("b")
+        # the earliest neighbour that is a pivot takes the record, unless an earlier one is still open
+        seen = first.groupBy("a").agg(F.min(F.when(open_, F.col("rb"))).alias("waits"), F.min(F.when(is_pivot, F.col("rb"))).alias("taken"), F.min_by("b", F.when(is_pivot, F.col("rb"))).alias("by"))
+        after = state.join(seen.withColumnRenamed("a", "record"), "record", "left")
+        taken = F.col("taken").isNotNull() & (F.col("waits").isNull() | (F.col("taken") < F.col("waits")))
+        own = F.col("taken").isNull() & F.col("waits").isNull()
+        after = cut(after.select("record", F.coalesce("pivot", F.when(taken, F.col("by")).when(own, F.col("record"))).alias("pivot")))
+        discard(state)
+        state = after
+    label = state.groupBy("pivot").agg(F.min(F.col("record").cast("string")).alias("cluster"))
+    return state.join(label, "pivot").select("record", "cluster")
 
 
 def assign_identifiers(clusters: DataFrame, prior: DataFrame, prefix: str = "ent/") -> DataFrame:

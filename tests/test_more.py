@@ -62,6 +62,34 @@ def test_pivot_clusters(spark):
     assert uris[9] == "ent/y" and "ent/x" in uris.values()
 
 
+def _pivots(component, edges):
+    """Record by record in the order of the hashes."""
+    import hashlib
+
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    taken = {}
+    for r in sorted(component, key=lambda r: hashlib.md5(str(r).encode()).hexdigest()):
+        if r not in taken:
+            members = [r, *(x for x in near.get(r, ()) if x not in taken and component.get(x) == component[r])]
+            taken.update((m, min(map(str, members))) for m in members)
+    return taken
+
+
+def test_pivot_clusters_equal_the_order_one_by_one(spark):
+    import random
+
+    rnd = random.Random(8)
+    # a chain longer than any one task was given, and a dense part of its own
+    component = {i: 0 for i in range(20_500)} | {i: 1 for i in range(30_000, 30_200)}
+    edges = [(i, i + 1) for i in range(20_499)] + [(rnd.randrange(30_000, 30_200), rnd.randrange(30_000, 30_200)) for _ in range(800)] + [(5, 30_005)]
+    got = clusters.pivot_clusters(spark.createDataFrame(list(component.items()), "record long, component long"), spark.createDataFrame(edges, "a long, b long"))
+    found = {r["record"]: r["cluster"] for r in got.collect()}
+    assert found == _pivots(component, edges) and len(set(found.values())) > 6000
+
+
 def test_cache_never_stale(spark, data):
     w = rq.world(spark, data)
     kept = cache.AnswerCache(w)
