@@ -65,9 +65,9 @@ def tfidf_search_rows(df: DataFrame, key: str, text: str, asked: Column, k: int
     spark = df.sparkSession
     tf = cut(_term_weights(df.where(F.col(key).isNotNull()), key, text, dimensions))
     w = tf.join(F.broadcast(_idf(tf, df.count())), "dim").select("id", F.struct("dim", (F.col("tf") * F.col("idf")).alias("w")).alias("x"))
-    x = w.groupBy("id").agg(F.collect_list("x").alias("x"))
-    norm = F.sqrt(F.aggregate("x", F.lit(0.0), lambda a, e: a + e["w"] * e["w"]))
-    vectors = cut(x.withColumn("norm", norm).select("id", F.col("x.dim").alias("dims"), F.transform("x", lambda e: e["w"] / F.col("norm")).alias("ws")))
+    # the norm is an aggregate: as an expression on the array it would be evaluated for each of its elements
+    x = w.groupBy("id").agg(F.collect_list("x").alias("x"), F.sum(F.col("x.w") * F.col("x.w")).alias("square"))
+    vectors = cut(x.withColumn("norm", F.sqrt("square")).select("id", F.col("x.dim").alias("dims"), F.transform("x", lambda e: e["w"] / F.col("norm")).alias("ws")))
     ids = df.where(asked).select(F.col(key).alias("id")).distinct()
     queries = cut(vectors.join(ids, "id", "left_semi"))
     blocks = max(1, -(-queries.count() // block))
