@@ -1,30 +1,38 @@
 """Quantities recorded in different units.
 
-What a record states about its unit (inside the figure, in a unit column, in a text) is read by expressions. A
-calibrated random forest then predicts the unit of every record from the figure's magnitude, the source, category
-and neighbouring fields, and from what is stated, if anything. Confident assignments that don't contradict a
-stated unit are converted; the others go to review, where a stated unit, if there is one, settles them, and where
-records that state nothing stay without a converted value.
-
-The forest is fitted on a bounded sample (TRAIN_ROWS) of the records that state a unit; half of the sample is shown
-to it with the statements hidden, so that it learns to do without. Its confidence is calibrated by isotonic
-regression on held-out rows. Everything else covers all rows.
+What a record states about its unit (inside the figure, in a unit column, in a text, by its place) is read by
+expressions. A calibrated random forest then assigns a unit to every record from the figure's magnitude, the source,
+category and neighbouring fields, and from what is stated, if anything. Confident assignments that no statement
+contradicts are converted; all others go to review, with both the assigned and the stated unit, and without a converted
+value.
+
+The forest is fitted on a bounded sample (TRAIN_ROWS) of the records that state a unit, drawn evenly over the ways in
+which units are stated. It sees each of them twice, once with the statements hidden, so that it learns to do without.
+Its confidence is calibrated by isotonic regression on held-out records. Everything else covers all rows: the fitted
+trees become arrays, which whole Arrow batches walk down level by level.
 """
 
 from __future__ import annotations
 
+import uuid
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.ml.classification import RandomForestClassifier
-from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import IsotonicRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from siltstone.functions.text import is_absent
+from siltstone.session import remove, shared_folder
 
-#: Rows of the training sample, at most about twice this.
+#: Records of the training sample, at most about twice this.
 TRAIN_ROWS = 20_000
 CONFIDENT = 0.95
+#: Weight of a record shown with its statements hidden: less than one, so that trees look at statements first.
+HIDDEN_WEIGHT = 0.1
 
 # Unit, family, factor to the family's common unit, and the notations in which it is written
 # (lower case, letters and digits only).
@@ -49,7 +57,11 @@ COMMON = {"weight": "kg", "area": "sqm", "count": "each"}
 CODES = {u: i + 1 for i, (u, *_) in enumerate(UNITS)}
 FACTORS = {u: f for u, _, f, _ in UNITS}
 
-FEATURES = ["magnitude", "family_code", "source_code", "category_code", "place_code", "near_1", "near_2", "near_3", "figure_code", "column_code", "text_code"]
+STATEMENTS = ["figure", "column", "text", "default"]
+NUMBERS = ["magnitude", "near_1", "near_2", "near_3", "family_code", "stated_code", *[f"{n}_code" for n in STATEMENTS]]
+#: Fields of which the forest sees how large the figures of their values usually are.
+LEVELS = ["source", "category", "place"]
+FEATURES = [*NUMBERS, *LEVELS]
 
 
 def unit_of(notation: Column, family: str) -> Column:
@@ -107,13 +119,13 @@ def prepare(df: DataFrame, *, table_name: str, row_key: Column, family: str, fig
         unit_column.alias("unit_column"),
         (none if unit_text is None else unit_text).alias("text_unit"),
         (none if default is None else default).alias("default_unit"),
-        F.pmod(F.hash(F.lower(F.trim(category))), F.lit(97)).cast("double").alias("category_code"),
-        F.pmod(F.hash(F.lower(F.trim(place))), F.lit(97)).cast("double").alias("place_code"),
+        F.xxhash64(F.lit(table_name), F.lower(F.trim(category))).alias("category"),
+        F.xxhash64(F.lit(table_name), F.lower(F.trim(place)), F.lit(1)).alias("place"),
         *[n.alias(f"n{i + 1}") for i, n in enumerate(near)],
     )
     numbers = [log_of(F.col(f"n{i + 1}")) for i in range(len(near))] + [F.lit(None).cast("double")] * (3 - len(near))
     rows = with_figure(rows, "figure")
-    return rows.select("table_name", "row_key", "family", "value", unit_of(F.col("notation"), family).alias("figure_unit"), unit_of(F.col("unit_column"), family).alias("column_unit"), "text_unit", "default_unit", "category_code", "place_code", *[n.alias(f"near_{i + 1}") for i, n in enumerate(numbers)])
+    return rows.select("table_name", "row_key", "family", "value", unit_of(F.col("notation"), family).alias("figure_unit"), unit_of(F.col("unit_column"), family).alias("column_unit"), "text_unit", "default_unit", F.xxhash64("table_name").alias("source"), "category", "place", *[n.alias(f"near_{i + 1}") for i, n in enumerate(numbers)])
 
 
 def _code(c: Column) -> Column:
@@ -121,75 +133,188 @@ def _code(c: Column) -> Column:
     return F.coalesce(F.try_element_at(names, c), F.lit(0.0))
 
 
-def _features(df: DataFrame, hidden: Column) -> DataFrame:
+def _numbers(df: DataFrame, hidden: Column) -> DataFrame:
+    """df with NUMBERS, none of them null; the statements only where they aren't hidden."""
     families = F.create_map(*[F.lit(x) for i, f in enumerate(COMMON) for x in (f, float(i))])
-    df = df.withColumn("magnitude", F.coalesce(log_of(F.col("value")), F.lit(-9.0)))
-    df = df.withColumn("family_code", F.try_element_at(families, F.col("family"))).withColumn("source_code", F.pmod(F.hash("table_name"), F.lit(97)).cast("double"))
-    for name in ("figure", "column", "text"):
-        df = df.withColumn(f"{name}_code", F.when(hidden, 0.0).otherwise(_code(F.col(f"{name}_unit"))))
-    df = df.withColumns({f: F.coalesce(F.col(f), F.lit(-9.0)) for f in ("category_code", "place_code", "near_1", "near_2", "near_3")})
-    return VectorAssembler(inputCols=FEATURES, outputCol="features").transform(df)
+    df = df.withColumn("magnitude", log_of(F.col("value"))).withColumn("family_code", F.try_element_at(families, F.col("family")))
+    said = {"stated": stated_unit(), **{n: F.col(f"{n}_unit") for n in STATEMENTS}}
+    df = df.withColumns({f"{n}_code": F.when(hidden, 0.0).otherwise(_code(c)) for n, c in said.items()})
+    return df.withColumns({f: F.coalesce(F.col(f), F.lit(-9.0)) for f in ("magnitude", "near_1", "near_2", "near_3")})
 
 
 def stated_unit() -> Column:
     """A unit inside the figure outranks the unit column, that outranks the text, and that the default."""
-    return F.coalesce("figure_unit", "column_unit", "text_unit", "default_unit")
+    return F.coalesce(*[f"{n}_unit" for n in STATEMENTS])
+
+
+class Encoder:
+    """The matrix of FEATURES of a batch. A level (a source, category or place, by its hash) becomes the mean
+    magnitude of its figures in the training sample; one not seen there becomes that of all figures."""
+
+    def __init__(self, means: dict[str, dict[int, float]], overall: float):
+        self.overall = overall
+        self.keys = {c: np.array(sorted(m), dtype=np.int64) for c, m in means.items()}
+        self.values = {c: np.array([means[c][k] for k in keys]) for c, keys in self.keys.items()}
+
+    def __call__(self, columns: tuple[pd.Series, ...]) -> np.ndarray:
+        out = np.empty((len(FEATURES), len(columns[0])))
+        for i, name in enumerate(FEATURES):
+            given = columns[i].to_numpy()
+            if name in LEVELS:
+                keys, values = self.keys[name], self.values[name]
+                at = np.minimum(np.searchsorted(keys, given), max(len(keys) - 1, 0))
+                out[i] = np.where(keys[at] == given, values[at], self.overall) if len(keys) else self.overall
+            else:
+                out[i] = given
+        return out
+
+
+class Trees:
+    """The trees of a fitted forest as arrays: all rows of a batch go down a level in a few vector operations."""
+
+    def __init__(self, nodes: list, depth: int):
+        """nodes: of each tree (id, feature or -1, threshold, left, right, counts of classes), ids from 0 on."""
+        self.depth, self.roots, feature, bound, child, chances = depth, [], [], [], [], []
+        for tree in nodes:
+            base, at = len(feature), {}
+            # breadth first, so that the two children of a node stand next to each other
+            order = [0]
+            for i in order:
+                at[i] = base + len(at)
+                if tree[i][1] >= 0:
+                    order += [tree[i][3], tree[i][4]]
+            for i in order:
+                _, f, t, left, _, counts = tree[i]
+                feature.append(max(f, 0))
+                bound.append(t if f >= 0 else np.inf)
+                child.append(at[left] if f >= 0 else at[i])
+                total = sum(counts)
+                chances.append([c / total for c in counts] if f < 0 and total else [0.0] * len(counts))
+            self.roots.append(base)
+        self.feature, self.bound, self.child = np.array(feature, dtype=np.int64), np.array(bound), np.array(child, dtype=np.int64)
+        self.chances = np.array(chances, dtype=np.float64)
+
+    def __call__(self, x: np.ndarray) -> np.ndarray:
+        """Mean class probabilities, a row for each column of x."""
+        n, flat, total = x.shape[1], x.ravel(), 0.0
+        offsets = self.feature * n
+        rows = np.arange(n)
+        for root in self.roots:
+            node = np.full(n, root)
+            for _ in range(self.depth):
+                node = self.child[node] + (flat[offsets[node] + rows] > self.bound[node])
+            total = total + self.chances[node]
+        return total / len(self.roots)
+
+
+def _trees(forest, spark, depth: int) -> Trees:
+    """The fitted nodes, read from the model's own file: at most trees * 2^(depth + 1) rows."""
+    path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+    forest.write().save(path)
+    n = "nodeData"
+    rows = spark.read.parquet(f"{path}/data").select("treeID", f"{n}.id", f"{n}.split.featureIndex", F.get(f"{n}.split.leftCategoriesOrThreshold", 0).alias("bound"), f"{n}.leftChild", f"{n}.rightChild", f"{n}.impurityStats").collect()
+    remove(spark, path)
+    trees: dict[int, dict[int, tuple]] = {}
+    for tree, i, feature, bound, left, right, counts in rows:
+        trees.setdefault(tree, {})[i] = (i, -1 if left < 0 else feature, bound, left, right, list(counts))
+    return Trees([trees[t] for t in sorted(trees)], depth)
 
 
 class UnitModel:
     """A fitted forest with its calibration: the confidence that goes with each raw score."""
 
-    def __init__(self, forest, steps: list[tuple[float, float]]):
-        self.forest, self.steps = forest, steps
-
-    def predict(self, records: DataFrame) -> DataFrame:
-        """records with predicted_unit and its calibrated confidence."""
-        # only the probabilities are asked for, once per row; what is read several times has a column of its own
-        scorer = self.forest.copy().setRawPredictionCol("").setPredictionCol("")
-        scored = scorer.transform(_features(records, F.lit(False)))
-        # rand() is never below 0: the optimizer sees a value that it must not compute twice, and so neither pushes
-        # later filters below the forest nor copies it into each expression that uses its result
-        scored = scored.select(*records.columns, F.when(F.rand(0) >= 0, vector_to_array("probability")).alias("chances"))
-        scored = scored.withColumn("best", F.array_max("chances")).withColumn("at", F.array_position("chances", F.col("best")))
+    def __init__(self, encoder: Encoder, trees: Trees, curves: dict[bool, list[tuple[float, float]]]):
+        """curves: the points of the calibration where something is stated (True) and where nothing is."""
+        self.encoder, self.trees = encoder, trees
+        self.curves = {k: (np.array([s for s, _ in c]), np.array([v for _, v in c])) for k, c in curves.items() if c}
+
+    def score(self, columns: tuple[pd.Series, ...]) -> pd.DataFrame:
+        chances = self.trees(self.encoder(columns))
+        code = chances.argmax(axis=1)
+        raw, told = chances[np.arange(len(code)), code], columns[FEATURES.index("stated_code")].to_numpy() > 0
+        return pd.DataFrame({"code": code.astype(np.int32), "told": told, "raw": raw, "confidence": np.where(told, self.confidence(raw, True), self.confidence(raw, False))})
+
+    def confidence(self, raw: np.ndarray, told: bool) -> np.ndarray:
+        return np.interp(raw, *self.curves[told]) if told in self.curves else raw
+
+    def predict(self, records: DataFrame, hidden: Column | None = None) -> DataFrame:
+        """records with predicted_unit and its calibrated confidence; hidden: where statements are kept from it."""
+        model = records.sparkSession.sparkContext.broadcast(self)
+
+        def assign(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+            for columns in batches:
+                yield model.value.score(columns)[["code", "confidence"]]
+
+        # the optimizer must not ask it twice, so it isn't told that it is deterministic
+        udf = F.pandas_udf(assign, "code int, confidence double").asNondeterministic()
+        scored = _numbers(records, F.lit(False) if hidden is None else hidden).select(*records.columns, udf(*FEATURES).alias("assigned"))
         units = F.array(F.lit(None).cast("string"), *[F.lit(u) for u, *_ in UNITS])
-        levels = F.array(*[F.lit(max((c for s, c in self.steps if s <= i / 100), default=0.0)) for i in range(101)])
-        return scored.select(*records.columns, F.element_at(units, F.col("at").cast("int")).alias("predicted_unit"), F.get(levels, F.floor(F.col("best") * 100).cast("int")).alias("confidence"))
+        return scored.select(*records.columns, F.get(units, F.col("assigned.code")).alias("predicted_unit"), F.col("assigned.confidence").alias("confidence"))
 
 
-def fit(records: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 12, depth: int = 10) -> UnitModel | None:
-    """Fit on a hash sample of at most about 4 * train_rows rows, of which those that state a unit count, each unit
-    with at most about 2 * train_rows / len(UNITS); None if there are too few."""
+def training_sample(records: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFrame:
+    """A hash sample of at most about 4 * train_rows records, of which those that state a unit remain, and of these
+    an even share for each way of stating it: about 2 * train_rows at most, with stated, pick (a hash) and fold."""
     totals = {r["table_name"]: r["count"] for r in records.groupBy("table_name").count().collect()}  # a row a source
-    if not totals:
+    step = F.lit(1) if not totals else F.element_at(F.create_map(*[x for t, n in totals.items() for x in (F.lit(t), F.lit(max(1, n * len(totals) // (4 * train_rows))))]), F.col("table_name"))
+    drawn = records.where(F.pmod(F.xxhash64("row_key"), step) == 0)
+    ways = ["family", *[f"{n}_unit" for n in STATEMENTS]]
+    labelled = drawn.withColumn("stated", stated_unit()).where("stated is not null and value is not null")
+    labelled = labelled.withColumn("pick", F.xxhash64("table_name", "row_key", F.lit(1))).withColumn("way", F.xxhash64(*ways))
+    # the number of ways is bounded by the units
+    sizes = labelled.groupBy("way").agg(F.count(F.lit(1)).alias("size"))
+    kinds = sizes.agg(F.count(F.lit(1)).alias("kinds"))
+    shared = labelled.join(F.broadcast(sizes), "way").join(F.broadcast(kinds))
+    each = F.greatest(F.lit(1), F.floor(2 * train_rows / F.col("kinds")))
+    return shared.where(F.pmod("pick", F.greatest(F.lit(1), F.floor(F.col("size") / each))) == 0).withColumn("fold", F.pmod(F.shiftright("pick", 24), F.lit(4))).drop("way", "size", "kinds")
+
+
+def fit(records: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 10, depth: int = 14) -> UnitModel | None:
+    """Fit on training_sample; None if it has less than 50 records. A quarter of it is held out for calibration."""
+    spark = records.sparkSession
+    sample = training_sample(records, train_rows).cache()
+    means, overall = {}, 0.0
+    for name in LEVELS:  # at most as many as the sample has records
+        rows = sample.groupBy(name).agg(F.avg(log_of(F.col("value"))).alias("mean"), F.count(F.lit(1)).alias("n"), F.sum(log_of(F.col("value"))).alias("sum")).collect()
+        means[name] = {r[name]: r["mean"] or 0.0 for r in rows}
+        n = sum(r["n"] for r in rows)
+        overall = sum(r["sum"] or 0.0 for r in rows) / max(n, 1)
+    if n < 50:
+        sample.unpersist()
         return None
-    share = F.create_map(*[x for t, n in totals.items() for x in (F.lit(t), F.lit(max(1, n * len(totals) // (4 * train_rows))))])
-    drawn = records.where(F.pmod(F.xxhash64("row_key"), F.element_at(share, F.col("table_name"))) == 0)
-    labelled = drawn.withColumn("stated", stated_unit()).where("stated is not null and value is not null").withColumn("pick", F.xxhash64("table_name", "row_key", F.lit(1))).cache()
-    # each family and unit gets its share, so that rare units are seen; hash sampling is the same at any layout
-    sizes = {r["stated"]: r["n"] for r in labelled.groupBy("stated").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sum(sizes.values()) < 50:
-        labelled.unpersist()
-        return None
-    each = train_rows // len(UNITS)
-    gap = F.create_map(*[x for u, n in sizes.items() for x in (F.lit(u), F.lit(max(1, n // each)))])
-    sample = labelled.where(F.pmod("pick", F.element_at(gap, F.col("stated"))) == 0).withColumn("label", _code(F.col("stated")))
-    sample = _features(sample, F.pmod(F.shiftright("pick", 20), F.lit(2)) == 0).select("features", "label", F.pmod(F.shiftright("pick", 24), F.lit(4)).alias("fold")).cache()
-    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, maxBins=128, featureSubsetStrategy="0.7").fit(sample.where("fold > 0"))
-    held = forest.transform(sample.where("fold = 0")).select(F.array_max(vector_to_array("probability")).alias("raw"), (F.col("prediction") == F.col("label")).cast("double").alias("hit"))
-    curve = IsotonicRegression(featuresCol="raw", labelCol="hit").fit(held)
-    bounds, levels = list(curve.boundaries), list(curve.predictions)
-    sample.unpersist()
-    labelled.unpersist()
-    return UnitModel(forest, [(float(b), float(v)) for b, v in zip(bounds, levels, strict=True)][:: max(1, len(bounds) // 40)])
+    encoder = Encoder(means, overall)
+
+    def encode(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.Series]:
+        for columns in batches:
+            yield pd.Series(list(encoder(columns).T))
+
+    twice = sample.withColumn("hidden", F.explode(F.array(F.lit(False), F.lit(True))))
+    numbers = _numbers(twice, F.col("hidden"))
+    seen = numbers.select(*FEATURES, _code(F.col("stated")).alias("label"), "fold", F.when(F.col("hidden"), HIDDEN_WEIGHT).otherwise(1.0).alias("weight")).cache()
+    fitted = seen.where("fold > 0").select(array_to_vector(F.pandas_udf(encode, "array<double>")(*FEATURES)).alias("features"), "label", "weight")
+    forest = RandomForestClassifier(numTrees=trees, maxDepth=depth, seed=7, weightCol="weight", maxBins=64, maxMemoryInMB=512, featureSubsetStrategy="all").fit(fitted)
+    model = UnitModel(encoder, _trees(forest, spark, depth), {})
+
+    def raw(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
+        for columns in batches:
+            yield model.score(columns)[["code", "told", "raw"]]
+
+    held = seen.where("fold = 0").withColumn("s", F.pandas_udf(raw, "code int, told boolean, raw double")(*FEATURES)).select("s.raw", "s.told", (F.col("s.code") == F.col("label")).cast("double").alias("hit")).cache()
+    curves = {}
+    for told in (True, False):
+        curve = IsotonicRegression(featuresCol="raw", labelCol="hit").fit(held.where(F.col("told") == told))
+        curves[told] = [(float(b), float(v)) for b, v in zip(curve.boundaries, curve.predictions, strict=True)]
+    for df in (sample, seen, held):
+        df.unpersist()
+    return UnitModel(encoder, model.trees, curves)
 
 
 def convert(records: DataFrame, model: UnitModel | None, confident: float = CONFIDENT) -> DataFrame:
-    """records with unit, basis, confidence and canon_value (in the family's common unit).
+    """records with predicted_unit, stated_unit, unit, basis, confidence and canon_value (in the family's common unit).
 
-    basis: 'model' for a confident assignment that agrees with what is stated, 'stated' where review found the
-    stated unit against the model, 'predicted' for a confident assignment where nothing is stated, 'review' for
-    the rest, which keep a null unit and value. An unreadable figure gives a null canon_value. Without a model,
-    all stated units are 'stated' and the rest is 'review'.
+    basis: 'model' for a confident assignment that agrees with what is stated, 'predicted' for a confident one where
+    nothing is stated, 'review' for the rest, which keep a null unit and value. An unreadable figure gives a null
+    canon_value. Without a model (too few records to fit one) nothing is confident and all rows are 'review'.
     """
     if model is None:
         scored = records.withColumn("predicted_unit", F.lit(None).cast("string")).withColumn("confidence", F.lit(0.0))
@@ -197,8 +322,7 @@ def convert(records: DataFrame, model: UnitModel | None, confident: float = CONF
         scored = model.predict(records)
     scored = scored.withColumn("stated_unit", stated_unit())
     sure = F.coalesce(F.col("confidence") >= confident, F.lit(False)) & F.col("predicted_unit").isNotNull()
-    basis = F.when(F.col("stated_unit").isNotNull(), F.when(sure & (F.col("predicted_unit") == F.col("stated_unit")), "model").otherwise("stated")).when(sure, "predicted").otherwise("review")
+    basis = F.when(sure & (F.col("predicted_unit") == F.col("stated_unit")), "model").when(sure & F.col("stated_unit").isNull(), "predicted").otherwise("review")
     scored = scored.withColumn("basis", basis)
-    unit = F.when(F.col("basis").isin("model", "predicted"), F.col("predicted_unit")).when(F.col("basis") == "stated", F.col("stated_unit"))
     factors = F.create_map(*[F.lit(x) for pair in FACTORS.items() for x in pair])
-    return scored.withColumn("unit", unit).withColumn("canon_value", F.col("value") * F.try_element_at(factors, F.col("unit")))
+    return scored.withColumn("unit", F.when(F.col("basis") != "review", F.col("predicted_unit"))).withColumn("canon_value", F.col("value") * F.try_element_at(factors, F.col("unit")))

@@ -85,13 +85,13 @@ def p3_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every quantity with its unit, basis, confidence and value in the common unit; 'review' rows await a person."""
     records = quantity_records(spark, sf_dir)
     out = unit_conversion.convert(records, unit_conversion.fit(records))
-    return out.select("table_name", "row_key", "value", "unit", "basis", F.round("confidence", 6).alias("confidence"), F.round("canon_value", 6).alias("canon_value"))
+    return out.select("table_name", "row_key", "value", "unit", "stated_unit", "predicted_unit", "basis", F.round("confidence", 6).alias("confidence"), F.round("canon_value", 6).alias("canon_value"))
 
 
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     records = quantity_records(spark, sf_dir)
     out = unit_conversion.convert(records, unit_conversion.fit(records))
-    foreign = out.where(F.col("basis").isin("model", "stated") & ~F.col("unit").isin(*unit_conversion.COMMON.values()) & F.col("canon_value").isNotNull())
+    foreign = out.where((F.col("basis") == "model") & ~F.col("unit").isin(*unit_conversion.COMMON.values()) & F.col("canon_value").isNotNull())
     return foreign.select("table_name", "row_key", F.round("canon_value").cast("long").alias("canon_value")).distinct()
 
 

@@ -4,7 +4,6 @@ from __future__ import annotations
 
 import atexit
 import os
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -22,6 +21,7 @@ def local_session(cores: int = 8, shuffle_partitions: int = 8, app: str = "silts
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
+        .config("spark.checkpoint.dir", os.environ.get("SILTSTONE_SHARED_FOLDER", "/tmp/siltstone-shared"))
         .getOrCreate()
     )
 
@@ -30,19 +30,22 @@ _folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """This run's own folder below the one the cluster names in spark.checkpoint.dir; only where that is unset,
-    as in tests, below a temporary one. It is removed when the driver ends."""
+    """This run's own folder below the one the cluster names in spark.checkpoint.dir (or by setCheckpointDir). It is
+    removed when the driver ends. A session that names none is refused: a folder of the driver alone would not do."""
     app = spark.sparkContext.applicationId
     if app not in _folders:
         named = spark.conf.get("spark.checkpoint.dir", None)
         held = spark.sparkContext._jsc.sc().getCheckpointDir()
-        base = named or (held.get() if held.isDefined() else tempfile.mkdtemp(prefix="siltstone-"))
+        base = named or (held.get() if held.isDefined() else None)
+        if not base:
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         _folders[app] = f"{base.rstrip('/')}/siltstone-{uuid.uuid4().hex}"
-        atexit.register(_remove, spark, _folders[app])
+        atexit.register(remove, spark, _folders[app])
     return _folders[app]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
+    """Remove a file or folder that the session can reach."""
     try:
         at = spark._jvm.org.apache.hadoop.fs.Path(path)
         at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
@@ -70,7 +73,7 @@ def cut_counting(df: DataFrame, **counts) -> tuple[DataFrame, dict[str, int]]:
 def discard(df: DataFrame) -> None:
     """Remove a table made by cut that no later plan reads."""
     if path := getattr(df, "_held_at", None):
-        _remove(df.sparkSession, path)
+        remove(df.sparkSession, path)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
