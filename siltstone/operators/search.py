@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import difflib
 from collections.abc import Iterator
 
 import numpy as np
@@ -101,14 +102,35 @@ def tfidf_search_rows(df: DataFrame, key: str, text: str, asked: Column, k: int
     return found.withColumn("place", F.row_number().over(order)).where(F.col("place") <= k).drop("place")
 
 
+@F.pandas_udf("double")
+def sequence_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    """The share of two texts that lies in matching blocks, as difflib counts it; null for null."""
+    def one(x: str | None, y: str | None) -> float | None:
+        return None if x is None or y is None else difflib.SequenceMatcher(None, x, y).ratio()
+
+    return pd.Series([one(x, y) for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
+#: Least ratio of the fuzzy band, and what parts the words of a label.
+FUZZY_FLOOR = 0.6
+WORD_BREAKS = r"[\s_\-./:#@]+"
+
+
 def search_bands(df: DataFrame, key: str, label: str, query: str, k: int = 20) -> DataFrame:
-    """(id, label, score): exact and prefix above word prefix above substring above fuzzy; a longer share of the
-    label scores more inside its band."""
-    t, q = F.lower(F.col(label)), query.lower()
-    r = F.least(F.lit(float(len(q))) / F.length(t), F.lit(1.0))
-    close = 1 - F.levenshtein(t, F.lit(q)) / F.greatest(F.length(t), F.lit(len(q)))
-    score = F.when(t.startswith(q), 0.75 + 0.25 * r).when(F.instr(F.concat(F.lit(" "), t), " " + q) > 0, 0.55 + 0.15 * r).when(F.instr(t, q) > 0, 0.35 + 0.10 * r).when(close >= 0.6, 0.30 * close)
-    return df.select(F.col(key).alias("id"), F.col(label).alias("label"), score.alias("score")).where("score is not null").orderBy(F.desc("score"), "label", "id").limit(k)
+    """(id, label, score) of the k best labels, ties by label and id: exact and prefix above word prefix above substring
+    above fuzzy; a longer share of the label scores more inside its band. Null and blank labels, and a blank query,
+    match nothing."""
+    t, q = F.lower(F.trim(F.col(label))), query.lower().strip()
+    size = F.length(t)
+    r = F.least(F.lit(float(len(q))) / size, F.lit(1.0))
+    word = F.exists(F.split(t, WORD_BREAKS), lambda w: w.startswith(q))
+    score = F.when(t.startswith(q), 0.75 + 0.25 * r).when(word, 0.55 + 0.15 * r).when(F.instr(t, q) > 0, 0.35 + 0.10 * r)
+    # no ratio is above that of the lengths: labels much shorter or longer are never compared
+    likely = 2 * F.least(size, F.lit(len(q))) >= FUZZY_FLOOR * (size + len(q))
+    rows = df.select(F.col(key).alias("id"), F.col(label).alias("label"), t.alias("t"), score.alias("score"), likely.alias("likely")).where(F.lit(bool(q)) & (F.col("t") != "") & (F.col("score").isNotNull() | F.col("likely")))
+    near = sequence_ratio(F.lit(q), F.when(F.col("score").isNull(), F.col("t")))
+    rows = rows.withColumn("score", F.coalesce("score", F.when(near >= FUZZY_FLOOR, 0.30 * near)))
+    return rows.where("score is not null").select("id", "label", "score").orderBy(F.desc("score"), "label", "id").limit(k)
 
 
 def criticality(usage: DataFrame, degree: DataFrame, half_life: float = 50.0) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -564,9 +566,32 @@ def tfidf_search_rows(spark, d):
     return search.tfidf_search_rows(table(spark, d, "documents"), "doc_id", "text", F.col("doc_id") % 20 == 0).select("query", "id", r6("score"))
 
 
-@query("select id, label, round(score, 6) as score from (select s_suppkey as id, s_name as label, case when starts_with(lower(s_name), 'supplier#00000001') then 0.75 + 0.25 * least(17.0 / length(s_name), 1.0) end as score from supplier) where score is not null order by score desc, label, id limit 5")
+_ASKED = ["Supplier#000000001", "00000000", "PLIER#", "Suplier 00000002"]
+# the blocks that two texts share: the longest first, then those to its left and right
+_BANDS_SQL = r"""
+with recursive asked as (select unnest([{asked}]) as q),
+base as (select q, lower(trim(q)) as a, s_suppkey as id, s_name as label, lower(trim(s_name)) as t from asked, supplier),
+banded as (select *, least(length(a) / length(t), 1.0) as r, case when starts_with(t, a) then 0.75 + 0.25 * least(length(a) / length(t), 1.0)
+  when len([w for w in regexp_split_to_array(t, '[\s_\-./:#@]+') if starts_with(w, a)]) > 0 then 0.55 + 0.15 * least(length(a) / length(t), 1.0)
+  when contains(t, a) then 0.35 + 0.10 * least(length(a) / length(t), 1.0) end as score from base),
+parts(q, id, a, t, a0, a1, b0, b1, n) as (
+  select q, id, a, t, 0::bigint, length(a), 0::bigint, length(t), 0::bigint from banded where score is null
+  union all
+  select q, id, a, t, p.a0, p.a1, p.b0, p.b1, p.n from (
+    select q, id, a, t, unnest([{{'a0': a0, 'a1': -m.i, 'b0': b0, 'b1': -m.j, 'n': m.k}}, {{'a0': -m.i + m.k, 'a1': a1, 'b0': -m.j + m.k, 'b1': b1, 'n': 0::bigint}}]) as p from (
+      select *, list_max(flatten([[{{'k': len([k for k in range(1, 1 + least(a1 - i, b1 - j)) if substr(a, i + 1, k) = substr(t, j + 1, k)]), 'i': -i, 'j': -j}} for j in range(b0, b1)] for i in range(a0, a1)])) as m
+      from parts where a1 > a0 and b1 > b0) where m.k > 0)),
+fuzzy as (select q, id, any_value(2.0 / (length(a) + length(t))) * sum(n) as ratio from parts group by q, id),
+scored as (select q, id, label, coalesce(score, case when ratio >= 0.6 then 0.30 * ratio end) as score from banded left join fuzzy using (q, id))
+select q as query, id, label, round(score, 6) as score from scored where score is not null qualify row_number() over (partition by q order by score desc, label, id) <= 20
+""".format(asked=", ".join(f"'{a}'" for a in _ASKED))
+
+
+@query(_BANDS_SQL)
 def federated_search_bands(spark, d):
-    return search.search_bands(table(spark, d, "supplier"), "s_suppkey", "s_name", "Supplier#00000001", 5).select("id", "label", r6("score"))
+    """Four searches, of which each has its best hits in another band: exact, word prefix, substring, fuzzy."""
+    found = [search.search_bands(table(spark, d, "supplier"), "s_suppkey", "s_name", a, 20).select(F.lit(a).alias("query"), "id", "label", r6("score")) for a in _ASKED]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("with u as (select user_id as uri, count(*) as uses, max(event_id) as last from events group by 1), g as (select user_id as uri, count(distinct event_type) as degree, 0 as dependents from events group by 1), m as (select greatest((select max(uses) from u), 1) mu, greatest((select max(degree) from g), 1) md, (select max(event_id) from events) nw) select uri, round(0.4 * uses / mu + 0.25 * degree / md + 0.2 * pow(0.5, (nw - last) / 50.0), 6) as score from u join g using (uri), m")
