@@ -223,8 +223,8 @@ def _trees(forest, spark, depth: int) -> Trees:
 class UnitModel:
     """A fitted forest with its calibration: the confidence that goes with each raw score."""
 
-    def __init__(self, encoder: Encoder, trees: Trees, curves: dict[bool, list[tuple[float, float]]]):
-        """curves: the points of the calibration where something is stated (True) and where nothing is."""
+    def __init__(self, encoder: Encoder, trees: Trees, curves: dict[tuple[int, bool], list[tuple[float, float]]]):
+        """curves: the points of the calibration of each family, where something is stated (True) and where not."""
         self.encoder, self.trees = encoder, trees
         self.curves = {k: (np.array([s for s, _ in c]), np.array([v for _, v in c])) for k, c in curves.items() if c}
 
@@ -232,10 +232,11 @@ class UnitModel:
         chances = self.trees(self.encoder(columns))
         code = chances.argmax(axis=1)
         raw, told = chances[np.arange(len(code)), code], columns[FEATURES.index("stated_code")].to_numpy() > 0
-        return pd.DataFrame({"code": code.astype(np.int32), "told": told, "raw": raw, "confidence": np.where(told, self.confidence(raw, True), self.confidence(raw, False))})
-
-    def confidence(self, raw: np.ndarray, told: bool) -> np.ndarray:
-        return np.interp(raw, *self.curves[told]) if told in self.curves else raw
+        family, sure = columns[FEATURES.index("family_code")].to_numpy(), np.zeros(len(code))
+        for (f, t), (scores, levels) in self.curves.items():
+            rows = (family == f) & (told == t)
+            sure[rows] = np.interp(raw[rows], scores, levels)
+        return pd.DataFrame({"code": code.astype(np.int32), "told": told, "raw": raw, "confidence": sure})
 
     def predict(self, records: DataFrame, hidden: Column | None = None) -> DataFrame:
         """records with predicted_unit and its calibrated confidence; hidden: where statements are kept from it."""
@@ -261,12 +262,11 @@ def training_sample(records: DataFrame, train_rows: int = TRAIN_ROWS) -> DataFra
     ways = ["family", *[f"{n}_unit" for n in STATEMENTS]]
     labelled = drawn.withColumn("stated", stated_unit()).where("stated is not null and value is not null")
     labelled = labelled.withColumn("pick", F.xxhash64("table_name", "row_key", F.lit(1))).withColumn("way", F.xxhash64(*ways))
-    # the number of ways is bounded by the units
-    sizes = labelled.groupBy("way").agg(F.count(F.lit(1)).alias("size"))
-    kinds = sizes.agg(F.count(F.lit(1)).alias("kinds"))
-    shared = labelled.join(F.broadcast(sizes), "way").join(F.broadcast(kinds))
-    each = F.greatest(F.lit(1), F.floor(2 * train_rows / F.col("kinds")))
-    return shared.where(F.pmod("pick", F.greatest(F.lit(1), F.floor(F.col("size") / each))) == 0).withColumn("fold", F.pmod(F.shiftright("pick", 24), F.lit(4))).drop("way", "size", "kinds")
+    sizes = {r["way"]: r["n"] for r in labelled.groupBy("way").agg(F.count(F.lit(1)).alias("n")).collect()}  # bounded by the units
+    each = max(1, 2 * train_rows // max(1, len(sizes)))
+    gaps = F.create_map(*[F.lit(x) for way, n in sizes.items() for x in (way, max(1, n // each))]) if sizes else None
+    gap = F.lit(1) if gaps is None else F.coalesce(F.try_element_at(gaps, F.col("way")), F.lit(1))
+    return labelled.where(F.pmod("pick", gap) == 0).withColumn("fold", F.pmod(F.shiftright("pick", 24), F.lit(4))).drop("way")
 
 
 def fit(records: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 10, depth: int = 14) -> UnitModel | None:
@@ -299,11 +299,11 @@ def fit(records: DataFrame, train_rows: int = TRAIN_ROWS, trees: int = 10, depth
         for columns in batches:
             yield model.score(columns)[["code", "told", "raw"]]
 
-    held = seen.where("fold = 0").withColumn("s", F.pandas_udf(raw, "code int, told boolean, raw double")(*FEATURES)).select("s.raw", "s.told", (F.col("s.code") == F.col("label")).cast("double").alias("hit")).cache()
+    held = seen.where("fold = 0").withColumn("s", F.pandas_udf(raw, "code int, told boolean, raw double")(*FEATURES)).select("family_code", "s.raw", "s.told", (F.col("s.code") == F.col("label")).cast("double").alias("hit")).cache()
     curves = {}
-    for told in (True, False):
-        curve = IsotonicRegression(featuresCol="raw", labelCol="hit").fit(held.where(F.col("told") == told))
-        curves[told] = [(float(b), float(v)) for b, v in zip(curve.boundaries, curve.predictions, strict=True)]
+    for family, told in held.select("family_code", "told").distinct().collect():
+        curve = IsotonicRegression(featuresCol="raw", labelCol="hit").fit(held.where((F.col("family_code") == family) & (F.col("told") == told)))
+        curves[int(family), told] = [(float(b), float(v)) for b, v in zip(curve.boundaries, curve.predictions, strict=True)]
     for df in (sample, seen, held):
         df.unpersist()
     return UnitModel(encoder, model.trees, curves)
