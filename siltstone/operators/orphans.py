@@ -1,9 +1,10 @@
 """References to records that do not exist.
 
-Keys are range-partitioned by bounds taken from the parents' keys. Each range holds its parents as sorted arrays
-(key, start and end of each time in which it existed) and probes its references in vectorised batches by binary
-search. A range with many references is salted: its parents go to every salt, its references to one of them, so a
-hot key is never one task's work.
+Parents and references stand in one order, by key and time, and are cut into ranges of about the same number of rows by
+bounds from a random sample of both. A key that holds many rows thus spans several ranges by itself, and rows of one key
+and time too many for a range are dealt out over as many ranges as the sample shows bounds at it. Each range holds its
+parents as sorted arrays and probes its references in vectorised batches by binary search; what earlier ranges know of
+the key with which a range begins is one number, carried into it.
 """
 
 from __future__ import annotations
@@ -12,24 +13,42 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 FOREVER = 2**62
-
-
-def existence(parents: DataFrame) -> DataFrame:
-    """Disjoint times (key, start, end) in which a key existed, from overlapping ones of its records."""
-    order = Window.partitionBy("key").orderBy("start", "end")
-    reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    fresh = parents.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
-    runs = fresh.withColumn("run", F.sum("new").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)))
-    return runs.groupBy("key", "run").agg(F.min("start").alias("start"), F.max("end").alias("end")).drop("run")
+#: Rows of a range, and rows of the sample for each range.
+ROWS_PER_RANGE, SAMPLED_PER_RANGE = 250_000, 50
+
+
+class Ranges:
+    """Bounds (key, at), ascending: range i holds what is above bound i - 1 and not above bound i."""
+
+    def __init__(self, bounds: list[tuple[str, int]]):
+        self.bounds = bounds
+        self.keys = np.array([k for k, _ in bounds], dtype=object)
+        self.times = np.array([t for _, t in bounds], dtype=np.int64)
+
+    def place(self, key: pd.Series, at: pd.Series, draw: pd.Series) -> pd.Series:
+        """The range of each row; rows that equal several bounds are dealt out by draw, which is 0 to 1."""
+        if not len(self.keys):
+            return pd.Series(np.zeros(len(key), dtype=np.int32))
+        codes, distinct = pd.factorize(key)
+        distinct = np.asarray(distinct, dtype=object)
+        low, high = np.searchsorted(self.keys, distinct, "left"), np.searchsorted(self.keys, distinct, "right")
+        out = low[codes].astype(np.int64)
+        time, share = at.to_numpy(dtype=np.int64), draw.to_numpy(dtype=np.float64)
+        for c in np.flatnonzero(high > low):  # keys at which a bound stands
+            rows = np.flatnonzero(codes == c)
+            times = self.times[low[c] : high[c]]
+            first, last = np.searchsorted(times, time[rows], "left"), np.searchsorted(times, time[rows], "right")
+            out[rows] += first + (share[rows] * np.maximum(last - first, 1)).astype(np.int64)
+        return pd.Series(out.astype(np.int32))
 
 
 def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Rows sorted by cell, parents (kind 0) first and by key and start: references with nothing behind them."""
-    cell, held, arrays = None, [], None
+    """A range's rows, parents (kind 0) first: its references with nothing behind them."""
+    held, arrays = [], None
 
     def build() -> tuple:
         p = pd.concat(held) if held else pd.DataFrame({"key": [], "at": [], "end": []})
@@ -37,39 +56,46 @@ def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         times, ranks = np.unique(p["at"].to_numpy(dtype=np.int64), return_inverse=True)
         place = codes.astype(np.int64) * (len(times) + 1) + ranks
         order = np.argsort(place, kind="stable")
-        return keys, times, place[order], p["end"].to_numpy(dtype=np.int64)[order]
+        # how long anything that began before or at a place was there
+        reach = p["end"].iloc[order].astype("int64").groupby(codes[order]).cummax().to_numpy()
+        return keys, times, place[order], reach
 
     for batch in batches:
-        cuts = np.flatnonzero(np.r_[True, (batch["cell"].to_numpy()[1:] != batch["cell"].to_numpy()[:-1])]) if len(batch) else []
-        misses = []
-        for i, lo in enumerate(cuts):
-            part = batch.iloc[lo : cuts[i + 1] if i + 1 < len(cuts) else len(batch)]
-            if part["cell"].iloc[0] != cell:
-                cell, held, arrays = part["cell"].iloc[0], [], None
-            parents, refs = part[part["kind"] == 0], part[part["kind"] == 1]
-            if len(parents):
-                held.append(parents[["key", "at", "end"]])
-            if not len(refs):
-                continue
-            if arrays is None:
-                arrays, held = build(), []
-            keys, times, place, ends = arrays
-            if not len(keys):
-                misses.append(refs)
-                continue
-            probe, at = refs["key"].to_numpy(dtype=object), refs["at"].to_numpy(dtype=np.int64)
-            code = np.minimum(np.searchsorted(keys, probe), len(keys) - 1)
+        parents, refs = batch[batch["kind"] == 0], batch[batch["kind"] == 1]
+        if len(parents):
+            held.append(parents[["key", "at", "end"]])
+        if not len(refs):
+            continue
+        if arrays is None:
+            arrays, held = build(), []
+        keys, times, place, reach = arrays
+        if len(keys):
+            at = refs["at"].to_numpy(dtype=np.int64)
+            codes, distinct = pd.factorize(refs["key"])  # a batch has few keys; each is searched once
+            distinct = np.asarray(distinct, dtype=object)
+            found = np.minimum(np.searchsorted(keys, distinct), len(keys) - 1)
+            known, code = (keys[found] == distinct)[codes], found[codes]
             rank = np.searchsorted(times, at, side="right")  # times at or before the reference
             last = np.searchsorted(place, code * (len(times) + 1) + rank) - 1
-            ok = (keys[code] == probe) & (last >= 0)
             at_last = np.maximum(last, 0)
-            ok &= (place[at_last] // (len(times) + 1) == code) & (ends[at_last] > at)
-            misses.append(refs[~ok])
-        if misses:
-            yield pd.concat(misses)[["key", "at", "row_key"]]
+            refs = refs[~(known & (last >= 0) & (place[at_last] // (len(times) + 1) == code) & (reach[at_last] > at))]
+        if len(refs):
+            yield refs[["key", "at", "row_key"]]
+
+
+def _ranges(spark: SparkSession, parents: DataFrame, references: DataFrame, rows_per_range: int) -> Ranges:
+    """Bounds by rank of a sample; SAMPLED_PER_RANGE short rows for each range come to the driver."""
+    total = references.count() + parents.count()
+    ranges = -(-total // rows_per_range)
+    if ranges <= 1:
+        return Ranges([])
+    share = min(1.0, SAMPLED_PER_RANGE * ranges / total)
+    sample = references.select("key", "at").unionByName(parents.select("key", F.col("start").alias("at"))).sample(share, seed=11)
+    rows = sorted(tuple(r) for r in sample.collect())
+    return Ranges([rows[i * len(rows) // ranges] for i in range(1, ranges)] if len(rows) >= ranges else rows)
 
 
-def orphans(references: DataFrame, parents: DataFrame, parents_per_range: int = 50_000, references_per_cell: int = 250_000) -> DataFrame:
+def orphans(references: DataFrame, parents: DataFrame, rows_per_range: int = ROWS_PER_RANGE) -> DataFrame:
     """References (row_key, key, at) for whose key no parent existed at that time.
 
     references: key string, at long (microseconds), row_key string. parents: key string, start long, end long
@@ -78,33 +104,42 @@ def orphans(references: DataFrame, parents: DataFrame, parents_per_range: int =
     No parents at all: every reference is an orphan.
     """
     spark = references.sparkSession
-    known = existence(parents.where("key is not null and start is not null").select("key", "start", F.coalesce("end", F.lit(FOREVER)).alias("end")).where("end > start").distinct())
+    known = parents.where("key is not null and start is not null").select("key", "start", F.coalesce("end", F.lit(FOREVER)).alias("end")).where("end > start")
+    known = known.groupBy("key", "start").agg(F.max("end").alias("end"))
     refs = references.where("key is not null").select("key", F.coalesce("at", F.lit(FOREVER - 1)).alias("at"), F.col("row_key").cast("string").alias("row_key"))
-    n = known.count()
-    ranges = max(1, min(4096, -(-n // parents_per_range)))
-    if ranges > 1:
-        # bounds by rank of a hash-free sample of keys: at most 4095 strings, whatever the parents' number
-        sample = known.select("key").distinct().where(F.pmod(F.xxhash64("key"), F.lit(max(1, n // (ranges * 50)))) == 0).sort("key").collect()
-        step = max(1, len(sample) // ranges)
-        bounds = [r["key"] for r in sample[step::step]][: ranges - 1]
-    else:
-        bounds = []
-    if bounds:
-        at = F.array(*[F.lit(b) for b in bounds])
-        number = lambda c: F.size(F.filter(at, lambda b: b <= c))
-    else:
-        number = lambda c: F.lit(0)
-    refs = refs.withColumn("range", number(F.col("key")))
-    load = refs.groupBy("range").agg(F.count(F.lit(1)).alias("n")).collect()  # a row a range, at most 4096
-    salts = {r["range"]: max(1, -(-r["n"] // references_per_cell)) for r in load}
-    slots = spark.createDataFrame([(k, s) for k, v in salts.items() for s in range(v)], "range int, salt int")
-    spread = F.coalesce(F.try_element_at(F.create_map(*[x for k, v in salts.items() for x in (F.lit(k), F.lit(v))]), F.col("range")), F.lit(1)) if salts else F.lit(1)
-    refs = refs.withColumn("salt", F.pmod(F.xxhash64("row_key", "at"), spread).cast("int"))
-    held = known.withColumn("range", number(F.col("key"))).join(F.broadcast(slots), "range")
-    cell = F.concat_ws("-", "range", "salt").alias("cell")
-    both = held.select(cell, F.lit(0).alias("kind"), "key", F.col("start").alias("at"), "end", F.lit(None).cast("string").alias("row_key")).unionByName(refs.select(cell, F.lit(1).alias("kind"), "key", "at", F.lit(None).cast("long").alias("end"), "row_key"))
-    ordered = both.repartition("cell").sortWithinPartitions("cell", "kind")
-    return ordered.mapInPandas(_probe, "key string, at long, row_key string")
+    ranges = _ranges(spark, known, refs, rows_per_range)
+    sent = spark.sparkContext.broadcast(ranges)
+
+    @F.pandas_udf("int")
+    def place(key: pd.Series, at: pd.Series, draw: pd.Series) -> pd.Series:
+        return sent.value.place(key, at, draw)
+
+    place = place.asNondeterministic()  # not to be evaluated twice
+    held = known.select("key", F.col("start").alias("at"), "end", place("key", "start", F.lit(0.0)).alias("cell"))
+    asked = refs.select("key", "at", "row_key", place("key", "at", F.rand(13)).alias("cell"))
+    nothing = F.lit(None)
+    both = held.select("cell", F.lit(0).alias("kind"), "key", "at", "end", nothing.cast("string").alias("row_key")).unionByName(asked.select("cell", F.lit(1).alias("kind"), "key", "at", nothing.cast("long").alias("end"), "row_key"))
+    carried = _carried(held, ranges)
+    if carried:
+        both = both.unionByName(spark.createDataFrame(carried, "cell int, key string, end long").select("cell", F.lit(0).alias("kind"), "key", F.lit(-FOREVER).alias("at"), "end", nothing.cast("string").alias("row_key")))
+    ordered = both.repartitionById(len(ranges.bounds) + 1, "cell").sortWithinPartitions("kind")
+    return ordered.select("kind", "key", "at", "end", "row_key").mapInPandas(_probe, "key string, at long, row_key string")
+
+
+def _carried(held: DataFrame, ranges: Ranges) -> list[tuple[int, str, int]]:
+    """(range, key, end): how long the key at the bound below a range was there, by its parents in earlier ranges."""
+    if not ranges.bounds:
+        return []
+    # a row for each range and key with a bound: at most two a bound
+    at_bounds = held.sparkSession.createDataFrame([(k,) for k in sorted(set(ranges.keys))], "key string")
+    reach = {(r["cell"], r["key"]): r["end"] for r in held.join(F.broadcast(at_bounds), "key").groupBy("cell", "key").agg(F.max("end").alias("end")).collect()}
+    out, ends = [], {}
+    for i, (key, _) in enumerate(ranges.bounds):
+        if (i, key) in reach:
+            ends[key] = max(ends.get(key, -FOREVER), reach[i, key])
+        if key in ends:
+            out.append((i + 1, key, ends[key]))
+    return out
 
 
 def orphan_report(found: DataFrame, by: list[str]) -> DataFrame:
