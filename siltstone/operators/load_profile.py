@@ -11,7 +11,9 @@ LIMIT a load departs by more than chance allows in a load of its size.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import string
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.session import cut
@@ -27,9 +29,11 @@ DECILES = [0.0, 0.1, 0.2, 0.3, 0.4, 0.5, 0.6, 0.7, 0.8, 0.9, 1.0]
 
 def mask(c: Column) -> Column:
     """The character-class mask of a text: 'N73125MG' is 'A9+AA', 'rev. 2' is 'aaa. 9'."""
-    m = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\p{Lu}", "A"), r"[\p{Ll}\p{Lo}]", "a"), r"\p{Nd}", "9")
+    plain = F.translate(c, string.ascii_uppercase + string.ascii_lowercase + string.digits, "A" * 26 + "a" * 26 + "9" * 10)
+    classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\p{Lu}", "A"), r"[\p{Ll}\p{Lo}]", "a"), r"\p{Nd}", "9")
+    m = F.when(F.octet_length(c) == F.length(c), plain).otherwise(classes)  # patterns only where there are other letters
     for sign in "Aa9":
-        m = F.regexp_replace(m, sign + "{" + str(LONG_RUN + 1) + ",}", sign + "+")
+        m = F.when(F.contains(m, F.lit(sign * (LONG_RUN + 1))), F.regexp_replace(m, sign + "{" + str(LONG_RUN + 1) + ",}", sign + "+")).otherwise(m)
     return m
 
 
@@ -72,13 +76,15 @@ def _score(classes: DataFrame) -> DataFrame:
     column, by = ["table_name", "column_name", "kind"], ["table_name", "load_no", "column_name", "kind"]
     sizes = classes.groupBy(*by).agg(F.sum("n").alias("size"))
     loads = sizes.groupBy(*column).agg(F.count(F.lit(1)).alias("loads"), F.sum("size").alias("values"))
-    shares = classes.join(sizes, by).withColumn("share", F.col("n") / F.col("size"))
-    seen = shares.groupBy(*column, "class").agg(F.count(F.lit(1)).alias("in_loads"), F.sum("n").alias("n_all"), F.sort_array(F.collect_list(F.round("share", 9))).alias("held"))
-    seen = seen.join(F.broadcast(loads), column)
+    seen = classes.groupBy(*column, "class").agg(F.count(F.lit(1)).alias("in_loads"), F.sum("n").alias("n_all")).join(F.broadcast(loads), column)
     dominant = seen.where((F.col("in_loads") >= IN_LOADS * F.col("loads")) & (F.col("n_all") >= OF_VALUES * F.col("values")))
-    # the median over all loads, those without the class counting as 0
+    # the median over all loads, those without the class counting as 0: the at-th smallest of the shares that are there.
+    # Dominant classes are at most 1 / OF_VALUES per column; each has a row a load, which the window can spill
     at = F.ceil(F.col("loads") / 2).cast("int") - (F.col("loads") - F.col("in_loads")).cast("int")
-    reference = dominant.select(*column, "class", F.greatest(F.when(at >= 1, F.try_element_at("held", at)).otherwise(0.0), F.lit(STRAY)).alias("ref"))
+    order = Window.partitionBy(*column, "class").orderBy("share")
+    shares = classes.join(F.broadcast(dominant), [*column, "class"]).join(sizes, by).withColumn("share", F.col("n") / F.col("size"))
+    middle = shares.withColumn("i", F.row_number().over(order)).where(F.col("i") == F.greatest(at, F.lit(1)))
+    reference = middle.select(*column, "class", F.greatest(F.when(at >= 1, F.col("share")).otherwise(0.0), F.lit(STRAY)).alias("ref"))
     total = reference.groupBy(*column).agg((F.sum("ref") + STRAY).alias("all_ref"), F.count(F.lit(1)).alias("k"))
     reference = reference.join(total, column).withColumn("ref", F.col("ref") / F.col("all_ref")).drop("all_ref", "k")
     # the table of dominant classes has at most 1 / OF_VALUES rows per column of the profiled tables
@@ -117,8 +123,9 @@ def drift(rows: DataFrame) -> DataFrame:
 
 
 def departures(rows: DataFrame, limit: float = LIMIT) -> DataFrame:
-    """Loads (table_name, load_no, column_name) in which a column departs from what its loads normally show."""
-    return drift(rows).where(F.col("score") > limit).select("table_name", "load_no", "column_name").distinct()
+    """Loads (table_name, load_no, column_name) in which a column departs from what its loads normally show, and the
+    kinds of class ('mask', 'value', 'bin') that show it."""
+    return drift(rows).where(F.col("score") > limit).groupBy("table_name", "load_no", "column_name").agg(F.sort_array(F.collect_set("kind")).alias("kinds"))
 
 
 def rare_masks(rows: DataFrame) -> DataFrame:

@@ -158,7 +158,13 @@ def load_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return load_profile.departures(load_cells(spark, sf_dir))
+    return p5_departures(spark, sf_dir).drop("kinds")
+
+
+def p5_departures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of p5_found with the kinds of class that show each: masks, values or quantile bins."""
+    found = load_profile.departures(load_cells(spark, sf_dir))
+    return found.withColumn("kinds", F.array_join("kinds", ","))
 
 
 def p5_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -187,5 +193,5 @@ P5_PROFILE_SQL = " union all ".join(
     for c in columns
 )
 
-QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_units": p3_units, "p5_found": p5_found, "p5_profile": p5_profile, "p5_drift": p5_drift, "p5_rare_masks": p5_rare_masks, "p7_found": p7_found, "p7_report": p7_report}
+QUERIES = {"p1_found": p1_found, "p3_found": p3_found, "p3_units": p3_units, "p5_found": p5_found, "p5_departures": p5_departures, "p5_profile": p5_profile, "p5_drift": p5_drift, "p5_rare_masks": p5_rare_masks, "p7_found": p7_found, "p7_report": p7_report}
 SQL = {"p1_found": P1_FOUND_SQL, "p5_profile": P5_PROFILE_SQL, "p7_found": P7_FOUND_SQL, "p7_report": P7_REPORT_SQL}

@@ -47,11 +47,23 @@ def test_orphans_equal_brute_force(spark, small):
     refs = [(rnd.choice([*keys, "k001", "k001", "k001", None, "nowhere"]), rnd.choice([None, *range(110)]), f"r{i}") for i in range(500)]
     live = lambda k, t: any(p[0] == k and p[1] is not None and p[1] <= t and (p[2] is None or p[2] > t) and (p[2] is None or p[2] > p[1]) for p in parents)
     expected = sorted(r[2] for r in refs if r[0] is not None and not live(r[0], 2**62 - 1 if r[1] is None else r[1]))
-    sizes = {"parents_per_range": 7, "references_per_cell": 11} if small else {}
+    sizes = {"rows_per_range": 11} if small else {}
     got = orphans.orphans(spark.createDataFrame(refs, "key string, at long, row_key string"), spark.createDataFrame(parents, "key string, start long, end long"), **sizes)
     assert sorted(r["row_key"] for r in got.collect()) == expected
 
 
+def test_orphans_hot_key_and_time(spark):
+    """A key, and one time of it, with most rows: they span several ranges, and all of them know its parents."""
+    refs = spark.range(3000).selectExpr("if(id % 3 = 0, concat('k', id % 50), 'hot') as key", "if(id % 2 = 0, 7L, id % 40) as at", "cast(id as string) as row_key")
+    parents = spark.range(400).selectExpr("if(id % 4 = 0, concat('k', id % 50), 'hot') as key", "10 + id % 13 as start", "12 + id % 19 as end")
+    ranges = orphans._ranges(spark, parents, refs, 100)
+    assert sum(k == "hot" for k, _ in ranges.bounds) > 10 and len(set(ranges.bounds)) < len(ranges.bounds)
+    got = sorted(r["row_key"] for r in orphans.orphans(refs, parents, 100).collect())
+    assert got == sorted(r["row_key"] for r in orphans.orphans(refs, parents).collect())
+    expected = refs.join(parents, "key", "left").groupBy("row_key").agg(F.max(F.expr("coalesce(start <= at and at < end, false)")).alias("there")).where("not there")
+    assert got == sorted(r["row_key"] for r in expected.collect())
+
+
 def test_orphans_empty(spark):
     refs = spark.createDataFrame([("a", 1, "r")], "key string, at long, row_key string")
     parents = spark.createDataFrame([], "key string, start long, end long")
@@ -73,13 +85,37 @@ def _weights(spark, rows):
 def test_units_read(spark):
     out = {r["row_key"]: r for r in unit_conversion.convert(_weights(spark, FIGURES), None).collect()}
     for i, (_, _, unit, value) in enumerate(FIGURES):
-        assert out[f"s{i}"]["unit"] == unit, FIGURES[i]
+        assert out[f"s{i}"]["stated_unit"] == unit, FIGURES[i]
         if value is None:
             assert out[f"s{i}"]["value"] is None or out[f"s{i}"]["value"] > 1e300
         else:
             assert out[f"s{i}"]["value"] == pytest.approx(value)
-    assert out["s2"]["canon_value"] == pytest.approx(2451.5 * 0.45359237)
-    assert out["s6"]["basis"] == "review" and out["s6"]["canon_value"] is None
+    # nobody is sure of anything without a model
+    assert all(r["basis"] == "review" and r["unit"] is None and r["canon_value"] is None for r in out.values())
+
+
+def test_units_depend_on_the_model(spark):
+    rnd = random.Random(2)
+    records = _weights(spark, [(f"{rnd.uniform(200, 900):.1f}", rnd.choice(["KG", "LB"])) for _ in range(800)])
+    model = unit_conversion.fit(records, train_rows=2000)
+    assert {(r["basis"], r["unit"]) for r in unit_conversion.convert(records, model).select("basis", "unit").distinct().collect()} == {("model", "kg"), ("model", "lb")}
+    model.trees.chances[:] = 0.0
+    model.trees.chances[:, unit_conversion.CODES["g"]] = 1.0  # a model that always says grams: no row is converted
+    assert {r["basis"] for r in unit_conversion.convert(records, model).select("basis").distinct().collect()} == {"review"}
+
+
+def test_units_of_all_records_held_out(spark):
+    """On the test tables: nearly all stated units come through the model, and confident guesses without statements hold."""
+    records = core_problems.quantity_records(spark, "/root/testdata/sf0.01")
+    model = unit_conversion.fit(records)
+    out = unit_conversion.convert(records, model).where("stated_unit is not null and value is not null")
+    n, through = out.agg(F.count(F.lit(1)), F.sum((F.col("basis") == "model").cast("int"))).first()
+    assert through > 0.998 * n
+    # rows of the fold that no tree has seen, with all their statements hidden
+    held = unit_conversion.training_sample(records).where("fold = 0")
+    guess = model.predict(held, F.lit(True)).where(F.col("confidence") >= unit_conversion.CONFIDENT)
+    by = {r["family"]: (r["n"], r["right"]) for r in guess.groupBy("family").agg(F.count(F.lit(1)).alias("n"), F.avg((F.col("predicted_unit") == F.col("stated")).cast("int")).alias("right")).collect()}
+    assert all(right >= 0.9 for n, right in by.values() if n >= 20) and by["count"][1] > 0.99 and by["area"][1] > 0.97
 
 
 @pytest.mark.parametrize("text,unit", [("UoM GRO: flex cable", "gross"), ("per 100 pcs: x", "hundred"), ("x / 1000 pcs units - rush", "thousand"), ("by the dozen: x", "dozen"), ("connector 9p", None), (None, None), ("", None)])
