@@ -1,25 +1,32 @@
 """Per-document text quality statistics.
 
-Documents are cut into chunks of CHUNK characters. Each chunk gives partial counts that can be merged in any
-grouping: sums over its complete lines, and the open lines at its two ends as states of their own. What a chunk
-can't tell alone is corrected at the border: a word belongs to the chunk in which it begins (chunks carry one
-character before and LOOK_AHEAD after them), a line's kind is settled once its parts are merged. Partial counts
-are merged in a tree, FAN chunks at a time, until each document has one; ratios and rule outcomes come last.
+Documents longer than CHUNK characters are cut into chunks, in one pass over the text, and the chunks are spread over
+all tasks. Each chunk gives partial counts that can be merged in any grouping: sums over its complete lines, and the
+open lines at its two ends as states of their own. What a chunk can't tell alone is corrected at the border: a word
+belongs to the chunk in which it begins (chunks carry one character before and LOOK_AHEAD after them), a line's kind is
+settled once its parts are merged. Partial counts are merged in a tree, FAN chunks at a time, until each document
+has one; ratios and rule outcomes come last. A document of one chunk is counted the same way, without a border.
+
+Counting works on arrays of characters: classes come from a table, sums of lines from running sums, and words are
+compared with the common ones by rolling hashes of 64 bits.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.session import cut
+
 CHUNK = 8192
 LOOK_AHEAD = 64
 FAN = 32
+#: Characters counted at a time.
+BLOCK = 1 << 20
 
 # Common words of English, German, French and Spanish.
 COMMON_WORDS = frozenset(
@@ -40,209 +47,302 @@ COMMON_WORDS = frozenset(
     """.split()
 )
 VOWELS = "aeiouyàáâãäåæèéêëìíîïòóôõöøùúûüœ"
+_CLASSES = [("separator", "|;\t<>"), ("closer", "\"'”’»)] \t\r\n\x0b\x0c\u00a0"), ("ending", ".?!…"), ("bullet", "-*+•–·▪")]
+SPACE, LETTER, VOWEL, DIGIT, SEPARATOR, CLOSER, ENDING, BULLET = (1 << i for i in range(8))
 
-_WORD = re.compile(r"[^\W\d_]+")
-_LIST_ITEM = re.compile(r"[ \t\r]{0,40}(?:[-*+•–·▪]|\(?\d{1,3}[.)]|\(?[A-Za-z]\)|\[.?\])\s")
-_SENTENCE_END = ".?!…"
-_CLOSERS = "\"'”’»)]"
-_NOT_LETTER = re.compile(r"[\W\d_]+")
-_NOT_VOWEL = re.compile(f"[^{VOWELS}]+")
-_DIGITS = re.compile(r"\d")
-_SPACES = re.compile(r"\s+")
-_SEPARATORS = re.compile(r"[|;\t<>]")
-
-# a fragment of a line: sums, then the kind of its beginning and its last visible character
+# a fragment of a line: sums, whether its first visible characters mark a list item, and its last telling character
 SUMS = ["visible", "letters", "vowels", "digits", "separators", "words", "common"]
 V, L, W_, D, S, N, C = range(7)
 TOTALS = [*SUMS, "lines", "lines_ended", "list_lines", "prose"]
-START_OPEN, START_PLAIN, START_ITEM = 0, 1, 2
-
-
-def _fragment(text: str, begin: int, end: int, line_start: bool) -> tuple:
-    """Counts of text[begin:end], a part of a line; text reaches further on both sides."""
-    part = text[begin:end]
-    start = START_OPEN
-    if line_start:
-        start = START_ITEM if _LIST_ITEM.match(text, begin) else START_PLAIN
-    visible = len(part) - sum(map(len, _SPACES.findall(part)))
-    if not visible:
-        return ((0, 0, 0, 0, len(_SEPARATORS.findall(part)), 0, 0), start, "")
-    letters = _NOT_LETTER.sub("", part)
-    position = begin
-    if begin and _WORD.match(text[begin - 1]):  # the word began before
-        m = _WORD.match(text, begin)
-        position = m.end() if m else begin
-    words = common = 0
-    for m in _WORD.finditer(text, position):
-        if m.start() >= end:
-            break
-        words += 1
-        common += m.group().lower() in COMMON_WORDS
-    sums = (visible, len(letters), len(_NOT_VOWEL.sub("", letters.lower())), len(_DIGITS.findall(part)), len(_SEPARATORS.findall(part)), words, common)
-    stripped = part.rstrip(_CLOSERS + " \t\r\n\x0b\x0c\u00a0")
-    return (sums, start, stripped[-1] if stripped else "")
 
 
-def _join(a: tuple, b: tuple) -> tuple:
-    """Two neighbouring fragments of one line as one."""
-    return (tuple(x + y for x, y in zip(a[0], b[0], strict=True)), a[1], b[2] or a[2])
-
-
-def is_prose(line: tuple) -> bool:
-    """Whether a whole line reads as natural prose: sentences with the common words of a known language, or
-    with the shape of one that isn't known."""
-    s, start, last = line
-    n = s[N]
-    if not n or s[L] < 0.68 * s[V] or s[S] > 0.15 * n:
-        return False
-    ended = last in _SENTENCE_END
-    if start == START_ITEM and not (n >= 12 and ended):
-        return False
-    if n < 6 and not ended:
-        return False
-    if n < 4:
-        return s[S] == 0 and s[L] >= 0.75 * s[V] and (s[C] > 0 or s[L] >= 4 * n)
-    if s[C] >= 0.16 * n:
-        return True
-    vowels = s[W_] / max(1, s[L])
-    return n >= 6 and ended and s[S] == 0 and 0.32 <= vowels <= 0.58 and 3 <= s[L] / n <= 10 and s[L] >= 0.78 * s[V]
-
-
-def _close(totals: list, line: tuple) -> None:
-    """Add a whole line to the totals."""
-    s, start, last = line
-    if not s[V]:
-        return
-    for i in range(7):
-        totals[i] += s[i]
-    totals[7] += 1
-    totals[8] += bool(last) and last in _SENTENCE_END
-    totals[9] += start == START_ITEM
-    totals[10] += s[V] if is_prose(line) else 0
+class _Characters:
+    """The classes and the lower case of characters, looked up once for each character that occurs."""
+
+    def __init__(self):
+        self.known = np.zeros(0x110000, dtype=bool)
+        self.kind = np.zeros(0x110000, dtype=np.uint8)
+        self.lower = np.zeros(0x110000, dtype=np.uint64)
+
+    def learn(self, codes: np.ndarray) -> None:
+        new = codes[~self.known[codes]]
+        for code in np.unique(new) if len(new) else ():
+            ch = chr(code)
+            kind = SPACE * ch.isspace() | LETTER * (ch.isalnum() and not ch.isdecimal()) | DIGIT * ch.isdecimal()
+            kind |= VOWEL * (bool(kind & LETTER) and ch.lower() in VOWELS)
+            for flag, (_, members) in zip((SEPARATOR, CLOSER, ENDING, BULLET), _CLASSES, strict=True):
+                kind |= flag * (ch in members)
+            self.kind[code], self.lower[code], self.known[code] = kind, ord(ch.lower()[0]), True
+
+
+class _Hashes:
+    """Hashes of all stretches of a text from running sums of character * BASE^place, modulo 2^64."""
+
+    BASE = 0x9E3779B97F4A7C15
+
+    def __init__(self, words: frozenset):
+        self.grow(1024)
+        self.words = np.array([], dtype=np.uint64)
+        spelt = sorted(words)
+        if spelt:
+            codes = np.array([ord(c) for w in spelt for c in w], dtype=np.uint64)
+            ends = np.cumsum([len(w) for w in spelt])
+            self.words = np.unique(self.of(codes, ends - [len(w) for w in spelt], ends))
+
+    def grow(self, n: int) -> None:
+        powers = lambda base: np.cumprod(np.r_[np.uint64(1), np.full(n, base, dtype=np.uint64)], dtype=np.uint64)
+        self.up, self.down = powers(self.BASE), powers(pow(self.BASE, -1, 1 << 64))
+
+    def of(self, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if len(codes) >= len(self.up):
+            self.grow(2 * len(codes))
+        sums = np.concatenate([np.zeros(1, dtype=np.uint64), np.cumsum(codes * self.up[: len(codes)], dtype=np.uint64)])
+        return (sums[ends] - sums[begins]) * self.down[begins]
+
+    def common(self, codes: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        if not len(self.words) or not len(begins):
+            return np.zeros(len(begins), dtype=bool)
+        h = self.of(codes, begins, ends)
+        return self.words[np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)] == h
+
+
+_characters = _Characters()
+_hashes: dict[frozenset, _Hashes] = {}
+
+
+def _list_items(codes: np.ndarray, kind: np.ndarray, first: np.ndarray) -> np.ndarray:
+    """Whether a list item begins at each place first: a bullet, a number or letter with '.' or ')', or a box, and
+    then a blank. codes and kind reach at least eight characters beyond."""
+    char = lambda at, c: codes[at] == ord(c)
+    blank = lambda at: (kind[at] & SPACE) > 0
+    digit = lambda at: (kind[at] & DIGIT) > 0
+    bullet = ((kind[first] & BULLET) > 0) & blank(first + 1)
+    at = first + char(first, "(")
+    places = digit(at).astype(np.int64)
+    places += (places == 1) & digit(at + 1)
+    places += (places == 2) & digit(at + 2)
+    number = (places > 0) & (char(at + places, ".") | char(at + places, ")")) & blank(at + places + 1)
+    small = codes[at] | 32
+    letter = (small >= ord("a")) & (small <= ord("z")) & char(at + 1, ")") & blank(at + 2)
+    box = char(first, "[") & ((char(first + 1, "]") & blank(first + 2)) | (char(first + 2, "]") & ~char(first + 1, "\n") & blank(first + 3)))
+    return bullet | number | letter | box
+
+
+def _fragments(pieces: list[tuple[str, str, str]], words: frozenset = COMMON_WORDS) -> tuple:
+    """The parts of lines of pieces (before, chunk, after), in order: (piece, sums, item, last, ended). last is the last
+    character that closes nothing, 0 if there is none."""
+    texts = [b + c + a for b, c, a in pieces]
+    codes = np.frombuffer(("\0".join(texts) + "\0" * 16).encode("utf-32-le"), dtype=np.uint32)
+    _characters.learn(codes)
+    kind = _characters.kind[codes]
+    offsets = np.cumsum([0, *[len(t) + 1 for t in texts[:-1]]])
+    begins = offsets + [len(b) for b, _, _ in pieces]
+    ends = begins + [len(c) for _, c, _ in pieces]
+    breaks = np.flatnonzero(codes == 10)
+    of = np.searchsorted(begins, breaks, "right") - 1
+    breaks = breaks[(of >= 0) & (breaks < ends[np.maximum(of, 0)])]
+    # lines run from the begin of a piece or behind a break up to the next break or the piece's end
+    start, stop = np.sort(np.r_[begins, breaks + 1]), np.sort(np.r_[ends, breaks])
+    piece = np.searchsorted(begins, start, "right") - 1
+
+    def total(flags: np.ndarray) -> np.ndarray:
+        run = np.concatenate([np.zeros(1, dtype=np.int64), np.cumsum(flags, dtype=np.int64)])
+        return run[stop] - run[start]
+
+    has = lambda flag: (kind & flag) > 0
+    letter = has(LETTER)
+    sums = np.zeros((len(start), 7), dtype=np.int64)
+    for i, flags in ((V, ~has(SPACE)), (L, letter), (W_, has(VOWEL)), (D, has(DIGIT)), (S, has(SEPARATOR))):
+        sums[:, i] = total(flags)
+    edge = np.diff(np.concatenate([[False], letter, [False]]).astype(np.int8))
+    word, end = np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    line = np.searchsorted(start, word, "right") - 1
+    inside = (line >= 0) & (word < stop[np.maximum(line, 0)])
+    word, end, line = word[inside], end[inside], line[inside]
+    if words not in _hashes:
+        _hashes[words] = _Hashes(words)
+    sums[:, N] = np.bincount(line, minlength=len(start))
+    sums[:, C] = np.bincount(line[_hashes[words].common(_characters.lower[codes], word, end)], minlength=len(start))
+    seen = np.flatnonzero(~has(SPACE))
+    first = seen[np.searchsorted(seen, start)]  # the zeros at the end are visible
+    item = (sums[:, V] > 0) & _list_items(codes, kind, np.minimum(first, len(codes) - 9))
+    telling = np.flatnonzero(~has(CLOSER))
+    at = np.searchsorted(telling, stop) - 1
+    place = telling[np.maximum(at, 0)]
+    told = (at >= 0) & (place >= start)
+    return piece, sums, item, np.where(told, codes[place], 0)
+
+
+def is_prose(sums: np.ndarray, item: np.ndarray, ended: np.ndarray) -> np.ndarray:
+    """Which whole lines read as natural prose: sentences with the common words of a known language, or with the
+    shape of one that isn't known."""
+    v, letters, vowels, _, separators, n, common = (sums[:, i] for i in range(7))
+    usable = (n > 0) & (letters >= 0.68 * v) & (separators <= 0.15 * n) & ~(item & ~((n >= 12) & ended)) & ~((n < 6) & ~ended)
+    short = (separators == 0) & (letters >= 0.75 * v) & ((common > 0) | (letters >= 4 * n))
+    sound = vowels / np.maximum(1, letters)
+    size = letters / np.maximum(1, n)
+    shaped = (n >= 6) & ended & (separators == 0) & (0.32 <= sound) & (sound <= 0.58) & (3 <= size) & (size <= 10) & (letters >= 0.78 * v)
+    return usable & np.where(n < 4, short, (common >= 0.16 * n) | shaped)
+
+
+def _closed(sums: np.ndarray, item: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """The TOTALS of whole lines, a row each; blank lines count nothing."""
+    ended = np.isin(last, [ord(c) for c in _CLASSES[2][1]])
+    out = np.c_[sums, np.ones(len(sums), dtype=np.int64), ended, item, np.where(is_prose(sums, item, ended), sums[:, V], 0)]
+    return out * (sums[:, V] > 0)[:, None]
+
+
+def _close(totals: list, line: tuple) -> list:
+    """totals with a whole line added."""
+    sums, item, last = line
+    return [int(t + x) for t, x in zip(totals, _closed(np.array([sums]), np.array([bool(item)]), np.array([last]))[0], strict=True)]
+
+
+def whole_totals(texts: list[str]) -> np.ndarray:
+    """The TOTALS of whole documents, a row each."""
+    out = np.zeros((len(texts), len(TOTALS)), dtype=np.int64)
+    for at, block in _blocks([("", t, "") for t in texts]):
+        piece, sums, item, last = _fragments(block)
+        np.add.at(out, at + piece, _closed(sums, item, last))
+    return out
 
 
-def chunk_state(chunk: str, before: str, after: str) -> tuple:
-    """(totals of complete lines, has a line break, head fragment, tail fragment) of one chunk.
+def _blocks(pieces: list[tuple[str, str, str]]) -> Iterator[tuple[int, list[tuple[str, str, str]]]]:
+    """pieces in runs of about BLOCK characters, each with the place of its first."""
+    begin, size = 0, 0
+    for i, p in enumerate(pieces):
+        size += len(p[1])
+        if size >= BLOCK or i + 1 == len(pieces):
+            yield begin, pieces[begin : i + 1]
+            begin, size = i + 1, 0
+
+
+def chunk_states(pieces: list[tuple[str, str, str]]) -> list[tuple]:
+    """(totals of complete lines, has a line break, head fragment, tail fragment) of each (before, chunk, after).
 
     before is the character ahead of the chunk ('' at the start of a document), after what follows it. Without a
     line break the whole chunk is the head and the tail is empty."""
-    text = before + chunk + after
-    at, end = len(before), len(before) + len(chunk)
-    line_start = not before or before == "\n"
-    totals = [0] * 11
-    pieces = []
-    while True:
-        cut = text.find("\n", at, end)
-        pieces.append(_fragment(text, at, cut if cut >= 0 else end, line_start))
-        if cut < 0:
-            break
-        at, line_start = cut + 1, True
-    for line in pieces[1:-1]:
-        _close(totals, line)
-    nothing = ((0,) * 7, START_OPEN, "")
-    return (totals, len(pieces) > 1, pieces[0], pieces[-1] if len(pieces) > 1 else nothing)
+    states = []
+    for _, block in _blocks(pieces):
+        piece, sums, item, last = _fragments(block)
+        first = np.searchsorted(piece, np.arange(len(block)), "left")
+        final = np.searchsorted(piece, np.arange(len(block)), "right") - 1
+        between = np.ones(len(piece), dtype=bool)
+        between[first] = between[final] = False
+        totals = np.zeros((len(block), len(TOTALS)), dtype=np.int64)
+        np.add.at(totals, piece[between], _closed(sums[between], item[between], last[between]))
+        part = lambda i: (tuple(sums[i].tolist()), bool(item[i]), int(last[i]))  # noqa: B023, E731
+        states += [(totals[i].tolist(), bool(f < z), part(f), part(z) if f < z else NOTHING) for i, (f, z) in enumerate(zip(first, final, strict=True))]
+    return states
+
+
+NOTHING = ((0,) * 7, False, 0)
+
+
+def chunk_state(chunk: str, before: str, after: str) -> tuple:
+    return chunk_states([(before, chunk, after)])[0]
+
+
+def _join(a: tuple, b: tuple) -> tuple:
+    """Two neighbouring fragments of one line as one; its first visible characters tell whether it is an item."""
+    return (tuple(x + y for x, y in zip(a[0], b[0], strict=True)), a[1] if a[0][V] else b[1], b[2] or a[2])
 
 
 def merge(a: tuple, b: tuple) -> tuple:
     """The state of two neighbouring parts of a document as that of one part; associative."""
     totals = [x + y for x, y in zip(a[0], b[0], strict=True)]
     if not a[1] and not b[1]:
-        return (totals, False, _join(a[2], b[2]), a[3])
+        return (totals, False, _join(a[2], b[2]), NOTHING)
     if not a[1]:
         return (totals, True, _join(a[2], b[2]), b[3])
     if not b[1]:
         return (totals, True, a[2], _join(a[3], b[2]))
-    _close(totals, _join(a[3], b[2]))
-    return (totals, True, a[2], b[3])
+    return (_close(totals, _join(a[3], b[2])), True, a[2], b[3])
 
 
 def finish(state: tuple) -> list:
     """The totals of a whole document."""
-    totals = list(state[0])
-    _close(totals, state[2])
-    if state[1]:
-        _close(totals, state[3])
-    return totals
+    totals = _close(list(state[0]), state[2])
+    return _close(totals, state[3]) if state[1] else totals
+
+
+_STATE = "totals array<long>, breaks boolean, sums array<long>, items array<boolean>, lasts array<int>"
+_STATE_FIELDS = ["totals", "breaks", "sums", "items", "lasts"]
 
 
 def _pack(state: tuple) -> tuple:
     totals, breaks, head, tail = state
-    return ([int(x) for x in totals], bool(breaks), [int(x) for x in head[0]] + [int(x) for x in tail[0]], [head[1], tail[1]], head[2], tail[2])
+    return (totals, breaks, [*head[0], *tail[0]], [head[1], tail[1]], [head[2], tail[2]])
 
 
 def _unpack(row: tuple) -> tuple:
-    totals, breaks, sums, starts, head_last, tail_last = row
-    return (list(totals), bool(breaks), (tuple(sums[:7]), starts[0], head_last), (tuple(sums[7:]), starts[1], tail_last))
+    totals, breaks, sums, items, lasts = row
+    return ([int(x) for x in totals], bool(breaks), (tuple(sums[:7]), bool(items[0]), int(lasts[0])), (tuple(sums[7:]), bool(items[1]), int(lasts[1])))
 
 
-_STATE = "totals array<long>, breaks boolean, sums array<long>, starts array<int>, head_last string, tail_last string"
+def _count_whole(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    for batch in batches:
+        out = pd.DataFrame(whole_totals(list(batch["text"])), columns=TOTALS)
+        out.insert(0, "doc", batch["doc"].to_numpy())
+        yield out
 
 
 def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        states = [_pack(chunk_state(c, b, a)) for c, b, a in zip(batch["chunk"], batch["before"], batch["after"], strict=True)]
-        out = pd.DataFrame(states, columns=["totals", "breaks", "sums", "starts", "head_last", "tail_last"])
-        out.insert(0, "part", batch["part"].to_numpy())
-        out.insert(0, "doc", batch["doc"].to_numpy())
-        yield out
+        states = [_pack(s) for s in chunk_states(list(zip(batch["before"], batch["chunk"], batch["after"], strict=True)))]
+        yield pd.concat([batch[["doc", "row", "part"]].reset_index(drop=True), pd.DataFrame(states, columns=_STATE_FIELDS)], axis=1)
 
 
 def _merge_group(group: pd.DataFrame) -> pd.DataFrame:
     group = group.sort_values("part")
-    states = [_unpack(r) for r in group[["totals", "breaks", "sums", "starts", "head_last", "tail_last"]].itertuples(index=False, name=None)]
+    states = [_unpack(r) for r in group[_STATE_FIELDS].itertuples(index=False, name=None)]
     total = states[0]
     for s in states[1:]:
         total = merge(total, s)
-    out = pd.DataFrame([_pack(total)], columns=["totals", "breaks", "sums", "starts", "head_last", "tail_last"])
-    out.insert(0, "part", [int(group["part"].iloc[0]) // FAN])
-    out.insert(0, "doc", [group["doc"].iloc[0]])
+    out = pd.DataFrame([_pack(total)], columns=_STATE_FIELDS)
+    for i, (name, value) in enumerate((("doc", group["doc"].iloc[0]), ("row", group["row"].iloc[0]), ("part", int(group["part"].iloc[0]) // FAN))):
+        out.insert(i, name, [value])
     return out
 
 
 def _finish(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        rows = [[int(x) for x in finish(_unpack(r))] for r in batch[["totals", "breaks", "sums", "starts", "head_last", "tail_last"]].itertuples(index=False, name=None)]
-        out = pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, 11), columns=TOTALS)
+        rows = [finish(_unpack(r)) for r in batch[_STATE_FIELDS].itertuples(index=False, name=None)]
+        out = pd.DataFrame(np.array(rows, dtype=np.int64).reshape(-1, len(TOTALS)), columns=TOTALS)
         out.insert(0, "doc", batch["doc"].to_numpy())
         yield out
 
 
 def document_totals(documents: DataFrame, key: str, text: str) -> DataFrame:
-    """(doc, the TOTALS) for each document that isn't null; doc is the key. Keys are expected to be unique; rows
-    with the same key are counted as parts of one document only if their chunks are, so make keys unique first."""
-    step = F.lit(CHUNK)
+    """(doc, the TOTALS): a row for each row of documents whose text isn't null; doc is the key, which may repeat."""
     docs = documents.select(F.col(key).alias("doc"), F.col(text).alias("text")).where("text is not null")
-    parts = docs.withColumn("length", F.length("text")).withColumn("part", F.explode(F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.col("length") / step).cast("int") - 1))))
-    begin = F.col("part") * step + 1
-
-    def piece(start: Column, size: Column) -> Column:
-        return F.substring(F.col("text"), start, size)
-
-    chunks = parts.select("doc", "part", (F.col("length") > step).alias("long"), (F.ceil(F.col("length") / step)).cast("int").alias("n_parts"), piece(begin, step).alias("chunk"), F.when(F.col("part") > 0, piece(begin - 1, F.lit(1))).otherwise("").alias("before"), piece(begin + step, F.lit(LOOK_AHEAD)).alias("after"))
-    doc_type = chunks.schema["doc"].dataType.simpleString()
-    schema = f"doc {doc_type}, part int, {_STATE}"
-    fields = ["doc", "part", "chunk", "before", "after"]
+    doc_type = docs.schema["doc"].dataType.simpleString()
     final = f"doc {doc_type}, " + ", ".join(f"{t} long" for t in TOTALS)
-    whole = chunks.where(~F.col("long")).select(*fields).mapInPandas(_count, schema).mapInPandas(_finish, final)
-    pieces = chunks.where("long")
-    most = pieces.agg(F.max("n_parts")).first()[0] or 0
-    states = pieces.select(*fields).mapInPandas(_count, schema)
+    whole = docs.where(F.length("text") <= CHUNK).mapInPandas(_count_whole, final)
+    # one pass cuts a text: the time is proportional to its length
+    long = docs.where(F.length("text") > CHUNK).select("doc", F.monotonically_increasing_id().alias("row"), F.regexp_extract_all("text", F.lit("(?s).{1," + str(CHUNK) + "}"), F.lit(0)).alias("chunks"))
+    beside = lambda i, of: F.coalesce(of(F.get("chunks", i)), F.lit(""))
+    piece = lambda c, i: F.struct(i.alias("part"), c.alias("chunk"), beside(i - 1, lambda x: F.right(x, F.lit(1))).alias("before"), beside(i + 1, lambda x: F.left(x, F.lit(LOOK_AHEAD))).alias("after"))
+    chunks = long.select("doc", "row", F.explode(F.transform("chunks", piece)).alias("c")).select("doc", "row", "c.*")
+    schema = f"doc {doc_type}, row long, part int, {_STATE}"
+    states = cut(chunks.repartition("row", "part").mapInPandas(_count, schema))
+    most = (states.agg(F.max("part")).first()[0] or 0) + 1
     while most > 1:
-        states = states.groupBy("doc", F.floor(F.col("part") / FAN).alias("next")).applyInPandas(_merge_group, schema)
+        states = states.groupBy("row", F.floor(F.col("part") / FAN).alias("next")).applyInPandas(_merge_group, schema)
         most = -(-most // FAN)
     return whole.unionByName(states.mapInPandas(_finish, final))
 
 
 def text_quality(documents: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row per document: its measures and its kind, 'prose', 'not_prose' or 'empty'.
+    """One row per row of documents: its measures and its kind, 'prose', 'not_prose' or 'empty'.
 
     Null texts have zero counts and null ratios, as blank ones, and are 'empty'. A text is 'prose' if at least half
     of its visible characters stand on lines that read as natural prose. Other columns of documents are ignored.
-    Keys that repeat give a row each if their rows differ; exact copies of a row give one.
+    Rows that repeat a key, or a whole row, give a row each.
     """
     rows = documents.select(F.col(key).alias("doc"), F.col(text).alias("text"))
     totals = document_totals(rows, "doc", "text")
-    empty = rows.where("text is null").select("doc").distinct()
+    empty = rows.where("text is null").select("doc")
     both = totals.unionByName(empty, allowMissingColumns=True).na.fill(0, TOTALS)
     share = lambda a, b: F.try_divide(F.col(a), F.col(b))
     return both.select(
