@@ -32,9 +32,7 @@ def mask(c: Column) -> Column:
     plain = F.translate(c, string.ascii_uppercase + string.ascii_lowercase + string.digits, "A" * 26 + "a" * 26 + "9" * 10)
     classes = F.regexp_replace(F.regexp_replace(F.regexp_replace(c, r"\p{Lu}", "A"), r"[\p{Ll}\p{Lo}]", "a"), r"\p{Nd}", "9")
     m = F.when(F.octet_length(c) == F.length(c), plain).otherwise(classes)  # patterns only where there are other letters
-    for sign in "Aa9":
-        m = F.when(F.contains(m, F.lit(sign * (LONG_RUN + 1))), F.regexp_replace(m, sign + "{" + str(LONG_RUN + 1) + ",}", sign + "+")).otherwise(m)
-    return m
+    return F.regexp_replace(m, r"([Aa9])\1{" + str(LONG_RUN) + ",}", "$1+")
 
 
 def cells(df: DataFrame, table_name: str, load: str, columns: list[str]) -> DataFrame:
@@ -112,7 +110,8 @@ def drift(rows: DataFrame) -> DataFrame:
     text = F.when(F.col("value").isNull(), none).otherwise(F.concat(F.lit("="), "value"))
     form = F.when(F.col("value").isNull(), none).otherwise(F.concat(F.lit("~"), mask(F.col("value"))))
     edges = _edges(rows)
-    binned = F.when(F.col("value").isNull(), none).otherwise(F.concat(F.lit("#"), F.size(F.filter("edges", lambda e: e <= F.col("number"))).cast("string")))
+    below = sum((F.coalesce((F.get("edges", i) <= F.col("number")).cast("int"), F.lit(0)) for i in range(len(DECILES))), F.lit(0))
+    binned = F.when(F.col("value").isNull(), none).otherwise(F.concat(F.lit("#"), below.cast("string")))
     # values are counted before their masks are taken: a mask is made once per distinct value and load
     counted = rows.groupBy(*by, "value", "number").agg(F.count(F.lit(1)).alias("n"))
     counted = counted.join(F.broadcast(edges), ["table_name", "column_name"], "left")

@@ -29,10 +29,11 @@ class Ranges:
         self.keys = np.array([k for k, _ in bounds], dtype=object)
         self.times = np.array([t for _, t in bounds], dtype=np.int64)
 
-    def place(self, key: pd.Series, at: pd.Series, draw: pd.Series) -> pd.Series:
-        """The range of each row; rows that equal several bounds are dealt out by draw, which is 0 to 1."""
+    def place(self, key: pd.Series, at: pd.Series, draw: pd.Series) -> pd.DataFrame:
+        """The range (cell) of each row, and whether a bound stands at its key (edge). Rows that equal several bounds
+        are dealt out by draw, which is 0 to 1."""
         if not len(self.keys):
-            return pd.Series(np.zeros(len(key), dtype=np.int32))
+            return pd.DataFrame({"cell": np.zeros(len(key), dtype=np.int32), "edge": np.zeros(len(key), dtype=bool)})
         codes, distinct = pd.factorize(key)
         distinct = np.asarray(distinct, dtype=object)
         low, high = np.searchsorted(self.keys, distinct, "left"), np.searchsorted(self.keys, distinct, "right")
@@ -43,7 +44,7 @@ class Ranges:
             times = self.times[low[c] : high[c]]
             first, last = np.searchsorted(times, time[rows], "left"), np.searchsorted(times, time[rows], "right")
             out[rows] += first + (share[rows] * np.maximum(last - first, 1)).astype(np.int64)
-        return pd.Series(out.astype(np.int32))
+        return pd.DataFrame({"cell": out.astype(np.int32), "edge": (high > low)[codes]})
 
 
 def _probe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -110,13 +111,13 @@ def orphans(references: DataFrame, parents: DataFrame, rows_per_range: int = ROW
     ranges = _ranges(spark, known, refs, rows_per_range)
     sent = spark.sparkContext.broadcast(ranges)
 
-    @F.pandas_udf("int")
-    def place(key: pd.Series, at: pd.Series, draw: pd.Series) -> pd.Series:
+    @F.pandas_udf("cell int, edge boolean")
+    def place(key: pd.Series, at: pd.Series, draw: pd.Series) -> pd.DataFrame:
         return sent.value.place(key, at, draw)
 
     place = place.asNondeterministic()  # not to be evaluated twice
-    held = known.select("key", F.col("start").alias("at"), "end", place("key", "start", F.lit(0.0)).alias("cell"))
-    asked = refs.select("key", "at", "row_key", place("key", "at", F.rand(13)).alias("cell"))
+    held = known.select("key", F.col("start").alias("at"), "end", place("key", "start", F.lit(0.0)).alias("p")).select("key", "at", "end", "p.*")
+    asked = refs.select("key", "at", "row_key", place("key", "at", F.rand(13)).alias("p")).select("key", "at", "row_key", "p.cell")
     nothing = F.lit(None)
     both = held.select("cell", F.lit(0).alias("kind"), "key", "at", "end", nothing.cast("string").alias("row_key")).unionByName(asked.select("cell", F.lit(1).alias("kind"), "key", "at", nothing.cast("long").alias("end"), "row_key"))
     carried = _carried(held, ranges)
@@ -131,8 +132,7 @@ def _carried(held: DataFrame, ranges: Ranges) -> list[tuple[int, str, int]]:
     if not ranges.bounds:
         return []
     # a row for each range and key with a bound: at most two a bound
-    at_bounds = held.sparkSession.createDataFrame([(k,) for k in sorted(set(ranges.keys))], "key string")
-    reach = {(r["cell"], r["key"]): r["end"] for r in held.join(F.broadcast(at_bounds), "key").groupBy("cell", "key").agg(F.max("end").alias("end")).collect()}
+    reach = {(r["cell"], r["key"]): r["end"] for r in held.where("edge").groupBy("cell", "key").agg(F.max("end").alias("end")).collect()}
     out, ends = [], {}
     for i, (key, _) in enumerate(ranges.bounds):
         if (i, key) in reach:
