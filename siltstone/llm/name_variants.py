@@ -186,18 +186,27 @@ def same_name(a: str, b: str) -> Column:
     return (x("kind") == y("kind")) & (F.levenshtein(x("core"), y("core")) <= limit) & F.when(x("kind") == "org", F.lit(True)).otherwise(given & middle & ((x("generation") == y("generation")) | (x("generation") == "?") | (y("generation") == "?")))
 
 
-def _attach(faces: DataFrame, met: DataFrame, edges: DataFrame, vague: int) -> DataFrame:
-    """edges, and those that tie groups of vague faces to what they fit, if all that they fit is one group. Vague
-    faces that fit nothing better known hold together among themselves."""
-    groups = faces.select(F.col("face").alias("node")).join(connected(edges), "node", "left").select("node", F.coalesce("label", "node").alias("label"))
-    fits = met.where((F.col("level_a") == vague) & (F.col("level_b") < vague)).select(F.col("a").alias("node"), F.col("b").alias("other"))
-    own = fits.join(groups.select("node", F.col("label").alias("own")), "node").join(groups.select(F.col("node").alias("other"), F.col("label").alias("known")), "other")
-    taken = cut(own.groupBy("own").agg(F.min("known").alias("least"), F.max("known").alias("most")))
-    tied = edges.unionByName(taken.where("least = most").select(F.col("own").alias("a"), F.col("least").alias("b")))
-    if vague == 2:
-        free = met.where("level_a = 2 and level_b = 2").join(taken.select(F.col("own").alias("a")), "a", "left_anti").join(taken.select(F.col("own").alias("b")), "b", "left_anti")
-        tied = tied.unionByName(free.select("a", "b"))
-    return tied
+def _settled(faces: DataFrame, met: DataFrame) -> DataFrame:
+    """(node, label): the group of each face, of edges met (a, b, level_a, level_b) in both directions.
+
+    Faces of one level hold together, those of level 2 (only an initial) if they fit nothing better known. A group of
+    level 1 (unknown generation), and then a face of level 2, joins the better known group that it fits, if all that it
+    fits is one group."""
+    fitting = met.where("level_a = 2 and level_b < 2").select("a").distinct()
+    free = met.where("level_a = 2 and level_b = 2").join(fitting, "a", "left_anti").join(fitting.withColumnRenamed("a", "b"), "b", "left_anti")
+    held = connected(met.where("level_a = level_b and level_a < 2").unionByName(free).select("a", "b"))
+    groups = faces.select(F.col("face").alias("node")).join(held, "node", "left").select("node", F.coalesce("label", "node").alias("label"))
+
+    def one_group(fits: DataFrame) -> DataFrame:
+        """(own, joined) from (own, known): where all that is known is the same."""
+        return fits.groupBy("own").agg(F.min("known").alias("joined"), F.max("known").alias("most")).where("joined = most").select("own", "joined")
+
+    known = groups.select(F.col("node").alias("b"), F.col("label").alias("known"))
+    fits = met.where("level_a = 1 and level_b = 0").join(groups.select(F.col("node").alias("a"), F.col("label").alias("own")), "a").join(known, "b")
+    groups = cut(groups.join(one_group(fits).withColumnRenamed("own", "label"), "label", "left").select("node", F.coalesce("joined", "label").alias("label")))
+    known = groups.select(F.col("node").alias("b"), F.col("label").alias("known"))
+    fits = met.where("level_a = 2 and level_b < 2").join(known, "b").select(F.col("a").alias("own"), "known")
+    return groups.join(one_group(fits).withColumnRenamed("own", "node"), "node", "left").select("node", F.coalesce("joined", "label").alias("label"))
 
 
 def link_registrants(records: DataFrame, key: str, name: str, street: str, city: str, state: str, post: str, county: str) -> DataFrame:
@@ -231,20 +240,22 @@ def link_registrants(records: DataFrame, key: str, name: str, street: str, city:
     level = lambda s: F.when(F.col(f"{s}.kind") == "org", 0).when(F.length(f"{s}.given") <= 1, 2).when(F.col(f"{s}.generation") == "?", 1).otherwise(0)
     met = met.select(F.col("x.face").alias("a"), F.col("y.face").alias("b"), level("x").alias("level_a"), level("y").alias("level_b"))
     met = cut(met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("level_b").alias("level_a"), F.col("level_a").alias("level_b"))).distinct())
-    edges = met.where("level_a = level_b and level_a < 2").select("a", "b")
-    for vague in (1, 2):
-        edges = _attach(faces, met, edges, vague)
-    groups = connected(edges)
-    found = rows.select("key", "name", F.col("face").alias("node")).join(groups, "node", "left")
-    return found.select(F.coalesce("label", "node").alias("group_id"), "key", "name").distinct()
-
-
-def variant_pairs(groups: DataFrame) -> DataFrame:
-    """(key_a, key_b), key_a < key_b: the keys of a group whose names differ."""
-    a, b = groups.select("group_id", F.col("key").alias("key_a"), F.col("name").alias("a")), groups.select("group_id", F.col("key").alias("key_b"), F.col("name").alias("b"))
-    return a.join(b, "group_id").where("key_a < key_b and a <> b").select("key_a", "key_b").distinct()
-
-
+    found = rows.select("key", "name", F.col("face").alias("node")).join(_settled(faces, met), "node")
+    return found.select(F.col("label").alias("group_id"), "key", "name").distinct()
+
+
+def variant_pairs(groups: DataFrame, largest: int = 2000) -> DataFrame:
+    """(key_a, key_b), key_a < key_b: the keys of a group whose names differ, all such pairs.
+
+    They are built between the spellings of a group, each with its keys. Spellings with more keys than largest are dealt
+    out in parts that meet each other once, so no task holds a hot group or emits all its pairs."""
+    sizes = groups.groupBy("group_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = groups.join(sizes, "group_id").withColumn("parts", F.ceil(F.col("n") / largest).cast("int"))
+    mine = F.pmod(F.xxhash64("key"), F.col("parts")).cast("int")
+    each = F.explode(F.sequence(F.lit(0), F.col("parts") - 1))
+    a = rows.select("group_id", F.col("key").alias("key_a"), F.col("name").alias("a"), mine.alias("i"), each.alias("j"))
+    b = rows.select("group_id", F.col("key").alias("key_b"), F.col("name").alias("b"), mine.alias("j"), each.alias("i"))
+    return a.join(b, ["group_id", "i", "j"]).where("key_a < key_b and a <> b").select("key_a", "key_b").distinct()
 
 
 # How a model's edition and number are written.

@@ -74,7 +74,7 @@ def _levenshtein(a, b):
     return row[-1]
 
 
-@pytest.mark.parametrize("radius,cell", [(1, 400), (2, 5), (3, 8)])
+@pytest.mark.parametrize("radius,cell", [(1, 400), (2, 5), (3, 8), (1, 1), (3, 1)])
 def test_radius_join_equals_brute_force(spark, radius, cell):
     rnd = random.Random(radius)
     words = ["".join(rnd.choice("abcd") for _ in range(rnd.randrange(4, 9))) for _ in range(120)] + ["", "x" * 300]
@@ -85,6 +85,39 @@ def test_radius_join_equals_brute_force(spark, radius, cell):
     assert {tuple(r) for r in got.collect()} == expected
 
 
+def test_registered_names_have_pivots(spark):
+    """The cores of the registered query's table are divided among pivots, more of them as the table grows."""
+    def pivots(sf):
+        faa = spark.read.parquet(f"/root/testdata/{sf}/faa_master.parquet")
+        names = faa.select(name_variants.fold(name_variants.present(F.col("registrant_name"))).alias("name"), F.concat_ws("|", "state_code", "county").alias("block")).where("name is not null").distinct()
+        points = names.join(name_variants.parsed_names(names), "name").select("block", F.lit("").alias("path"), F.col("core").alias("s"), F.lit(True).alias("home")).distinct()
+        return metric_join.draw_pivots(points, 3).agg(F.sum(F.size("pivots")), F.max(F.size("pivots"))).first()
+
+    few, many = pivots("sf0.01"), pivots("sf0.1")
+    assert (few[0] or 0) < many[0] and many[1] >= 3
+
+
+def test_pairs_of_a_hot_group(spark):
+    rows = [("g", f"k{i:03}", f"n{i % 7}") for i in range(60)] + [("h", "a", "x"), ("h", "b", "y"), ("h", "b", "y"), ("i", "c", "z")]
+    expected = sorted((a[1], b[1]) for a in rows for b in rows if a[0] == b[0] and a[1] < b[1] and a[2] != b[2])
+    for largest in (5, 2000):
+        got = name_variants.variant_pairs(spark.createDataFrame(rows, "group_id string, key string, name string"), largest)
+        assert sorted(map(tuple, got.collect())) == sorted(set(expected))
+
+
+def test_county_loses_no_link(spark):
+    """Against all pairs without a block: names that read alike at one street address are never in two counties."""
+    faa = spark.read.parquet("/root/testdata/sf0.01/faa_master.parquet")
+    line = F.upper(F.trim(F.regexp_replace("street", r"[^A-Za-z0-9]+", " ")))
+    rows = faa.where(F.length(F.trim("street")) > 5).select(F.concat_ws("|", F.trim("state_code"), F.trim("county")).alias("block"), F.regexp_extract(line, r"^(\d+)", 1).alias("number"), F.regexp_extract(line, r"^\d+ (\S+)", 1).alias("street"), name_variants.fold(F.col("registrant_name")).alias("name")).where("number <> '' and name <> ''").distinct()
+    names = name_variants.parsed_names(rows)
+    x = rows.join(names, "name").select("block", "number", "street", "core").distinct()
+    y = x.select(*[F.col(c).alias(c + "2") for c in x.columns])
+    met = x.join(y, (F.col("number") == F.col("number2")) & (F.levenshtein("street", "street2", 2) >= 0) & (F.levenshtein("core", "core2", 3) >= 0))
+    linked, lost = met.agg(F.count(F.lit(1)), F.sum((F.col("block") != F.col("block2")).cast("int"))).first()
+    assert linked > 1000 and lost == 0
+
+
 # names
 
 
@@ -312,6 +345,23 @@ def test_chunks_equal_whole(size):
     assert text_stats.finish(left) == whole == text_stats.finish(states[0])
 
 
+@pytest.mark.parametrize("text,words,digits,items", [("a-b c_d e1f", 6, 1, 0), ("It's 12 o'clock", 4, 2, 0), (" " * 100 + "- x\n(12) y\n[ ] z\n(b) w\n1234) n\na. b", 8, 6, 4), ("", 0, 0, 0), ("Ä ß é²", 3, 0, 0)])
+def test_counts_by_hand(text, words, digits, items):
+    t = dict(zip(text_stats.TOTALS, text_stats.whole_totals([text])[0], strict=True))
+    assert (t["words"], t["digits"], t["list_lines"], t["visible"]) == (words, digits, items, len("".join(text.split())))
+
+
+def test_whole_texts_equal_pieces_counted_by_pattern():
+    """Against a plain reading of the same definitions with patterns."""
+    import re
+
+    texts = [*LANGUAGES, *NOT_PROSE, PROSE * 50, "x" * 70_000 + " the"]
+    for text, got in zip(texts, text_stats.whole_totals(texts), strict=True):
+        found = re.findall(r"[^\W\d_]+", text)
+        assert got[5] == len(found) and got[6] == sum(w.lower() in text_stats.COMMON_WORDS for w in found)
+        assert got[0] == len(re.sub(r"\s", "", text)) and got[1] == len("".join(found)) and got[4] == sum(text.count(c) for c in "|;\t<>")
+
+
 def test_text_quality(spark):
     long = (PROSE + "\n") * 4000
     rows = [(1, PROSE), (2, None), (3, "  "), (4, ""), (5, long), (6, NOT_PROSE[0]), (7, "x" * 300_000), (1, PROSE)]
@@ -320,3 +370,19 @@ def test_text_quality(spark):
     assert {k: r["kind"] for k, r in out.items()} == {1: "prose", 2: "empty", 3: "empty", 4: "empty", 5: "prose", 6: "not_prose", 7: "not_prose"}
     assert out[5]["n_words"] == 4000 * out[1]["n_words"] and out[5]["n_lines"] == 4000
     assert text_stats.text_quality(df.limit(0)).count() == 0
+    # rows with one key and long texts stay apart
+    twice = spark.createDataFrame([(1, long), (1, "x" * 20_000), (1, long)], "doc_id long, text string")
+    assert sorted(r["n_words"] for r in text_stats.text_quality(twice).collect()) == [1, out[5]["n_words"], out[5]["n_words"]]
+
+
+def test_time_is_proportional_to_a_texts_length(spark):
+    import time
+
+    def seconds(n):
+        began = time.perf_counter()
+        text_stats.text_quality(spark.createDataFrame([(1, (PROSE + "\n") * n)], "doc_id long, text string")).collect()
+        return time.perf_counter() - began
+
+    size = 2_000_000 // len(PROSE)
+    seconds(size)
+    assert seconds(8 * size) < 12 * seconds(size) + 5
