@@ -1,19 +1,22 @@
 """Matching entities across sources without keys.
 
-Every record of both tables becomes a set of terms, one or more for each attribute it has (parsed name, parts of
-the name, city, state, postal code, house number, model, year, end of the serial number). Records are retrieved by
-BM25 over an inverted index of these terms (each stands once in a record, so only the inverse document frequencies
-remain of the formula). Only records that reach ALPHA of a query's own weight are retrieved. That makes pruning
-exact: if the most common terms of a query and its single heaviest one together stay below this, a record that
-reaches it shares at least two of the other, rarer terms. The index therefore holds pairs of terms, and is only read
-for pairs of rarer ones; what is met is scored with all terms. A query whose heaviest term
-alone is enough reads the postings of single terms.
-
-A pair is mutual if the record's own best query points back to it. Confidence comes from the score's gap to the
-next best record, the score's share of the query's weight and mutuality, through a logistic model fitted on a
-bounded sample of pairs, labelled by whether the attributes contradict each other. An exact check of the attributes
-decides which pairs are matches. It doesn't depend on retrieval: all pairs that may pass it are joined on model or
-end of the serial number, and of a query's pairs that pass the best by score is its match.
+Every record of both tables becomes a set of terms, one or more for each attribute it has (parsed name, parts of the
+name, city, state, postal code, house number, model, year, end of the serial number). Records are retrieved by BM25 over
+an inverted index of these terms: a term stands once in a record, so its frequency in it is 1, and the score of a record
+is the sum of the shared terms' inverse document frequencies times a factor that falls with the record's number of
+terms (scaled so that it is 1 at most). Only records in force when the query was seen, and with at least ALPHA of the
+query's own weight, are matches at all. That makes pruning exact: if the most common terms of a query and its single
+heaviest one together stay below this, a record that reaches it shares at least two of the other, rarer terms. The index
+therefore holds pairs of terms, and is only read for pairs of rarer ones; what is met is scored with all terms. A query
+whose heaviest term alone is enough reads the postings of single terms.
+
+A pair is mutual if the record's own best query points back to it. The confidence of a query's best record comes from its
+share of the query's weight, its gap to the next and mutuality, through a logistic model. The model learns from
+queries made of a bounded sample of the records themselves, with attributes lost and exchanged as often as in real
+queries, and with the record itself missing for a third of them; so what is right is known by construction, not from
+the rule below. Of the retrieved records an exact check rules out those whose attributes contradict the query; the
+best of the rest by score is the match, if the attributes confirm it or its confidence is not below CONFIDENT or it is
+mutual.
 """
 
 from __future__ import annotations
@@ -28,9 +31,16 @@ from siltstone.functions.text import fold, micros, parse_day, present
 from siltstone.llm.name_variants import near, parsed_names
 from siltstone.session import cut
 
-ALPHA = 0.4
-TOP = 10
-TRAIN_ROWS = 20_000
+#: Least share of a query's own weight: less in common is no match.
+ALPHA = 0.25
+#: BM25's k1 and b.
+K1, B = 1.2, 0.2
+#: Records of which queries are made to fit the confidence, at most about twice this.
+TRAIN_ROWS = 3_000
+#: How often an attribute of such a query is that of another record.
+EXCHANGED = 0.08
+#: Least confidence of a match that the attributes don't confirm and that isn't mutual.
+CONFIDENT = 0.05
 
 PARTS = ["kind", "core", "given", "middle", "generation", "state", "city", "post", "number", "model", "year", "serial"]
 
@@ -106,38 +116,50 @@ def weights(queries: DataFrame, records: DataFrame) -> DataFrame:
     return queries.select(F.col("id").alias("q"), F.explode("terms").alias("term")).join(frequency, "term").select("q", "term", weight.alias("w"))
 
 
+def with_factors(records: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
+    """records with factor: BM25's (k1 + 1) / (1 + k1 * (1 - b + b * length / mean length)), divided by its largest
+    value in the table."""
+    mean, least = records.agg(F.avg(F.size("terms")), F.min(F.size("terms"))).first()
+    damp = lambda n: 1 + k1 * (1 - b + b * n / (mean or 1.0))
+    return records.withColumn("factor", F.lit(damp(max(least or 0, 0))) / damp(F.greatest(F.size("terms"), F.lit(0))))
+
+
 def score(pairs: DataFrame, asked: DataFrame, records: DataFrame) -> DataFrame:
     """pairs (q, d) with score and weight. A query's terms are summed in one order, so equal records tie exactly."""
     whole = asked.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("asked"))
     whole = whole.withColumn("weight", F.aggregate("asked", F.lit(0.0), lambda a, x: a + x["w"]))
     shared = F.filter("asked", lambda x: F.array_contains(F.col("terms"), x["term"]))
-    # a query of whose terms the index has none scores 0
-    scored = pairs.join(whole, "q", "left").withColumn("weight", F.coalesce("weight", F.lit(0.0))).join(records.select(F.col("id").alias("d"), "terms"), "d")
-    return scored.withColumn("score", F.coalesce(F.aggregate(shared, F.lit(0.0), lambda a, x: a + x["w"]), F.lit(0.0))).drop("asked", "terms")
+    scored = pairs.join(whole, "q").join(records.select(F.col("id").alias("d"), "terms", "factor"), "d")
+    return scored.withColumn("score", F.col("factor") * F.aggregate(shared, F.lit(0.0), lambda a, x: a + x["w"])).drop("asked", "terms", "factor")
 
 
-def retrieve(queries: DataFrame, records: DataFrame, alpha: float = ALPHA, top: int | None = TOP) -> DataFrame:
-    """(q, d, score, weight, place): for each query the best records that reach alpha of the query's own weight, all
-    of them if top is None.
+def retrieve(queries: DataFrame, records: DataFrame, alpha: float = ALPHA, top: int | None = None) -> DataFrame:
+    """(q, d, score, weight): for each query the records that reach alpha of the query's own weight, all of them, or the
+    best top, ties by id.
 
-    queries, records: id, terms. weight is the sum over the query's terms that the index has; place is 1 for the
-    best, ties by id. Queries that share no such record have no row.
+    queries: id, terms, and seen; records: id, terms, factor (as with_factors), since and until. A record is only met
+    while it is in force: since <= seen <= until, a null until is open. weight is the sum over the query's terms that
+    the index has. Queries that share no such record have no row.
     """
-    postings = records.select(F.col("id").alias("d"), F.explode("terms").alias("term"))
+    records = records.where("since is not null")
+    while_in_force = (F.col("since") <= F.col("seen")) & (F.col("seen") <= F.coalesce("until", F.lit(2**62)))
+    days, span = queries.select(F.col("id").alias("q"), "seen").where("seen is not null"), ["since", "until"]
     asked = weights(queries, records)
     by_query = Window.partitionBy("q")
     asked = asked.withColumn("weight", F.sum("w").over(by_query)).withColumn("most", F.max("w").over(by_query))
-    asked = cut(asked.withColumn("common", F.sum("w").over(by_query.orderBy("w", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))))
+    asked = cut(asked.withColumn("common", F.sum("w").over(by_query.orderBy("w", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(days, "q"))
     least = alpha * F.col("weight")
-    lone = asked.where((F.col("most") >= least) & (F.col("common") >= least)).select("q", "term").join(postings, "term").select("q", "d")
-    rare = asked.where((F.col("most") < least) & (F.col("common") + F.col("most") >= least)).groupBy("q").agg(F.collect_list("term").alias("terms"))
-    sought = rare.select("q", F.explode(_pairs()).alias("pair"))
-    paired = sought.join(records.select(F.col("id").alias("d"), F.explode(_pairs()).alias("pair")), "pair").select("q", "d")
-    met = paired.unionByName(lone).distinct()
-    scored = score(met, asked, records).where(F.col("score") >= alpha * F.col("weight"))
+    postings = records.select(F.col("id").alias("d"), *span, F.explode("terms").alias("term"))
+    lone = asked.where((F.col("most") >= least) & (F.col("common") >= least)).select("q", "seen", "term").join(postings, "term")
+    rare = asked.where((F.col("most") < least) & (F.col("common") + F.col("most") >= least)).groupBy("q", "seen").agg(F.collect_list("term").alias("terms"))
+    sought = rare.select("q", "seen", F.explode(_pairs()).alias("pair"))
+    paired = sought.join(records.select(F.col("id").alias("d"), *span, F.explode(_pairs()).alias("pair")), "pair")
+    met = paired.where(while_in_force).select("q", "d").unionByName(lone.where(while_in_force).select("q", "d")).distinct()
+    scored = score(met, asked.drop("seen"), records).where(F.col("score") >= alpha * F.col("weight"))
+    if top is None:
+        return scored
     order = Window.partitionBy("q").orderBy(F.desc("score"), "d")
-    placed = scored.withColumn("place", F.row_number().over(order))
-    return placed if top is None else placed.where(F.col("place") <= top)
+    return scored.withColumn("place", F.row_number().over(order)).where(F.col("place") <= top).drop("place")
 
 
 def agreement(q: str = "q", d: str = "d") -> Column:
@@ -175,64 +197,79 @@ def agreement(q: str = "q", d: str = "d") -> Column:
     return F.when(~F.coalesce(fits, F.lit(False)), 0).when((plus >= 2) & (minus == 0) & F.coalesce(name, F.lit(False)), 2).otherwise(1)
 
 
-def _aircraft_keys(query: bool, lengths: list[int]) -> Column:
-    """Hashes of the model and of the end of the serial number, each with the state, for agreeing: a pair whose
-    aircraft agree and whose states don't differ shares one. lengths: of the other side's serial numbers."""
-    own, other = ("q:", "d:") if query else ("d:", "q:")
-    n = F.length("serial")
-    ends = [F.when(k < n if query else k <= n, F.concat(F.lit(other), F.right("serial", F.lit(k)))) for k in lengths]
-    marks = F.array_compact(F.array(F.concat(F.lit("model:"), "model"), F.concat(F.lit(own), "serial"), *ends))
-    known = F.array(F.col("state"), F.lit("?")) if query else F.array(F.col("state"), F.lit("*"))
-    states = F.when(F.col("state").isNotNull(), known).otherwise(F.array(F.lit("*")) if query else F.array(F.lit("?"), F.lit("*")))
-    return F.flatten(F.transform(marks, lambda m: F.transform(states, lambda s: F.xxhash64(m, s))))
-
-
-def _lengths(df: DataFrame) -> list[int]:
-    return sorted(r["n"] for r in df.where("serial is not null").select(F.length("serial").alias("n")).distinct().collect())  # a row a length
-
-
-def agreeing(queries: DataFrame, records: DataFrame) -> DataFrame:
-    """(q, d, fits): every pair whose agreement is above 0, whatever its score; d once if its id is repeated.
-
-    Such a pair has the same model or the same end of the serial number, and no other state, so these are joined."""
-    x = queries.select(F.col("id").alias("q"), F.struct(*PARTS, "seen").alias("x"), F.explode(_aircraft_keys(True, _lengths(records))).alias("key"))
-    y = records.select(F.col("id").alias("d"), F.struct(*PARTS, "since", "until").alias("y"), F.explode(_aircraft_keys(False, _lengths(queries))).alias("key"))
-    in_force = (F.col("y.since") <= F.col("x.seen")) & (F.col("x.seen") <= F.coalesce(F.col("y.until"), F.lit(2**62)))
-    met = x.join(y, "key").where(in_force).withColumn("fits", agreement("x", "y"))
-    return met.where("fits > 0").groupBy("q", "d").agg(F.max("fits").alias("fits"))
+def practice(queries: DataFrame, records: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
+    """(id, terms, seen, origin, absent): queries made of a hash sample of records. Each kind of term is kept as often as
+    the real queries have one that the index knows; some are those of another record. absent: the query's own record
+    is to be left out."""
+    kind = lambda t: F.substring_index(t, ":", 1)
+    n, total = records.count(), queries.count()
+    known = weights(queries, records).groupBy(kind(F.col("term")).alias("kind")).agg(F.count_distinct("q").alias("n")).collect()  # a row a kind of term
+    if not known or not total:
+        return records.limit(0).select("id", "terms", F.col("since").alias("seen"), F.col("id").alias("origin"), F.lit(False).alias("absent"))
+    rates = F.create_map(*[F.lit(x) for r in known for x in (r["kind"], r["n"] / total)])
+    drawn = records.where((F.col("since").isNotNull()) & (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, n // rows))) == 0))
+    # the sample is bounded; its rows are paired up in groups by another hash
+    beside = Window.partitionBy(F.pmod(F.xxhash64("id", F.lit(4)), F.lit(64))).orderBy(F.xxhash64("id", F.lit(5)))
+    drawn = drawn.withColumn("other", F.coalesce(F.lead("terms").over(beside), F.col("terms")))
+    chance = lambda t, seed: F.pmod(F.xxhash64(F.col("id"), t, F.lit(seed)), F.lit(1000)) / 1000
+    kept = F.filter("terms", lambda t: chance(t, 6) < F.coalesce(F.try_element_at(rates, kind(t)), F.lit(0.0)))
+    said = F.transform(kept, lambda t: F.when(chance(t, 7) < EXCHANGED, F.coalesce(F.get(F.filter("other", lambda o: kind(o) == kind(t)), 0), t)).otherwise(t))
+    return drawn.select(F.concat(F.lit("practice:"), "id").alias("id"), F.array_distinct(said).alias("terms"), (F.col("since") + 1).alias("seen"), F.col("id").alias("origin"), (F.pmod(F.xxhash64("id", F.lit(8)), F.lit(3)) == 0).alias("absent"))
+
+
+def compared(found: DataFrame, alpha: float) -> DataFrame:
+    """found (q, d, score, weight) with place, share, gap, mutual and features. A runner-up below alpha isn't retrieved and
+    may stand anywhere below it, so gaps are counted down to alpha only; records behind the best have a gap below 0."""
+    order = Window.partitionBy("q").orderBy(F.desc("score"), "d")
+    placed = found.withColumn("place", F.row_number().over(order)).withColumn("next", F.lead("score").over(order)).withColumn("first", F.first("score").over(order))
+    back = placed.groupBy("d").agg(F.max_by("q", F.struct("score", "q")).alias("back"))
+    placed = placed.join(back, "d").withColumn("mutual", (F.col("back") == F.col("q")) & (F.col("place") == 1))
+    share = lambda c: F.coalesce(F.try_divide(c, F.col("weight")), F.lit(0.0))
+    against = F.when(F.col("place") == 1, F.greatest(F.coalesce("next", F.lit(0.0)), alpha * F.col("weight"))).otherwise(F.col("first"))
+    placed = placed.select("q", "d", "place", "mutual", share(F.col("score")).alias("share"), share(F.col("score") - against).alias("gap"))
+    return VectorAssembler(inputCols=["share", "gap", "back"], outputCol="features").transform(placed.withColumn("back", F.col("mutual").cast("double")))
+
+
+def fit_confidence(practised: DataFrame):
+    """The logistic model fitted on practised (features, label), three quarters of them, and its mean calibration error
+    on the rest in ten bands of confidence; (None, None) where all labels are equal or none are there."""
+    rows = practised.select("features", "label", F.pmod(F.xxhash64("q", F.lit(9)), F.lit(4)).alias("fold")).cache()
+    if rows.where("fold > 0").select("label").distinct().count() < 2:
+        rows.unpersist()
+        return None, None
+    model = LogisticRegression(maxIter=25, regParam=1e-4).fit(rows.where("fold > 0"))
+    held = model.transform(rows.where("fold = 0")).withColumn("p", F.get(vector_to_array("probability"), 1))
+    bands = held.groupBy(F.least(F.floor(F.col("p") * 10), F.lit(9))).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("p") - F.avg("label")).alias("off"))
+    error = bands.agg(F.sum(F.col("n") * F.col("off")) / F.sum("n")).first()[0]
+    rows.unpersist()
+    return model, error
 
 
 def match(identities: DataFrame, register: DataFrame, alpha: float = ALPHA, train_rows: int = TRAIN_ROWS) -> DataFrame:
-    """(identity_id, reg_key, confidence, mutual, fits): the record of each identity row that suits it best: of all
-    that agree with it the best one, and only where none does the best of those retrieved. fits: as agreement; rows
-    with 0 are no match. At most one row per identity; identities that agree with nothing and retrieve nothing have
-    none. Rows that repeat an id count once."""
-    q = cut(identity_records(identities).withColumn("terms", terms(True)))
-    d = cut(register_records(register).withColumn("terms", terms()))
-    d = d.where("id is not null")
-    one = cut(d.dropDuplicates(["id"]))
-    fitting = cut(score(agreeing(q, d), weights(q, one), one))
-    found = retrieve(q, one, alpha, None).select("q", "d", "score", "weight", F.lit(0).alias("fits"))
-    found = found.unionByName(fitting).groupBy("q", "d").agg(*[F.max(c).alias(c) for c in ("score", "weight", "fits")])
-    found = cut(found.withColumn("place", F.row_number().over(Window.partitionBy("q").orderBy(F.desc("score"), "d"))))
-    # back from the record: the best query of each, and whether that one's best is the record
-    best = found.groupBy("d").agg(F.max_by("place", F.struct("score", F.col("q"))).alias("back"))
-    # a runner-up below alpha isn't retrieved and may stand anywhere below it, so the gap is counted down to alpha only
-    following = F.lead("score").over(Window.partitionBy("q").orderBy("place"))
-    pairs = found.withColumn("next", F.greatest(F.coalesce(following, F.lit(0.0)), alpha * F.col("weight"))).join(best, "d").withColumn("mutual", F.col("back") == 1)
-    pairs = pairs.where("place = 1 or fits > 0")
-    share = lambda c: F.coalesce(F.try_divide(c, F.col("weight")), F.lit(0.0))
-    pairs = pairs.select("q", "d", "place", "mutual", "fits", share(F.col("score")).alias("share"), share(F.greatest(F.col("score") - F.col("next"), F.lit(0.0))).alias("gap"), F.col("mutual").cast("double").alias("back"))
-    pairs = cut(VectorAssembler(inputCols=["share", "gap", "back"], outputCol="features").transform(pairs))
-    sample = pairs.where("place = 1 and fits <> 1")
-    size = sample.count()
-    sample = sample.where(F.pmod(F.xxhash64("q"), F.lit(max(1, size // train_rows))) == 0).withColumn("label", (F.col("fits") == 2).cast("double"))
-    kinds = sample.select("label").distinct().count()
-    if kinds == 2:
-        model = LogisticRegression(maxIter=25, regParam=1e-4).fit(sample)
-        pairs = model.transform(pairs).withColumn("confidence", F.get(vector_to_array("probability"), 1))
-    else:
-        pairs = pairs.withColumn("confidence", F.when(F.col("fits") > 0, 1.0).otherwise(0.0))
-    rank = Window.partitionBy("q").orderBy(F.desc("fits"), "place")
-    chosen = pairs.withColumn("rank", F.row_number().over(rank)).where("rank = 1")
-    return chosen.select(F.col("q").alias("identity_id"), F.col("d").alias("reg_key"), "confidence", "mutual", "fits")
+    """(identity_id, reg_key, confidence, mutual, fits): the record that each identity row describes, or no row.
+
+    fits: as agreement, 2 where the attributes confirm the match, 1 where they only don't contradict it; such a match
+    needs the confidence, or to be mutual. Without a model (nothing to learn from) the confidence is null and
+    counts as high. At most one row per identity. Rows that repeat an identity's id count once; of rows that repeat a
+    record's key each counts.
+    """
+    q = cut(identity_records(identities).withColumn("terms", terms(True)).withColumn("id", F.col("id").cast("string")))
+    d = register_records(register).where("id is not null").withColumn("terms", terms()).withColumn("reg_key", F.col("id"))
+    d = d.withColumn("id", F.concat_ws("|", "reg_key", F.hex(F.xxhash64(*[c for c in d.columns if c != "terms"]))))
+    d = cut(with_factors(d))
+    p = cut(practice(q, d, train_rows))
+    both = q.select("id", "terms", "seen").unionByName(p.select("id", "terms", "seen"))
+    found = cut(retrieve(both, d, alpha))
+    made = F.col("q").startswith("practice:")
+    own = p.select(F.col("id").alias("q"), "origin", "absent")
+    practised = found.where(made).join(own, "q").where(~(F.col("absent") & (F.col("d") == F.col("origin"))))
+    practised = compared(practised.select("q", "d", "score", "weight"), alpha).where("place = 1").join(own, "q").withColumn("label", (F.col("d") == F.col("origin")).cast("double"))
+    model, _ = fit_confidence(practised)
+    pairs = cut(compared(found.where(~made), alpha))
+    pairs = pairs.withColumn("confidence", F.lit(None).cast("double")) if model is None else model.transform(pairs).withColumn("confidence", F.get(vector_to_array("probability"), 1))
+    pairs = pairs.select("q", "d", "place", "mutual", "confidence")
+    pairs = pairs.join(q.select(F.col("id").alias("q"), F.struct(*PARTS, "seen").alias("x")), "q").join(d.select(F.col("id").alias("d"), "reg_key", F.struct(*PARTS, "since", "until").alias("y")), "d")
+    checked = pairs.withColumn("fits", agreement("x", "y")).where("fits > 0")
+    best = checked.groupBy("q").agg(F.min_by(F.struct("reg_key", "confidence", "mutual", "fits"), F.struct("place", "reg_key")).alias("m")).select("q", "m.*")
+    id_type = identities.schema["identity_id"].dataType
+    return best.where(F.col("mutual") | (F.col("fits") == 2) | (F.coalesce("confidence", F.lit(1.0)) >= CONFIDENT)).select(F.col("q").cast(id_type).alias("identity_id"), "reg_key", "confidence", "mutual", "fits")

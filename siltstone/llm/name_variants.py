@@ -12,6 +12,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -81,24 +82,39 @@ def _letters_of(word: str) -> int:
     return bits
 
 
-_NEAREST: dict[tuple[str, int, int], str | None] = {}
+class _Spellings:
+    """Fixed spellings and what they stand for, with their lengths and sets of letters as arrays."""
+
+    def __init__(self, words: dict[str, str], least: int):
+        self.least, self.full, self.known = least, words, {}
+        self.spelt = [w for w in words if len(w) >= least]
+        self.sizes = np.array([len(w) for w in self.spelt])
+        self.bits = np.array([_letters_of(w) for w in self.spelt], dtype=np.uint64)
+
+    def nearest(self, word: str) -> str | None:
+        """The entry that word is or is a misspelling of: one edit, two from eight letters on."""
+        if word in self.full:
+            return self.full[word]
+        if len(word) < self.least:
+            return None
+        if word not in self.known:
+            if len(self.known) > 100_000:
+                self.known.clear()
+            limit = 1 if len(word) < 8 else 2
+            likely = (np.bitwise_count(self.bits ^ np.uint64(_letters_of(word))) <= 2 * limit) & (abs(self.sizes - len(word)) <= limit)
+            near = ((edit_distance(word, self.spelt[i], limit), self.full[self.spelt[i]]) for i in np.flatnonzero(likely))
+            best = min(near, default=(9, ""))
+            self.known[word] = best[1] if best[0] <= limit else None
+        return self.known[word]
+
+
+_SPELLINGS: dict[tuple[int, int], _Spellings] = {}
 
 
 def _nearest(word: str, words: dict[str, str], least: int = 5) -> str | None:
-    """The entry that word is or is a misspelling of: one edit, two from eight letters on."""
-    if word in words:
-        return words[word]
-    if len(word) < least:
-        return None
-    known = (word, id(words), least)
-    if known not in _NEAREST:
-        if len(_NEAREST) > 100_000:
-            _NEAREST.clear()
-        limit, bits = (1 if len(word) < 8 else 2), _letters_of(word)
-        near = ((edit_distance(word, spelling, limit), full) for spelling, full in words.items() if len(spelling) >= least and (bits ^ _letters_of(spelling)).bit_count() <= 2 * limit)
-        best = min(near, default=(9, ""))
-        _NEAREST[known] = best[1] if best[0] <= limit else None
-    return _NEAREST[known]
+    if (id(words), least) not in _SPELLINGS:
+        _SPELLINGS[id(words), least] = _Spellings(words, least)
+    return _SPELLINGS[id(words), least].nearest(word)
 
 
 def parse_name(name: str) -> tuple[str, str, str, str, str]:

@@ -87,7 +87,7 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = matching.match(table(spark, sf_dir, "er_identity"), table(spark, sf_dir, "faa_master"))
-    return found.where("fits > 0").withColumn("confidence", F.round("confidence", 6))
+    return found.withColumn("confidence", F.round("confidence", 6))
 
 
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
