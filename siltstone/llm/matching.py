@@ -4,11 +4,12 @@ Every record of both tables becomes a set of terms, one or more for each attribu
 name, city, state, postal code, house number, model, year, end of the serial number). Records are retrieved by BM25 over
 an inverted index of these terms: a term stands once in a record, so its frequency in it is 1, and the score of a record
 is the sum of the shared terms' inverse document frequencies times a factor that falls with the record's number of
-terms (scaled so that it is 1 at most). Only records in force when the query was seen, and with at least ALPHA of the
-query's own weight, are matches at all. That makes pruning exact: if the most common terms of a query and its single
+terms (scaled so that it is 1 at most). Only records in force when the query was seen, of no other state, and with at
+least ALPHA of the query's own weight, are matches at all. That makes pruning exact: if the most common terms of a query and its single
 heaviest one together stay below this, a record that reaches it shares at least two of the other, rarer terms. The index
 therefore holds pairs of terms, and is only read for pairs of rarer ones; what is met is scored with all terms. A query
-whose heaviest term alone is enough reads the postings of single terms.
+whose heaviest term alone is enough reads the postings of single terms. The state, the most common term of nearly all
+queries, always counts as common, so it is in no pair.
 
 A pair is mutual if the record's own best query points back to it. The confidence of a query's best record comes from its
 share of the query's weight, its gap to the next and mutuality, through a logistic model. The model learns from
@@ -103,8 +104,8 @@ def terms(query: bool = False) -> Column:
 
 
 def _pairs() -> Column:
-    """Hashes of all pairs of a record's terms; equal hashes of unequal pairs only add candidates."""
-    t = F.array_sort("terms")
+    """Hashes of all pairs of a record's terms but its state; equal hashes of unequal pairs only add candidates."""
+    t = F.array_sort(F.filter("terms", lambda x: ~x.startswith("state:")))
     return F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, F.greatest(F.size(t) - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
 
 
@@ -137,25 +138,25 @@ def retrieve(queries: DataFrame, records: DataFrame, alpha: float = ALPHA, top:
     """(q, d, score, weight): for each query the records that reach alpha of the query's own weight, all of them, or the
     best top, ties by id.
 
-    queries: id, terms, and seen; records: id, terms, factor (as with_factors), since and until. A record is only met
-    while it is in force: since <= seen <= until, a null until is open. weight is the sum over the query's terms that
+    queries: id, terms, seen and state; records: id, terms, factor (as with_factors), since, until and state. A record is
+    only met while it is in force: since <= seen <= until, a null until is open; and if the states don't differ. weight is the sum over the query's terms that
     the index has. Queries that share no such record have no row.
     """
     records = records.where("since is not null")
-    while_in_force = (F.col("since") <= F.col("seen")) & (F.col("seen") <= F.coalesce("until", F.lit(2**62)))
-    days, span = queries.select(F.col("id").alias("q"), "seen").where("seen is not null"), ["since", "until"]
+    possible = (F.col("since") <= F.col("seen")) & (F.col("seen") <= F.coalesce("until", F.lit(2**62))) & F.coalesce(F.col("state") == F.col("of"), F.lit(True))
+    days, span = queries.select(F.col("id").alias("q"), "seen", F.col("state").alias("of")).where("seen is not null"), ["since", "until", "state"]
     asked = weights(queries, records)
-    by_query = Window.partitionBy("q")
-    asked = asked.withColumn("weight", F.sum("w").over(by_query)).withColumn("most", F.max("w").over(by_query))
-    asked = cut(asked.withColumn("common", F.sum("w").over(by_query.orderBy("w", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(days, "q"))
+    by_query, of_state = Window.partitionBy("q"), F.col("term").startswith("state:")
+    asked = asked.withColumn("weight", F.sum("w").over(by_query)).withColumn("most", F.max(F.when(~of_state, F.col("w")).otherwise(0.0)).over(by_query)).withColumn("place", F.sum(F.when(of_state, F.col("w")).otherwise(0.0)).over(by_query))
+    asked = cut(asked.withColumn("common", F.sum("w").over(by_query.orderBy(F.desc(of_state), "w", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(days, "q"))
     least = alpha * F.col("weight")
     postings = records.select(F.col("id").alias("d"), *span, F.explode("terms").alias("term"))
-    lone = asked.where((F.col("most") >= least) & (F.col("common") >= least)).select("q", "seen", "term").join(postings, "term")
-    rare = asked.where((F.col("most") < least) & (F.col("common") + F.col("most") >= least)).groupBy("q", "seen").agg(F.collect_list("term").alias("terms"))
-    sought = rare.select("q", "seen", F.explode(_pairs()).alias("pair"))
+    lone = asked.where((F.col("place") + F.col("most") >= least) & (F.col("common") >= least)).select("q", "seen", "of", "term").join(postings, "term")
+    rare = asked.where((F.col("place") + F.col("most") < least) & (F.col("common") + F.col("most") >= least)).groupBy("q", "seen", "of").agg(F.collect_list("term").alias("terms"))
+    sought = rare.select("q", "seen", "of", F.explode(_pairs()).alias("pair"))
     paired = sought.join(records.select(F.col("id").alias("d"), *span, F.explode(_pairs()).alias("pair")), "pair")
-    met = paired.where(while_in_force).select("q", "d").unionByName(lone.where(while_in_force).select("q", "d")).distinct()
-    scored = score(met, asked.drop("seen"), records).where(F.col("score") >= alpha * F.col("weight"))
+    met = paired.where(possible).select("q", "d").unionByName(lone.where(possible).select("q", "d")).distinct()
+    scored = score(met, asked.drop("seen", "of"), records).where(F.col("score") >= alpha * F.col("weight"))
     if top is None:
         return scored
     order = Window.partitionBy("q").orderBy(F.desc("score"), "d")
@@ -198,14 +199,14 @@ def agreement(q: str = "q", d: str = "d") -> Column:
 
 
 def practice(queries: DataFrame, records: DataFrame, rows: int = TRAIN_ROWS) -> DataFrame:
-    """(id, terms, seen, origin, absent): queries made of a hash sample of records. Each kind of term is kept as often as
+    """(id, terms, seen, state, origin, absent): queries made of a hash sample of records. Each kind of term is kept as often as
     the real queries have one that the index knows; some are those of another record. absent: the query's own record
     is to be left out."""
     kind = lambda t: F.substring_index(t, ":", 1)
     n, total = records.count(), queries.count()
     known = weights(queries, records).groupBy(kind(F.col("term")).alias("kind")).agg(F.count_distinct("q").alias("n")).collect()  # a row a kind of term
     if not known or not total:
-        return records.limit(0).select("id", "terms", F.col("since").alias("seen"), F.col("id").alias("origin"), F.lit(False).alias("absent"))
+        return records.limit(0).select("id", "terms", F.col("since").alias("seen"), "state", F.col("id").alias("origin"), F.lit(False).alias("absent"))
     rates = F.create_map(*[F.lit(x) for r in known for x in (r["kind"], r["n"] / total)])
     drawn = records.where((F.col("since").isNotNull()) & (F.pmod(F.xxhash64("id", F.lit(3)), F.lit(max(1, n // rows))) == 0))
     # the sample is bounded; its rows are paired up in groups by another hash
@@ -214,7 +215,7 @@ def practice(queries: DataFrame, records: DataFrame, rows: int = TRAIN_ROWS) ->
     chance = lambda t, seed: F.pmod(F.xxhash64(F.col("id"), t, F.lit(seed)), F.lit(1000)) / 1000
     kept = F.filter("terms", lambda t: chance(t, 6) < F.coalesce(F.try_element_at(rates, kind(t)), F.lit(0.0)))
     said = F.transform(kept, lambda t: F.when(chance(t, 7) < EXCHANGED, F.coalesce(F.get(F.filter("other", lambda o: kind(o) == kind(t)), 0), t)).otherwise(t))
-    return drawn.select(F.concat(F.lit("practice:"), "id").alias("id"), F.array_distinct(said).alias("terms"), (F.col("since") + 1).alias("seen"), F.col("id").alias("origin"), (F.pmod(F.xxhash64("id", F.lit(8)), F.lit(3)) == 0).alias("absent"))
+    return drawn.select(F.concat(F.lit("practice:"), "id").alias("id"), F.array_distinct(said).alias("terms"), (F.col("since") + 1).alias("seen"), F.when(F.array_contains(said, F.concat(F.lit("state:"), "state")), F.col("state")).alias("state"), F.col("id").alias("origin"), (F.pmod(F.xxhash64("id", F.lit(8)), F.lit(3)) == 0).alias("absent"))
 
 
 def compared(found: DataFrame, alpha: float) -> DataFrame:
@@ -258,7 +259,7 @@ def match(identities: DataFrame, register: DataFrame, alpha: float = ALPHA, trai
     d = d.withColumn("id", F.concat_ws("|", "reg_key", F.hex(F.xxhash64(*[c for c in d.columns if c != "terms"]))))
     d = cut(with_factors(d))
     p = cut(practice(q, d, train_rows))
-    both = q.select("id", "terms", "seen").unionByName(p.select("id", "terms", "seen"))
+    both = q.select("id", "terms", "seen", "state").unionByName(p.select("id", "terms", "seen", "state"))
     found = cut(retrieve(both, d, alpha))
     made = F.col("q").startswith("practice:")
     own = p.select(F.col("id").alias("q"), "origin", "absent")

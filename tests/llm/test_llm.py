@@ -172,22 +172,24 @@ def test_retrieve_equals_brute_force(spark):
     import math
 
     rnd = random.Random(4)
-    docs = {f"d{i}": (sorted({rnd.choice("abcdefghij") + str(rnd.randrange(4)) for _ in range(rnd.randrange(3, 8))}), rnd.choice([None, 10, 50]), rnd.choice([None, 60, 90])) for i in range(90)}
-    asked = {f"q{i}": (sorted({rnd.choice("abcdefghij") + str(rnd.randrange(4)) for _ in range(6)}), rnd.choice([20, 70, None])) for i in range(30)}
+    docs = {f"d{i}": (sorted({rnd.choice("abcdefghij") + str(rnd.randrange(4)) for _ in range(rnd.randrange(3, 8))}), rnd.choice([None, 10, 50]), rnd.choice([None, 60, 90]), rnd.choice(["TX", "VT", None])) for i in range(90)}
+    asked = {f"q{i}": (sorted({rnd.choice("abcdefghij") + str(rnd.randrange(4)) for _ in range(6)}), rnd.choice([20, 70, None]), rnd.choice(["TX", None])) for i in range(30)}
+    expected = {}
+    docs = {k: (v[0] + ([f"state:{v[3]}"] if v[3] else []), *v[1:]) for k, v in docs.items()}
+    asked = {k: (v[0] + ([f"state:{v[2]}"] if v[2] else []), *v[1:]) for k, v in asked.items()}
     live = {k: v for k, v in docs.items() if v[1] is not None}
     df = Counter(t for ts, *_ in live.values() for t in ts)
     w = {t: math.log(1 + (len(live) - n + 0.5) / (n + 0.5)) for t, n in df.items()}
     mean, least = sum(len(v[0]) for v in docs.values()) / len(docs), min(len(v[0]) for v in docs.values())
     damp = lambda n: 1 + matching.K1 * (1 - matching.B + matching.B * n / mean)
-    expected = {}
-    for q, (ts, seen) in asked.items():
+    for q, (ts, seen, of) in asked.items():
         total = sum(w.get(t, 0) for t in ts)
-        for d, (own, since, until) in live.items():
+        for d, (own, since, until, state) in live.items():
             score = damp(least) / damp(len(own)) * sum(w[t] for t in ts if t in own)
-            if seen is not None and since <= seen <= (until or 2**62) and score >= 0.3 * total:
+            if seen is not None and since <= seen <= (until or 2**62) and (of is None or state is None or of == state) and score >= 0.3 * total:
                 expected[q, d] = pytest.approx(score)
-    queries = spark.createDataFrame([(k, *v) for k, v in asked.items()], "id string, terms array<string>, seen long")
-    records = matching.with_factors(spark.createDataFrame([(k, *v) for k, v in docs.items()], "id string, terms array<string>, since long, until long"))
+    queries = spark.createDataFrame([(k, *v) for k, v in asked.items()], "id string, terms array<string>, seen long, state string")
+    records = matching.with_factors(spark.createDataFrame([(k, *v) for k, v in docs.items()], "id string, terms array<string>, since long, until long, state string"))
     assert len(expected) > 30 and {(r["q"], r["d"]): r["score"] for r in matching.retrieve(queries, records, 0.3).collect()} == expected
     best = matching.retrieve(queries, records, 0.3, 1).collect()
     assert len(best) == len({q for q, _ in expected}) and all(r["score"] >= max(s.expected for (q, _), s in expected.items() if q == r["q"]) - 1e-9 for r in best)
