@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 # Texts that stand for a missing value.
-MISSING = ("", "NA", "N/A", "NULL", "NONE", "NIL", "NAN", "-", "--", "?", "UNKNOWN", "UNK", "TBD", "MISSING")
+MISSING = ("", "N/A", "NA", "NULL", "NONE", "-", "--", "?", "UNK", "UNKNOWN", "NAN", "NIL", "MISSING", "#N/A")
 
 
 def null_tokens(c: Column) -> Column:
@@ -37,10 +37,9 @@ def scaled_unit(c: Column, units: dict[str, tuple[float, float]], bare: str | Co
     written = r"^[-+]?[\d.,]+\s*([A-Za-z°%][A-Za-z°%. ]*)?$"
     suffix = F.when(t.rlike(written), F.regexp_replace(F.lower(F.regexp_extract(t, written, 1)), r"[. ]", ""))
     suffix = F.when(suffix == "", bare).otherwise(suffix)
-    out = F.lit(None).cast("double")
-    for u, (scale, offset) in units.items():
-        out = F.when(suffix == u, number * scale + offset).otherwise(out)
-    return out
+    known = F.create_map(*[x for u, (scale, offset) in units.items() for x in (F.lit(u), F.struct(F.lit(float(scale)).alias("scale"), F.lit(float(offset)).alias("offset")))])
+    # a transform of one element binds what is looked up, so that it is computed once
+    return F.get(F.transform(F.array(F.struct(number.alias("n"), F.try_element_at(known, suffix).alias("u"))), lambda x: x["n"] * x["u"]["scale"] + x["u"]["offset"]), 0)
 
 
 def first_row(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:

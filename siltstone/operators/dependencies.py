@@ -120,16 +120,3 @@ def name_similarity(a: str, b: str) -> float:
 
     x, y = tokens(a), tokens(b)
     return len(x & y) / len(x | y) if x | y else 0.0
-
-
-def fuse_confidence(signals: dict[str, float]) -> float:
-    """Confidence of a relationship from its signals: overlap and key evidence add up, a divergence that conflicts
-    with them counts twice, and divergence of at least 0.6 with low containment caps the result."""
-    weights = {"containment_left": 0.30, "containment_right": 0.30, "jaccard": 0.15, "key": 0.20, "name": 0.05, "type": 0.10}
-    overlap = max(signals.get("containment_left", 0.0), signals.get("containment_right", 0.0))
-    gate = 1.0 if overlap >= 0.3 else 0.3
-    plus = gate * sum(w * signals.get(k, 0.0) for k, w in weights.items())
-    divergence = signals.get("divergence", 0.0)
-    conflict = divergence >= 0.6 and overlap >= 0.5
-    score = max(0.0, min(1.0, plus - 0.35 * divergence * (2 if conflict else 1) * 0.5))
-    return min(score, 0.2) if divergence >= 0.6 and overlap < 0.7 else score

@@ -10,15 +10,19 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.session import cut
+
 #: Patterns of the datatypes and semantic types.
 INTEGER, NUMBER = r"^[-+]?\d+$", r"^[-+]?(\d+\.?\d*|\.\d+)([eE][-+]?\d+)?$"
 BOOLEAN = r"^(?i:true|false|yes|no|t|f|y|n)$"
 DATE = r"^(\d{4}-\d{2}-\d{2}|\d{2}/\d{2}/\d{4}|\d{1,2}-[A-Za-z]{3}-\d{2,4}|\d{2}\.\d{2}\.\d{4})$"
 DATETIME = r"^\d{4}-\d{2}-\d{2}[ T]\d{2}:\d{2}(:\d{2}(\.\d+)?)?Z?$"
+#: The codes of the states of the USA, the District of Columbia and Puerto Rico.
+STATES = "AL AK AZ AR CA CO CT DE DC FL GA HI ID IL IN IA KS KY LA ME MD MA MI MN MS MO MT NE NV NH NJ NM NY NC ND OH OK OR PA PR RI SC SD TN TX UT VT VA WA WV WI WY".split()
 SEMANTIC = {
     "email": r"^[^@\s]+@[^@\s]+\.[A-Za-z]{2,}$",
     "tail_number": r"^N[1-9]\d{0,4}[A-Z]{0,2}$",
-    "us_state": r"^(A[KLRZ]|C[AOT]|D[CE]|FL|GA|HI|I[ADLN]|K[SY]|LA|M[ADEINOST]|N[CDEHJMVY]|O[HKR]|PA|RI|S[CD]|T[NX]|UT|V[AT]|W[AIVY])$",
+    "us_state": "^(" + "|".join(STATES) + ")$",
     "currency_amount": r"^(?:[$€£]|USD|EUR|GBP)\s?\d[\d,]*(\.\d+)?$",
     "date": DATE,
 }
@@ -66,12 +70,51 @@ def deciles(df: DataFrame, columns: list[str], exact: bool = True) -> DataFrame:
         each = [F.percentile_approx(c, steps, 10_000).alias(c) for c in columns]
         wide = df.agg(*each)
         return wide.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).alias("q")) for c in columns])).alias("x")).select("x.column", F.posexplode("x.q").alias("decile", "value"))
-    number = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("double").alias("value")) for c in columns]))
+    number = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("double").alias("value")) for c in columns]))
     counts = df.select(number.alias("x")).select("x.*").where("value is not null").groupBy("column", "value").agg(F.count(F.lit(1)).alias("n"))
-    order = Window.partitionBy("column").orderBy("value")
-    ranked = counts.withColumn("upto", F.sum("n").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("total", F.sum("n").over(Window.partitionBy("column")))
-    wanted = ranked.withColumn("decile", F.explode(F.sequence(F.lit(0), F.lit(10)))).where(F.col("upto") >= F.col("decile") / 10 * F.col("total"))
-    return wanted.groupBy("column", "decile").agg(F.min("value").alias("value"))
+    return exact_quantiles(counts, steps).withColumnRenamed("i", "decile")
+
+
+def exact_quantiles(counts: DataFrame, steps: list[float]) -> DataFrame:
+    """(column, i, value): for each step the least value that at least this share of a column's values doesn't exceed.
+
+    counts: column, value double, n. Values are sorted by ranges over all tasks; each range adds up its own counts, and
+    only its sums, a number a range and column, come to the driver. No task holds a column."""
+    here = F.spark_partition_id()
+    rows = cut(counts.orderBy("column", "value").withColumn("_p", here))
+    spark, offsets, totals = counts.sparkSession, [], {}
+    for p, c, n in sorted(tuple(r) for r in rows.groupBy("_p", "column").agg(F.sum("n")).collect()):
+        offsets.append((p, c, totals.get(c, 0)))
+        totals[c] = totals.get(c, 0) + n
+    known = spark.createDataFrame([(p, c, o, totals[c]) for p, c, o in offsets], "_p int, column string, before long, total long")
+    own = F.sum("n").over(Window.partitionBy("_p", "column").orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    ranked = rows.join(F.broadcast(known), ["_p", "column"]).withColumn("upto", F.col("before") + own).withColumn("below", F.col("upto") - F.col("n"))
+    wanted = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(float(s)).alias("s")) for i, s in enumerate(steps)])
+    hit = F.filter(wanted, lambda w: (F.col("upto") >= w["s"] * F.col("total")) & ((F.col("below") < w["s"] * F.col("total")) | (F.col("below") == 0)))
+    return ranked.select("column", F.explode(hit).alias("w"), "value").select("column", "w.i", "value")
+
+
+def approx_distinct(df: DataFrame, columns: list[str], precision: int = 14) -> DataFrame:
+    """(column, estimate) by HyperLogLog sketches of 2^precision registers, which merge across tasks and loads."""
+    each = F.array(*[F.struct(F.lit(c).alias("column"), F.hll_sketch_estimate(F.hll_sketch_agg(F.col(f"`{c}`").cast("string"), precision)).alias("estimate")) for c in columns])
+    return df.agg(each.alias("a")).select(F.explode("a").alias("x")).select("x.*")
+
+
+def value_key(c: Column, kind: str) -> Column:
+    """The form in which values of any type are compared: whole numbers are equal in every numeric type, dates, times,
+    booleans and texts keep apart. kind is the Spark type's name."""
+    if kind == "boolean":
+        return F.when(c, "b:1").when(~c, "b:0")
+    if kind in ("tinyint", "smallint", "int", "bigint"):
+        return F.concat(F.lit("n:"), c.cast("string"))
+    if kind in ("float", "double") or kind.startswith("decimal"):
+        d = c.cast("double")
+        return F.when((d == F.floor(d)) & (F.abs(d) < 2.0**63), F.concat(F.lit("n:"), d.cast("long").cast("string"))).otherwise(F.concat(F.lit("f:"), d.cast("string")))
+    if kind == "date":
+        return F.concat(F.lit("d:"), c.cast("string"))
+    if kind.startswith("timestamp"):
+        return F.concat(F.lit("t:"), F.replace(c.cast("string"), F.lit(" "), F.lit("T")))
+    return F.concat(F.lit("s:"), c.cast("string"))
 
 
 def entropy(df: DataFrame, columns: list[str]) -> DataFrame:

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+
+from siltstone.session import cut
 
 
 @dataclass(frozen=True)
@@ -69,33 +74,55 @@ def psi(baseline: DataFrame, current: DataFrame, column: str, bins: int = 10, ep
 
 def ewma(series: DataFrame, key: str, cycle: str, value: str, lam: float = 0.3, warmup: int = 3, width: float = 3.0) -> DataFrame:
     """(key, cycle, value, ewma, alarm): control chart of each key's series; the first warmup values set its centre
-    and spread. One array per key of as many numbers as it has cycles."""
-    points = F.array_sort(F.collect_list(F.struct(F.col(cycle).cast("long").alias("t"), F.col(value).cast("double").alias("x"))))
-    s = series.where(F.col(value).isNotNull()).groupBy(key).agg(points.alias("p"))
-    head = F.slice("p", 1, warmup)
-    mean = F.aggregate(head, F.lit(0.0), lambda a, y: a + y["x"]) / F.size(head)
-    s = s.withColumn("mean", mean).withColumn("sd", F.sqrt(F.aggregate(head, F.lit(0.0), lambda a, y: a + (y["x"] - F.col("mean")) * (y["x"] - F.col("mean"))) / F.size(head)))
-    start = F.array().cast("array<struct<t:bigint,x:double,z:double>>")
-    step = lambda acc, y: F.concat(acc, F.array(F.struct(y["t"].alias("t"), y["x"].alias("x"), (lam * y["x"] + (1 - lam) * F.when(F.size(acc) == 0, y["x"]).otherwise(F.element_at(acc, F.lit(-1))["z"])).alias("z"))))
-    s = s.withColumn("c", F.aggregate("p", start, step))
+    and spread. Series are read in order, batch by batch; of a series only its state is held."""
     spread = (lam / (2 - lam)) ** 0.5
-    out = s.select(key, "mean", "sd", F.posexplode("c").alias("i", "c"))
-    alarm = (F.col("i") >= warmup) & (F.abs(F.col("c.z") - F.col("mean")) > width * F.greatest(F.col("sd"), F.lit(1e-9)) * spread)
-    return out.select(key, F.col("c.t").alias(cycle), F.col("c.x").alias(value), F.col("c.z").alias("ewma"), alarm.alias("alarm"))
+    kind = series.schema[key].dataType.simpleString()
+
+    def chart(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, head, z, sd = object(), [], None, 0.0
+        for batch in batches:
+            out = []
+            for k, t, x in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if k != now:
+                    now, head, z = k, [], None
+                z = x if z is None else lam * x + (1 - lam) * z
+                later = len(head) == warmup
+                if not later:
+                    head.append(x)
+                    mean = sum(head) / len(head)
+                    sd = (sum((y - mean) ** 2 for y in head) / len(head)) ** 0.5
+                out.append((k, t, x, z, later and abs(z - mean) > width * max(sd, 1e-9) * spread))
+            yield pa.RecordBatch.from_arrays([pa.array(c, type=f.type) for c, f in zip(zip(*out, strict=True), form, strict=True)], schema=form) if out else pa.RecordBatch.from_pylist([], schema=form)
+
+    rows = series.where(F.col(value).isNotNull() & F.col(key).isNotNull()).select(key, F.col(cycle).cast("long").alias(cycle), F.col(value).cast("double").alias(value))
+    schema = f"`{key}` {kind}, `{cycle}` long, `{value}` double, ewma double, alarm boolean"
+    form = to_arrow_schema(rows.withColumns({"ewma": F.lit(0.0), "alarm": F.lit(False)}).schema)
+    return rows.repartition(key).sortWithinPartitions(key, cycle).mapInArrow(chart, schema)
+
+
+def _alike(old: DataFrame, gone: list[str], new: DataFrame, come: list[str]) -> dict[tuple[str, str], float]:
+    """The Jaccard similarity of the distinct values of all pairs of columns that share any, in one aggregation."""
+    def values(df: DataFrame, side: str, columns: list[str]) -> DataFrame:
+        each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]))
+        return df.select(each.alias("x")).select(F.lit(side).alias("side"), "x.*").where("value is not null").distinct()
+
+    both = cut(values(old, "old", gone).unionByName(values(new, "new", come)))
+    sizes = {(r["side"], r["column"]): r["count"] for r in both.groupBy("side", "column").count().collect()}  # a row a column
+    held = both.groupBy("value").agg(F.collect_set(F.when(F.col("side") == "old", F.col("column"))).alias("a"), F.collect_set(F.when(F.col("side") == "new", F.col("column"))).alias("b"))
+    met = held.select(F.explode("a").alias("x"), "b").select("x", F.explode("b").alias("y")).groupBy("x", "y").count().collect()
+    return {(x, y): n / (sizes["old", x] + sizes["new", y] - n) for x, y, n in met}
 
 
 def schema_drift(old: DataFrame, new: DataFrame, columns_old: list[str] | None = None, columns_new: list[str] | None = None, same: float = 0.8) -> DataFrame:
     """(change, column, other): added, removed and renamed columns; renamed where the distinct values of a removed
     and an added column have a Jaccard similarity of at least same."""
-    from siltstone.operators.dependencies import value_overlap
-
     a, b = columns_old or old.columns, columns_new or new.columns
     gone, come = [c for c in a if c not in b], [c for c in b if c not in a]
     rows = []
+    alike = _alike(old, gone, new, come) if gone and come else {}
     for x in gone:
-        scores = {y: value_overlap(old, x, new, y).first()["jaccard"] for y in come}
-        best = max(scores, key=lambda y: (scores[y], y), default=None)
-        if best is not None and scores[best] >= same:
+        best = max(come, key=lambda y: (alike.get((x, y), 0.0), y), default=None)
+        if best is not None and alike.get((x, best), 0.0) >= same:
             rows.append(("renamed", x, best))
             come.remove(best)
         else:

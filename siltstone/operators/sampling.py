@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from siltstone.functions.numbering import numbered
+
 
 def apportion(sizes: dict[str, int], budget: int) -> dict[str, int]:
     """Rows of each table within a budget, in proportion to size by largest remainder, at least one of each."""
@@ -77,3 +79,16 @@ def shift_dates(c: Column, days: int, low: str, span: int) -> Column:
     """Dates shifted by days inside [low, low + span), wrapping around."""
     start = F.lit(low).cast("date")
     return F.date_add(start, F.pmod(F.datediff(c, start) + days, F.lit(span)))
+
+
+def even_sample(df: DataFrame, column: str, k: int) -> DataFrame:
+    """(column): k distinct values at even distances of their sorted order, halves rounded to even places; all if there are
+    no more. Nulls aren't values. The order is counted by ranges, without a task that sees all values."""
+    values = df.select(column).where(F.col(column).isNotNull()).distinct()
+    n = values.count()
+    if n <= k:
+        return values
+    places = [round(i * (n - 1) / (k - 1)) for i in range(k)] if k > 1 else [0]
+    spark = df.sparkSession
+    wanted = spark.createDataFrame([(p,) for p in sorted(set(places))], "_place long")
+    return numbered(values, [column], 0, "_place").join(F.broadcast(wanted), "_place", "left_semi").select(column)

@@ -64,6 +64,16 @@ LEVELS = ["source", "category", "place"]
 FEATURES = [*NUMBERS, *LEVELS]
 
 
+def unit_factor(source: str | None, target: str | None) -> float | None:
+    """What a figure in source is multiplied by to be in target; 1 if either is not named, null if they don't convert."""
+    if source is None or target is None or source == target:
+        return 1.0
+    families = {u: f for u, f, *_ in UNITS}
+    if families.get(source) is None or families.get(source) != families.get(target):
+        return None
+    return FACTORS[source] / FACTORS[target]
+
+
 def unit_of(notation: Column, family: str) -> Column:
     """The unit that a notation names, or null."""
     known = [(alias, u) for u, fam, _, aliases in UNITS if fam == family for alias in aliases.split()]

@@ -7,12 +7,14 @@ plan, so Catalyst prunes columns and pushes conditions down to the scans. Citati
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from siltstone.operators.unit_conversion import unit_factor
+
 OPS = ("=", "!=", "<", "<=", ">", ">=", "contains", "in", "between")
 AGGREGATES = ("count", "sum", "avg", "min", "max")
 
@@ -54,6 +56,7 @@ class Ontology:
 class World:
     ontology: Ontology
     tables: dict[str, DataFrame]
+    relax: int = 0  # 0: texts equal as they stand, 1: in any case, 2: as names without punctuation and legal forms
 
 
 @dataclass(frozen=True)
@@ -61,6 +64,7 @@ class Condition:
     path: str  # a property, or link.link.property
     op: str
     value: object
+    unit: str | None = None  # of the value, if it isn't the property's
 
 
 @dataclass(frozen=True)
@@ -130,12 +134,41 @@ def _path_errors(cls: str, path: str, ontology: Ontology) -> list[str]:
     return [] if prop in known else [f"unknown property: {cls}.{prop}"]
 
 
+def unit_of_property(cls: str, path: str, ontology: Ontology) -> str | None:
+    """The unit of the property at the end of a path, its own class's before those of its ancestors."""
+    *hops, prop = path.split(".")
+    cls = ontology.links[hops[-1]].target if hops else cls
+    own = ontology.classes[cls]
+    return own.units.get(prop) or next((u for p in own.parents if (u := unit_of_property(p, prop, ontology))), None)
+
+
+def in_unit_of(condition: Condition, cls: str, ontology: Ontology) -> object:
+    """The value of a condition on a property of cls in the property's unit."""
+    prop = condition.path.split(".")[-1]
+    factor = unit_factor(condition.unit, unit_of_property(cls, prop, ontology))
+    if factor == 1.0 or condition.unit is None:
+        return condition.value
+    value = condition.value
+    return tuple(v * factor for v in value) if isinstance(value, (tuple, list)) else value * factor
+
+
+def _condition_errors(cls: str, c: Condition, ontology: Ontology) -> list[str]:
+    errors = _path_errors(cls, c.path, ontology) + ([] if c.op in OPS else [f"unknown comparison: {c.op}"])
+    if not errors and c.unit is not None:
+        values = c.value if isinstance(c.value, (tuple, list)) else [c.value]
+        if not all(isinstance(v, (int, float)) for v in values):
+            errors.append(f"not a quantity: {c.value} {c.unit}")
+        elif unit_factor(c.unit, unit_of_property(cls, c.path, ontology)) is None:
+            errors.append(f"units don't convert: {c.unit} to {unit_of_property(cls, c.path, ontology)}")
+    return errors
+
+
 def typecheck(term, ontology: Ontology) -> list[str]:
     """What is wrong with a term; an empty list if it can be compiled. Looks at metadata only."""
     if isinstance(term, Select):
         if term.cls not in ontology.classes:
             return [f"unknown class: {term.cls}"]
-        return [e for c in term.conditions for e in [*_path_errors(term.cls, c.path, ontology), *([] if c.op in OPS else [f"unknown comparison: {c.op}"])]]
+        return [e for c in term.conditions for e in _condition_errors(term.cls, c, ontology)]
     errors = typecheck(term.source, ontology)
     if errors:
         return errors
@@ -147,7 +180,7 @@ def typecheck(term, ontology: Ontology) -> list[str]:
         start = link and (link.target if term.reverse else link.source)
         if link is None or cls not in ontology.descendants(start) and start not in ontology.descendants(cls):
             return [f"phantom traversal: {cls} has no link {term.link}" + (" in reverse" if term.reverse else "")]
-        return [e for c in term.conditions for e in _path_errors(class_of(term, ontology), c.path, ontology)]
+        return [e for c in term.conditions for e in _condition_errors(class_of(term, ontology), c, ontology)]
     if isinstance(term, TextJoin):
         if cls is None:
             return ["wrong grain: text of an aggregate"]
@@ -173,17 +206,40 @@ def typecheck(term, ontology: Ontology) -> list[str]:
     return [f"unknown term: {type(term).__name__}"]
 
 
-def _compare(c: Column, op: str, value: object) -> Column:
-    """A comparison by the rules of the algebra: numbers as doubles, texts trimmed; null never holds."""
+# Legal forms that a relaxed comparison of names leaves out.
+LEGAL_FORMS = ("INC", "LLC", "CORP", "CO", "LTD", "COMPANY", "CORPORATION", "INCORPORATED")
+
+
+def plain_name(c: Column) -> Column:
+    """A name for relaxed comparison: upper case, punctuation as blanks, AIRLINES in two words, no legal forms."""
+    t = F.regexp_replace(F.upper(F.regexp_replace(c, r"[^\p{L}\p{N}_\s]", " ")), r"\bAIRLINES\b", "AIR LINES")
+    return F.array_join(F.filter(F.split(F.trim(t), r"\s+"), lambda w: ~w.isin(*LEGAL_FORMS)), " ")
+
+
+def _same_text(c: Column, value: str, relax: int) -> Column:
+    same = F.trim(c.cast("string")) == value.strip()
+    if relax >= 1:
+        same = same | (F.lower(F.trim(c.cast("string"))) == value.strip().lower())
+    if relax >= 2:
+        same = same | (plain_name(c.cast("string")) == plain_name(F.lit(value)))
+    return same
+
+
+def _compare(c: Column, op: str, value: object, relax: int = 0) -> Column:
+    """A comparison by the rules of the algebra: numbers as doubles, texts trimmed; null never holds. relax widens the
+    equality of texts."""
     number = isinstance(value, (int, float)) and not isinstance(value, bool)
     if op == "contains":
         hit = F.instr(F.lower(c.cast("string")), str(value).lower()) > 0
     elif op == "in":
-        hit = F.trim(c.cast("string")).isin([str(v).strip() for v in value])
+        hit = reduce(lambda a, b: a | b, [_same_text(c, str(v), relax) for v in value], F.lit(False)) if relax else F.trim(c.cast("string")).isin([str(v).strip() for v in value])
     elif op == "between":
         low, high = value
         side = c.try_cast("double") if isinstance(low, (int, float)) else c
         hit = side.between(F.lit(low), F.lit(high))
+    elif relax and isinstance(value, str) and op in ("=", "!="):
+        same = _same_text(c, value, relax)
+        hit = same if op == "=" else ~same
     else:
         side = c.try_cast("double") if number else (F.trim(c) if isinstance(value, str) else c)
         other = F.lit(float(value)) if number else F.lit(value.strip() if isinstance(value, str) else value)
@@ -204,11 +260,11 @@ def _restrict(world: World, df: DataFrame, cls: str, conditions: tuple[Condition
     for c in conditions:
         *hops, prop = c.path.split(".")
         if not hops:
-            df = df.where(_compare(F.col(prop), c.op, c.value))
+            df = df.where(_compare(F.col(prop), c.op, in_unit_of(c, cls, world.ontology), world.relax))
             continue
         # true if any end of the path fits: semi-joins from the far end back
         links = [world.ontology.links[h] for h in hops]
-        end = extent(world, links[-1].target).where(_compare(F.col(prop), c.op, c.value))
+        end = extent(world, links[-1].target).where(_compare(F.col(prop), c.op, in_unit_of(c, links[-1].target, world.ontology), world.relax))
         for i in range(len(links) - 1, -1, -1):
             keys = end.select(F.col(world.ontology.classes[links[i].target].key).alias("_key")).where("_key is not null")
             start = df if i == 0 else extent(world, links[i].source)
@@ -217,6 +273,21 @@ def _restrict(world: World, df: DataFrame, cls: str, conditions: tuple[Condition
     return df
 
 
+def _keyed(term: Aggregate, source: DataFrame, world: World) -> tuple[DataFrame, list[Column]]:
+    """source with what an aggregate's keys need, and the keys as texts."""
+    ontology, keys = world.ontology, []
+    for path in term.group_by:
+        if "." in path:
+            hop, prop = path.split(".")
+            link = ontology.links[hop]
+            side = extent(world, link.target).groupBy(F.col(ontology.classes[link.target].key).alias(f"_k{len(keys)}")).agg(F.min_by(prop, F.col("_id")).alias(f"_v{len(keys)}"))
+            source = source.join(side, source[link.column] == side[f"_k{len(keys)}"], "left").drop(f"_k{len(keys)}")
+            keys.append(F.col(f"_v{len(keys)}").cast("string").alias(path.replace(".", "_")))
+        else:
+            keys.append(F.col(path).cast("string").alias(path))
+    return source, keys
+
+
 def compile_term(term, world: World) -> DataFrame:
     """The DataFrame of a term that passes the type-check."""
     if errors := typecheck(term, world.ontology):
@@ -242,16 +313,7 @@ def _compile(term, world: World) -> DataFrame:
         joined = target.join(first, target[there] == first["_from"])
         return joined.select(*[target[c] for c in target.columns], *[F.col(f"_up.{c}").alias(c) for c in carried])
     if isinstance(term, Aggregate):
-        cls, keys = class_of(term.source, ontology), []
-        for path in term.group_by:
-            if "." in path:
-                hop, prop = path.split(".")
-                link = ontology.links[hop]
-                side = extent(world, link.target).groupBy(F.col(ontology.classes[link.target].key).alias(f"_k{len(keys)}")).agg(F.min_by(prop, F.col("_id")).alias(f"_v{len(keys)}"))
-                source = source.join(side, source[link.column] == side[f"_k{len(keys)}"], "left").drop(f"_k{len(keys)}")
-                keys.append(F.col(f"_v{len(keys)}").cast("string").alias(path.replace(".", "_")))
-            else:
-                keys.append(F.col(path).cast("string").alias(path))
+        source, keys = _keyed(term, source, world)
         name = output_name(term)
         if term.agg == "count":
             value = F.count(F.lit(1)) if term.measure is None else F.count_distinct(F.col(term.measure).cast("string"))
@@ -278,7 +340,45 @@ def answer(term, world: World, columns: list[str]) -> DataFrame:
     return df.where(whole).select(*columns).distinct()
 
 
-def citations(term, world: World, columns: list[str]) -> DataFrame:
-    """(columns, class, entity): every entity behind each answer row of a term that keeps entities."""
-    df = compile_term(term, world)
-    return df.select(*columns, F.lit(class_of(term, world.ontology)).alias("class"), F.col("_id").alias("entity")).distinct()
+def citations(term, world: World, columns: list[str] | None = None) -> DataFrame:
+    """(columns, class, entity): every entity behind each answer row. Of an aggregate the columns are its keys, and a row's
+    entities are those whose measure counts in its group; groups that having leaves out cite nothing."""
+    if isinstance(term, TopK) and isinstance(term.source, Aggregate):
+        names = [p.replace(".", "_") for p in term.source.group_by]
+        kept = compile_term(term, world).select(*names)
+        cited = citations(term.source, world)
+        return cited.join(kept, reduce(lambda a, b: a & b, [cited[n].eqNullSafe(kept[n]) for n in names], F.lit(True)), "left_semi")
+    if not isinstance(term, Aggregate):
+        df = compile_term(term, world)
+        return df.select(*(columns or []), F.lit(class_of(term, world.ontology)).alias("class"), F.col("_id").alias("entity")).distinct()
+    out = compile_term(term, world)
+    cls = class_of(term.source, world.ontology)
+    rows, keys = _keyed(term, _compile(term.source, world), world)
+    if term.agg != "count":
+        rows = rows.where(F.col(term.measure).try_cast("double").isNotNull())
+    names = [p.replace(".", "_") for p in term.group_by]
+    cited = rows.select(*keys, F.lit(cls).alias("class"), F.col("_id").alias("entity")).distinct()
+    if not term.having:
+        return cited
+    return cited.join(out.select(*names), reduce(lambda a, b: a & b, [cited[n].eqNullSafe(out[n]) for n in names], F.lit(True)), "left_semi")
+
+
+class EmptyResult(Exception):
+    """Nothing to answer with: the question abstains."""
+
+
+def answered(term, world: World, columns: list[str] | None = None, most_relaxed: int = 2) -> tuple[DataFrame, int]:
+    """The first answer that isn't empty, with texts compared more and more loosely, and how loosely (0 to 2). Raises
+    EmptyResult if none is: an aggregate over nothing is no zero."""
+    for relax in range(most_relaxed + 1):
+        loose = replace(world, relax=relax)
+        found = answer(term, loose, columns) if columns else compile_term(term, loose)
+        base = term.source if isinstance(term, TopK) else term
+        if isinstance(base, Aggregate) and not base.group_by:
+            # one row in any case: what counts is whether anything stands behind it
+            if citations(base, loose).isEmpty() or found.isEmpty():
+                continue
+            return found, relax
+        if not found.isEmpty():
+            return found, relax
+    raise EmptyResult(type(term).__name__)

@@ -1,4 +1,4 @@
-"""Restricted transform SQL: validation by Spark's own parser, column lineage by its analyzer, a DAG of transforms
+"""Restricted transform SQL: validation by a walk over the plan that Spark's own parser gives, column lineage by its analyzer, a DAG of transforms
 with memoized runs."""
 
 from __future__ import annotations
@@ -12,14 +12,13 @@ from pyspark.sql import DataFrame, SparkSession
 from siltstone.sources.snapshots import content_fingerprint
 
 # The functions a transform may call.
-FUNCTIONS = frozenset("upper lower trim replace coalesce nullif abs round substr substring split_part concat concat_ws regexp_extract regexp_replace try_to_timestamp date_format date_part count sum min max avg cast try_cast if".split())
+FUNCTIONS = frozenset("upper lower trim replace coalesce nullif abs round substr substring split_part concat concat_ws regexp_extract regexp_replace try_to_timestamp date_format date_part count sum min max avg cast try_cast if between".split())
 _DDL, _DML = r"^\s*(create|drop|alter|truncate)\b", r"^\s*(insert|update|delete|merge)\b"
-_REFUSED = {
-    "window_function": r"\bover\s*\(",
-    "set_operation": r"\b(union|intersect|except|minus)\b",
-    "bad_join": r"\b(right|full|cross|semi|anti)\s+(outer\s+)?join\b|\blateral\b",
-    "disallowed_construct": r"\b(having|distinct|limit|qualify|pivot|unpivot|grouping\s+sets|cube|rollup)\b",
-}
+#: Nodes of a parsed plan that a transform may have, and the codes of those it is refused for; others are disallowed_construct.
+_NODES = frozenset("Project Filter Aggregate Join Sort UnresolvedRelation SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedWith OneRowRelation".split())
+_REFUSED = {"Union": "set_operation", "Intersect": "set_operation", "Except": "set_operation", "WithWindowDefinition": "window_function", "LateralJoin": "bad_join"}
+_JOINS = frozenset(["Inner", "LeftOuter"])
+DEEPEST = 2
 
 
 class TransformError(ValueError):
@@ -45,17 +44,63 @@ def validate_sql(spark: SparkSession, sql: str) -> None:
     if not re.match(r"^\s*(select|with)\b", low):
         raise TransformError("not_select" if re.match(r"^\s*\w+", low) else "parse_error")
     try:
-        spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))
+        plan = spark._jsparkSession.sessionState().sqlParser().parsePlan(sql.strip().rstrip(";"))
     except Exception as e:
         raise TransformError("parse_error", str(e)[:200]) from e
-    for code, pattern in _REFUSED.items():
-        if re.search(pattern, low):
-            raise TransformError(code)
-    if len(re.findall(r"\bselect\b", low)) - 1 > 2:
-        raise TransformError("subquery_depth")
-    for name in re.findall(r"\b([a-z_][a-z0-9_]*)\s*\(", low):
-        if name not in FUNCTIONS and name not in ("select", "in", "and", "or", "not", "on", "as", "when", "then", "else", "from", "where", "by", "exists", "decimal", "values", "case"):
+    _check_plan(plan, 0)
+
+
+def _items(seq):
+    it = seq.iterator()
+    while it.hasNext():
+        yield it.next()
+
+
+def _check_plan(node, depth: int) -> None:
+    """Walk a parsed plan with all of its subqueries; depth counts selects inside selects."""
+    kind = node.getClass().getSimpleName()
+    if kind == "Distinct":  # UNION without ALL stands below one
+        kind = next(iter(_items(node.children()))).getClass().getSimpleName()
+        kind = kind if kind in _REFUSED else "Distinct"
+    if kind in _REFUSED:
+        raise TransformError(_REFUSED[kind])
+    if kind not in _NODES:
+        raise TransformError("disallowed_construct", kind)
+    if kind == "Join" and node.joinType().toString() not in _JOINS:
+        raise TransformError("bad_join", node.joinType().toString())
+    if kind in ("Project", "Aggregate"):
+        depth += 1
+        if depth - 1 > DEEPEST:
+            raise TransformError("subquery_depth")
+    for e in _items(node.expressions()):
+        _check_expression(e, depth)
+    if kind == "UnresolvedWith":
+        for relation in _items(node.cteRelations()):
+            _check_plan(relation._2(), depth)
+    for child in _items(node.children()):
+        _check_plan(child, depth)
+
+
+def _check_expression(e, depth: int) -> None:
+    kind = e.getClass().getSimpleName()
+    if kind in ("WindowExpression", "UnresolvedWindowExpression"):
+        raise TransformError("window_function")
+    if kind == "UnresolvedFunction":
+        name = e.nameParts().mkString(".").lower()
+        if name not in FUNCTIONS:
             raise TransformError("disallowed_function", name)
+    if kind in ("ScalarSubquery", "Exists", "ListQuery", "LateralSubquery"):
+        _check_plan(e.plan(), depth)
+    for child in _items(e.children()):
+        _check_expression(child, depth)
+
+
+def run_sql(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> DataFrame:
+    """The result of a transform's statement over tables, once it is found to be one."""
+    validate_sql(spark, sql)
+    for name, df in tables.items():
+        df.createOrReplaceTempView(name)
+    return spark.sql(sql.strip().rstrip(";"))
 
 
 def lineage(spark: SparkSession, sql: str, tables: dict[str, DataFrame]) -> dict[str, set[tuple[str, str]]]:
