@@ -70,7 +70,7 @@ def register_records(faa: DataFrame) -> DataFrame:
         F.when(c("street").rlike(r"^\s*\d"), F.regexp_extract(c("street"), r"^\s*(\d+)", 1)).alias("number"),
         _digits(c("mfr_mdl_code")).alias("model"), _digits(c("year_mfr")).alias("year"), _digits(c("serial_number")).alias("serial"),
         micros(parse_day(F.col("cert_issue_date"))).alias("since"), (micros(parse_day(F.col("expiration_date"))) + 86_399_999_999).alias("until"),
-    ).dropDuplicates(["id", "name", "model", "serial", "since", "until"])
+    ).distinct()
     return _with_names(rows)
 
 
