@@ -3,9 +3,8 @@
 Sum-of-squares packing: each text goes where the sum over all residual gaps of the squared number of open
 containers with that gap becomes smallest. Texts are spread over shards by a hash of their key; each shard packs on
 its own and is bounded by shard_items, so more texts mean more shards, not larger ones. A text beyond the capacity is cut
-into full containers and a rest; no other text is cut. When a shard's texts are placed, its fuller containers stay
-and the emptier ones are opened again, whose texts then go best-fit, largest first: the rule alone leaves
-containers open that no text comes to fill any more.
+into full containers and a rest; no other text is cut. As an option, when a shard's texts are placed, its emptier
+containers are opened again, whose texts then go best-fit, largest first.
 """
 
 from __future__ import annotations
@@ -18,8 +17,6 @@ from pyspark.sql import functions as F
 from siltstone.session import cut
 
 SHARD_ITEMS = 40_000
-#: Containers filled less than this are opened again at the end of a shard.
-FULL_ENOUGH = 0.995
 
 
 def sum_of_squares(sizes: list[int], capacity: int) -> list[int]:
@@ -75,14 +72,14 @@ def best_fit(sizes: list[int], gaps: list[tuple[int, int]], capacity: int, fresh
     return where
 
 
-def pack_shard(sizes: list[int], capacity: int, full_enough: float = FULL_ENOUGH) -> list[int]:
-    """Containers of a shard's sizes: sum of squares, then the emptier containers packed again."""
+def pack_shard(sizes: list[int], capacity: int, full_enough: float | None = None) -> list[int]:
+    """Containers of a shard's sizes by sum of squares; with full_enough those filled less are packed again."""
     where = np.array(sum_of_squares(sizes, capacity), dtype=np.int64)
     size = np.array(sizes, dtype=np.int64)
     if not len(size):
         return []
     load = np.bincount(where, weights=size).astype(np.int64)
-    again = load[where] < full_enough * capacity
+    again = load[where] < (full_enough or 0.0) * capacity
     if again.any():
         kept = np.unique(where[~again])
         gaps = [(capacity - int(load[k]), int(k)) for k in kept if load[k] < capacity]
@@ -90,7 +87,7 @@ def pack_shard(sizes: list[int], capacity: int, full_enough: float = FULL_ENOUGH
     return [int(x) for x in np.unique(where, return_inverse=True)[1]]
 
 
-def pack(sizes: DataFrame, capacities: dict[int, int], key: str, shard_items: int = SHARD_ITEMS) -> DataFrame:
+def pack(sizes: DataFrame, capacities: dict[int, int], key: str, shard_items: int = SHARD_ITEMS, full_enough: float | None = None) -> DataFrame:
     """(pack_id, container, doc key, piece, n_tokens) for every text of at least one token and every capacity.
 
     sizes: key, n_tokens. Texts without tokens need no room and stand in no container: they have a row with a null
@@ -113,7 +110,7 @@ def pack(sizes: DataFrame, capacities: dict[int, int], key: str, shard_items: in
 
     def place(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(["doc", "piece", "n_tokens"], kind="stable").sample(frac=1.0, random_state=7)
-        where = pack_shard([int(x) for x in group["n_tokens"]], int(group["capacity"].iloc[0]))
+        where = pack_shard([int(x) for x in group["n_tokens"]], int(group["capacity"].iloc[0]), full_enough)
         shard = int(group["shard"].iloc[0])
         return group[["pack_id", "doc", "piece", "n_tokens"]].assign(container=[f"{shard}-{c}" for c in where])[["pack_id", "container", "doc", "piece", "n_tokens"]]
 

@@ -1,11 +1,14 @@
-"""Sizes of texts in tokens of a public tokenizer. The vocabulary file is a parameter and is read where it lies."""
+"""Sizes of texts in tokens of a public tokenizer. The vocabulary file is a parameter; it travels with the job, so
+workers need no copy of their own."""
 
 from __future__ import annotations
 
 import base64
+import os
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import SparkFiles
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -30,8 +33,11 @@ def with_token_counts(df: DataFrame, text: str, path: str = TOKENIZER_FILE, patt
     keep = [c for c in df.columns if c != text]
     schema = ", ".join([*(f"`{c}` {t}" for c, t in df.dtypes if c != text), "n_tokens int, text_key string"])
 
+    df.sparkSession.sparkContext.addFile(path)
+    name = os.path.basename(path)
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoding = load(path, pattern)
+        encoding = load(SparkFiles.get(name), pattern)
         for batch in batches:
             out = batch[[*keep, "__key"]].rename(columns={"__key": "text_key"})
             out.insert(len(keep), "n_tokens", [len(encoding.encode_ordinary(t)) if t else 0 for t in batch[text]])
