@@ -24,7 +24,7 @@ class Engine:
     def proposals(self, name: str) -> DataFrame:
         return cleaning.proposals(self.tables[name], self.tables[name].columns)
 
-    def fds(self, name: str, max_lhs: int = 2) -> DataFrame:
+    def fds(self, name: str, max_lhs: int = 3) -> DataFrame:
         return dependencies.functional_dependencies(self.tables[name], max_lhs=max_lhs)
 
     def inds(self, min_coverage: float = 0.95) -> DataFrame:

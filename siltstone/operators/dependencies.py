@@ -5,6 +5,7 @@ Metadata decides on the driver what to test; the data is read by one job per lev
 
 from __future__ import annotations
 
+import math
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,7 @@ def _filled(c: str) -> Column:
     return F.coalesce(F.col(c).cast("string"), F.lit(NULL))
 
 
-def functional_dependencies(df: DataFrame, columns: list[str] | None = None, max_lhs: int = 2, approximate: float = 0.98) -> DataFrame:
+def functional_dependencies(df: DataFrame, columns: list[str] | None = None, max_lhs: int = 3, approximate: float = 0.98) -> DataFrame:
     """(lhs, rhs, confidence): minimal dependencies; exact ones by counts of distinct values, approximate ones by
     the share of rows that stay when each lhs keeps its most frequent rhs. Constant columns have an empty lhs."""
     names = list(columns or df.columns)
@@ -30,8 +31,13 @@ def functional_dependencies(df: DataFrame, columns: list[str] | None = None, max
     for width in range(1, max_lhs + 1):
         tests = [(lhs, rhs) for lhs in combinations(names, width) for rhs in names if rhs not in lhs and base[rhs] > 1 and all(base[c] > 1 for c in lhs)]
         tests = [(lhs, rhs) for lhs, rhs in tests if not any(set(f) <= set(lhs) and r == rhs for f, r, _ in found)]
-        if not tests or not n:
+        # each lhs value keeps one rhs value: where rhs has many more, too many rows go whatever the data
+        most = lambda lhs: min(n, math.prod(base[c] for c in lhs))
+        tests = [(lhs, rhs) for lhs, rhs in tests if n - max(0, base[rhs] - most(lhs)) >= approximate * n]
+        if not n:
             break
+        if not tests:
+            continue
         # rows kept: for each lhs value the count of its most frequent rhs; all candidates in one job
         each = F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.concat_ws("\x1f", *lhs).alias("x"), F.col(rhs).alias("a")) for i, (lhs, rhs) in enumerate(tests)]))
         counts = d.select(each.alias("t")).select("t.*").groupBy("i", "x", "a").agg(F.count(F.lit(1)).alias("c"))

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from siltstone.operators.profile import portable_hash
+from siltstone.functions.skew import pairs_within
 from siltstone.session import cut
 
 
@@ -53,8 +54,7 @@ def jaro_winkler_udf(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def block_pairs(df: DataFrame, key: str, block: Column) -> DataFrame:
     """(a, b), a < b: records that share a block value; null blocks pair nothing."""
-    k = df.select(F.col(key).alias("a"), block.alias("_block")).where("_block is not null")
-    return k.join(k.withColumnRenamed("a", "b"), "_block").where("a < b").select("a", "b").distinct()
+    return pairs_within(df.select(F.col(key).alias("a"), block.alias("_block")), "_block", "a").distinct()
 
 
 def sorted_neighborhood(df: DataFrame, key: str, order: Column, window: int = 4, parts: int = 64) -> DataFrame:
@@ -85,7 +85,7 @@ def lsh_pairs(df: DataFrame, key: str, text: str, bands: int = 10, rows: int = 6
     sig = h.groupBy("k").agg(*lanes)
     keys = F.explode(F.array(*[F.concat_ws("-", F.lit(b), *[F.col(f"l{b * rows + r}") for r in range(rows)]) for b in range(bands)]))
     banded = sig.select(F.col("k").alias("a"), keys.alias("band"))
-    return banded.join(banded.withColumnRenamed("a", "b"), "band").where("a < b").select("a", "b").distinct()
+    return pairs_within(banded, "band", "a").distinct()
 
 
 def agreement_level(a: Column, b: Column, similarity: Column, agree: float, partial: float) -> Column:

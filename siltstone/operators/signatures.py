@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import re
-from functools import reduce
+from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Values of a column that are looked at; the sample is by hash, so it doesn't hang on the layout.
-SAMPLE = 128
+#: A value of more tokens has no format: its signature is *.
+LONGEST = 200
+#: Patterns of a column are first aligned in so many groups.
+GROUPS = 64
 
 
 def tokens(value: str) -> list[str]:
@@ -59,22 +61,39 @@ def align(a: list[str], b: list[str]) -> list[str]:
     return merged
 
 
+def aligned(patterns: list[list[str]]) -> list[str]:
+    """What some token lists have in common. Nothing is more general than *, so it is not aligned further."""
+    out = patterns[0]
+    for p in patterns[1:]:
+        if out == ["*"]:
+            break
+        out = align(out, p) if max(len(out), len(p)) <= LONGEST else ["*"]
+    return out if len(out) <= LONGEST else ["*"]
+
+
 def signature(values: list[str]) -> str:
     """The signature of some values: DAaLX and * for anything."""
-    return "".join(reduce(align, map(tokens, values))) if values else ""
+    return "".join(aligned(sorted({tuple(tokens(v)) for v in values}, key=list)) if values else [])
 
 
 def format_signatures(df: DataFrame, columns: list[str]) -> DataFrame:
-    """(column, signature) from a bounded sample of distinct values of each column; a column of nulls has ''."""
-    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(c).cast("string").alias("value")) for c in columns]))
-    rows = df.select(each.alias("x")).select("x.*").distinct()
-    from pyspark.sql import Window
+    """(column, signature) over all values of each column; a column of nulls has ''.
 
-    order = Window.partitionBy("column").orderBy(F.col("value").isNull(), F.xxhash64("value"))
-    sample = rows.withColumn("n", F.row_number().over(order)).where(F.col("n") <= SAMPLE)
+    Values become lists of tokens, of which a column has few; these are aligned in GROUPS by hash, then their results."""
+    each = F.explode(F.array(*[F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").cast("string").alias("value")) for c in columns]))
+    rows = df.select(each.alias("x")).select("x.*").where("value is not null").distinct()
 
-    def fold(group: pd.DataFrame) -> pd.DataFrame:
-        values = [v[:200] for v in group.sort_values("n")["value"] if v is not None]
-        return pd.DataFrame({"column": [group["column"].iloc[0]], "signature": [signature(values)]})
+    def cut_up(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            patterns = [tokens(v) for v in batch["value"]]
+            yield pd.DataFrame({"column": batch["column"].to_numpy(), "tokens": [p if len(p) <= LONGEST else ["*"] for p in patterns]}).assign(tokens=lambda t: t["tokens"].map("\x1f".join))
 
-    return sample.select("column", "value", "n").groupBy("column").applyInPandas(fold, "column string, signature string")
+    def fold(group: pd.DataFrame) -> pd.DataFrame:
+        lists = sorted(t.split("\x1f") for t in group["tokens"])
+        return pd.DataFrame({"column": [group["column"].iloc[0]], "tokens": ["\x1f".join(aligned(lists))]})
+
+    patterns = rows.mapInPandas(cut_up, "column string, tokens string").distinct()
+    parts = patterns.groupBy("column", F.pmod(F.xxhash64("tokens"), F.lit(GROUPS)).alias("g")).applyInPandas(fold, "column string, tokens string")
+    whole = parts.groupBy("column").applyInPandas(fold, "column string, tokens string")
+    names = df.sparkSession.createDataFrame([(c,) for c in columns], "column string")
+    return F.broadcast(names).join(whole, "column", "left").select("column", F.coalesce(F.replace("tokens", F.lit("\x1f"), F.lit("")), F.lit("")).alias("signature"))
