@@ -45,4 +45,4 @@ def assign_identifiers(clusters: DataFrame, prior: DataFrame, prefix: str = "ent
     best = held.groupBy("cluster").agg(F.max_by("uri", F.struct("n", F.xxhash64("uri"))).alias("uri"), F.max("n").alias("n"))
     owner = best.groupBy("uri").agg(F.max_by("cluster", F.struct("n", "cluster")).alias("cluster"))
     named = clusters.join(owner, "cluster", "left")
-    return named.select("record", F.coalesce("uri", F.concat(F.lit(prefix), F.substring(F.md5("cluster"), 1, 16))).alias("uri"))
+    return named.select("record", F.coalesce("uri", F.concat(F.lit(prefix), F.substring(F.md5(F.col("cluster").cast("string")), 1, 16))).alias("uri"))

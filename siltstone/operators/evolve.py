@@ -161,6 +161,54 @@ class Specialize:
         return out
 
 
+@dataclass(frozen=True)
+class Generalize:
+    """The inverse of Specialize: quarantined rows that the looser condition lets through come back."""
+
+    cls: str
+    old: str
+    new: str
+
+    def forward(self, t: Tables) -> Tables:
+        held = t[f"_quarantine_{self.cls}"]
+        ok = F.coalesce(F.expr(self.new), F.lit(False))
+        return {**t, self.cls: t[self.cls].unionByName(held.where(ok)), f"_quarantine_{self.cls}": held.where(~ok)}
+
+    def backward(self, t: Tables) -> Tables:
+        ok = F.coalesce(F.expr(self.old), F.lit(False))
+        return {**t, self.cls: t[self.cls].where(ok), f"_quarantine_{self.cls}": t[f"_quarantine_{self.cls}"].unionByName(t[self.cls].where(~ok))}
+
+
+@dataclass(frozen=True)
+class AddFacet:
+    """A class gets a view of its own of some properties, by its key; retiring it takes the view away."""
+
+    cls: str
+    facet: str
+    key: str
+    properties: tuple[str, ...]
+
+    def forward(self, t: Tables) -> Tables:
+        return {**t, self.facet: t[self.cls].select(self.key, *self.properties)}
+
+    def backward(self, t: Tables) -> Tables:
+        return {k: v for k, v in t.items() if k != self.facet}
+
+
+@dataclass(frozen=True)
+class RetireFacet:
+    cls: str
+    facet: str
+    key: str
+    properties: tuple[str, ...]
+
+    def forward(self, t: Tables) -> Tables:
+        return {k: v for k, v in t.items() if k != self.facet}
+
+    def backward(self, t: Tables) -> Tables:
+        return AddFacet(self.cls, self.facet, self.key, self.properties).forward(t)
+
+
 @dataclass(frozen=True)
 class SplitClass:
     """Rows with the discriminator's value go to `matching`, the others to `rest`."""

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from siltstone.operators import cleaning, drift, identity, ledger, privacy, profile, programs, quality, relationships, sampling
-from siltstone.operators.bitemporal import FOREVER, human_edits, mirrors, scan
+from siltstone.operators import cleaning, clusters, drift, evolve, identity, ledger, privacy, profile, programs, provenance, relationships, sampling
+from siltstone.operators.bitemporal import FOREVER, human_edits, mirrors, neighbors, scan
 from siltstone.plans import transforms
-from siltstone.plans.reference_queries import event_cells, r6
+from siltstone.plans.algebra import ClassDef, Condition, Ontology, Select, World, compile_term
+from siltstone.plans.reference_queries import _CELLS_SQL, event_cells, r6
 from siltstone.session import table
+from siltstone.sources import bundle
 
 QUERIES: dict = {}
 SQL: dict[str, str] = {}
@@ -264,3 +266,154 @@ def null_token_counts(spark, d):
         return table(spark, d, t).agg(F.lit(c).alias("column"), F.sum(hit.cast("int")).alias("n"))
 
     return counted("orders", "o_orderkey").unionByName(counted("customer", "c_name")).unionByName(counted("faa_master", "city"))
+
+
+# the store, read in other ways
+
+
+@query(f"with {_CELLS_SQL}, w as (select entity_uri, prop, value_num, value_str from (select *, value_num::varchar as value_str, row_number() over (partition by entity_uri, prop order by src_rank, confidence desc, created_at desc, seq desc) n from cells where expired_at >= {FOREVER}) where n = 1) select entity_uri, prop, value_num from w where entity_uri in (select entity_uri from w where prop = 'click' and value_num >= 0 and value_str = (select value_str from w where prop = 'click' order by entity_uri limit 1))")
+def scan_equal(spark, d):
+    """Entities whose winning cell of one property has a given value."""
+    cells = event_cells(spark, d)
+    won = scan(cells, F.col("expired_at") >= FOREVER)
+    value = won.where("prop = 'click'").orderBy("entity_uri").first()["value_str"]
+    return scan(cells, F.col("expired_at") >= FOREVER, {"click": value}).select("entity_uri", "prop", "value_num")
+
+
+@query("select distinct 'order/' || o_orderkey as uri, 'customer/' || o_custkey as neighbor from orders where o_orderkey % 3 <> 0")
+def link_neighbors(spark, d):
+    return neighbors(_order_links(spark, d), "placed_by")
+
+
+@query("select distinct 'customer/' || o_custkey as uri, 'order/' || o_orderkey as neighbor from orders where o_orderkey % 3 <> 0")
+def link_neighbors_reverse(spark, d):
+    return neighbors(_order_links(spark, d), "placed_by", reverse=True)
+
+
+def _order_links(spark, d):
+    closed = F.col("o_orderkey") % 3 == 0
+    return table(spark, d, "orders").select(F.col("o_orderkey").alias("seq"), F.concat(F.lit("order/"), F.col("o_orderkey").cast("string")).alias("subject_uri"), F.lit("placed_by").alias("predicate"), F.concat(F.lit("customer/"), F.col("o_custkey").cast("string")).alias("object_uri"), F.lit(0).cast("long").alias("valid_from"), F.when(closed, F.lit(10)).otherwise(F.lit(FOREVER)).cast("long").alias("valid_to"), F.lit(1).cast("long").alias("created_at"), F.lit(FOREVER).alias("expired_at"))
+
+
+# profiles of whole tables
+
+
+_ORDER_COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderpriority"]
+
+
+@query(" union all ".join(f"select '{c}' as \"column\", round((count(*) - count({c}))::double / count(*), 6) as null_rate, round(count(distinct {c})::double / count({c}), 6) as uniqueness from orders" for c in _ORDER_COLUMNS) + " union all " + " union all ".join(f"select '{c}', round((count(*) - count({c}))::double / count(*), 6), round(count(distinct {c})::double / nullif(count({c}), 0), 6) from faa_master" for c in _ALL_FAA))
+def null_rates(spark, d):
+    a = profile.profile_columns(table(spark, d, "orders"), _ORDER_COLUMNS)
+    b = profile.profile_columns(table(spark, d, "faa_master"), _ALL_FAA)
+    return a.unionByName(b).select("column", r6("null_rate"), r6("uniqueness"))
+
+
+@query("with l as (select l_orderkey as k, count(*) as n from lineitem group by 1) select round(max(n), 6) as fan_out_max, 1::bigint as reverse_fan_out_max, (select count(*) from l) as right_keys from l")
+def key_multiplicity(spark, d):
+    """The most lines an order has, from the executed join's multiplicities."""
+    from siltstone.operators import dependencies
+
+    return dependencies.validate_join(table(spark, d, "orders"), "o_orderkey", table(spark, d, "lineitem"), "l_orderkey").select("fan_out_max", "reverse_fan_out_max", "right_keys")
+
+
+@query("select event_id, user_id from events where event_id % 10 <> 0")
+def header_rows(spark, d):
+    """Every tenth row repeats the header; these go."""
+    e = table(spark, d, "events")
+    cell = lambda c: F.when(F.col("event_id") % 10 == 0, F.lit(f" {c.upper()} ")).otherwise(F.col(c).cast("string")).alias(c)
+    out = cleaning.without_header_rows(e.select(cell("event_id"), cell("user_id")), ["event_id", "user_id"])
+    return out.select(F.col("event_id").cast("long").alias("event_id"), F.col("user_id").cast("long").alias("user_id"))
+
+
+@query("select 'constant' as \"column\" union all select 'empty'")
+def constant_columns(spark, d):
+    o = table(spark, d, "orders").withColumn("constant", F.lit(7)).withColumn("empty", F.lit(None).cast("string"))
+    return spark.createDataFrame([(c,) for c in cleaning.constant_columns(o)], "column string")
+
+
+# provenance
+
+
+@query("select distinct 'a' || (c_custkey % 1000) as atom_id from customer where 'a' || (c_custkey % 1000) not in (select 'a' || (s_suppkey % 1000) from supplier)")
+def register_atoms(spark, d):
+    atom = lambda t, k: table(spark, d, t).select(F.concat(F.lit("a"), (F.col(k) % 1000).cast("string")).alias("atom_id"))
+    return provenance.register_atoms(atom("supplier", "s_suppkey"), atom("customer", "c_custkey"))
+
+
+@query("select '[[0,1],[2]]' as shape_json, count(*) filter (o_custkey % 2 = 0) as terms from orders union all select '[[0,1],[0]]', count(*) filter (o_custkey % 2 = 1) from orders")
+def intern_terms(spark, d):
+    """Terms of two shapes over ever other atoms are stored as two shapes."""
+    a = lambda p, c: F.concat(F.lit(p), F.col(c).cast("string"))
+    t = table(spark, d, "orders").select("o_custkey", F.when(F.col("o_custkey") % 2 == 0, F.array(F.array(a("x", "o_orderkey"), a("y", "o_custkey")), F.array(a("z", "o_custkey")))).otherwise(F.array(F.array(a("x", "o_orderkey"), a("y", "o_custkey")), F.array(a("x", "o_orderkey")))).alias("term"))
+    shapes, terms = provenance.intern_terms(t)
+    return terms.join(F.broadcast(shapes), "shape_hash").groupBy("shape_json").agg(F.count(F.lit(1)).alias("terms"))
+
+
+@query("select prov_ref, least(2, len(x)) as n_union, len(x) >= 1 as derivable, round(case when len(x) >= 1 then 0.5 end, 6) as best from (select distinct prov_ref, list_distinct(regexp_extract_all(leaf_ids, 'a[0-9]+')) as x from prov_term) where len(x) >= 1")
+def provenance_sums(spark, d):
+    """The union of two terms, whether one can be derived from its first atom, and its best confidence."""
+    leaves = F.array_distinct(F.regexp_extract_all("leaf_ids", F.lit("(a[0-9]+)"), F.lit(1)))
+    t = table(spark, d, "prov_term").select("prov_ref", leaves.alias("x")).where("size(x) >= 1").distinct()
+    first, last = F.array(F.array(F.get("x", 0))), F.array(F.array(F.element_at("x", -1)))
+    return t.select("prov_ref", F.size(provenance.plus(first, last)).cast("long").alias("n_union"), provenance.derivable(first, F.array(F.get("x", 0))).alias("derivable"), F.round(provenance.best_confidence(first, F.create_map(F.get("x", 0), F.lit(0.5))), 6).alias("best"))
+
+
+# evolution
+
+
+@query("select c_custkey, c_name, c_acctbal from customer")
+def backward_chain(spark, d):
+    """Added, dropped, specialized, generalized, faceted, retired and demoted: the old version still answers."""
+    t = {"Customer": table(spark, d, "customer").select("c_custkey", "c_name", "c_acctbal")}
+    ops = [evolve.AddProperty("Customer", "note", "string"), evolve.DropProperty("Customer", "c_custkey", "c_name"), evolve.Specialize("Customer", "c_acctbal > 0"), evolve.Generalize("Customer", "c_acctbal > 0", "c_acctbal > -500"), evolve.AddFacet("Customer", "Money", "c_custkey", ("c_acctbal",)), evolve.RetireFacet("Customer", "Money", "c_custkey", ("c_acctbal",)), evolve.AddClass("Visit", "id long"), evolve.DropClass("Visit", "id long")]
+    return evolve.view(evolve.evolve(t, ops), ops)["Customer"].select("c_custkey", "c_name", "c_acctbal")
+
+
+@query("select c_custkey, c_acctbal from customer where c_acctbal > -500")
+def generalized(spark, d):
+    t = {"Customer": table(spark, d, "customer").select("c_custkey", "c_acctbal")}
+    return evolve.evolve(t, [evolve.Specialize("Customer", "c_acctbal > 0"), evolve.Generalize("Customer", "c_acctbal > 0", "c_acctbal > -500")])["Customer"]
+
+
+@query("select c_custkey, c_mktsegment from customer")
+def promoted_and_demoted(spark, d):
+    t = {"Customer": table(spark, d, "customer").select("c_custkey", "c_mktsegment")}
+    return evolve.evolve(t, [evolve.PromoteProperty("Customer", "c_mktsegment", "Segment"), evolve.DemoteClass("Customer", "c_mktsegment", "Segment")])["Customer"].select("c_custkey", "c_mktsegment")
+
+
+# the algebra over a hierarchy; exports; clusters
+
+
+@query("select k::varchar as k, balance from (select s_suppkey as k, s_acctbal as balance from supplier union all select c_custkey, c_acctbal from customer) where balance > 9000")
+def subclass_union(spark, d):
+    """A class with two below it: its extent is theirs together."""
+    props = {"k": "integer", "balance": "float"}
+    party = Ontology({"Party": ClassDef("Party", "k", props), "Supplier": ClassDef("Supplier", "k", {}, ("Party",)), "Customer": ClassDef("Customer", "k", {}, ("Party",))}, {})
+    s, c = table(spark, d, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_acctbal").alias("balance")), table(spark, d, "customer").select(F.col("c_custkey").alias("k"), F.col("c_acctbal").alias("balance"))
+    return compile_term(Select("Party", (Condition("balance", ">", 9000),)), World(party, {"Supplier": s, "Customer": c})).select(F.col("k").cast("string").alias("k"), "balance")
+
+
+@query(f"with {_CELLS_SQL}, w as (select * from (select *, row_number() over (partition by entity_uri, prop order by src_rank, confidence desc, created_at desc, seq desc) n from cells where expired_at >= {FOREVER}) where n = 1) select entity_uri, prop, value_num from w")
+def triples_roundtrip(spark, d):
+    """The winning cells written as triples and read again."""
+    lines = bundle.triples(event_cells(spark, d))
+    part = lambda i: F.regexp_extract("line", r'^<urn:siltstone:([^>]*)> <urn:siltstone:([^>]*)> "([^"]*)" \.$', i)
+    return lines.select(part(1).alias("entity_uri"), part(2).alias("prop"), part(3).cast("double").alias("value_num"))
+
+
+@query("select c_custkey, c_name, c_acctbal from customer where c_acctbal >= 100.5 and c_name <> 'x' and contains(lower(c_mktsegment), 'build')")
+def csv_slice(spark, d):
+    c = table(spark, d, "customer")
+    return bundle.extract(c, "c_custkey", ["c_name", "c_acctbal"], [("c_acctbal", ">=", "100.5"), ("c_name", "!=", "x"), ("c_mktsegment", "contains", "BUILD")], 2**31 - 1)
+
+
+@query("with o as (select o_custkey as c, o_orderstatus as s, count(*) as n from orders group by 1, 2), b as (select c, s, row_number() over (partition by s order by n desc, c desc) as i from o) select s as uri, c as cluster from (select s, max_by(c, struct_pack(n := n, c := c)) as c from (select c, max(n) as n, any_value(s) as s from (select o.*, max(n) over (partition by c) as m from o) where n = m group by c having count(*) = 1) group by s)")
+def uri_owner(spark, d):
+    """Of the customers whose most frequent status is clear, the one that holds most orders of each status keeps its uri."""
+    o = table(spark, d, "orders").select(F.col("o_orderkey").alias("record"), F.col("o_custkey").alias("cluster"), F.col("o_orderstatus").alias("uri"))
+    counts = o.groupBy("cluster", "uri").agg(F.count(F.lit(1)).alias("n"))
+    best = counts.groupBy("cluster").agg(F.max("n").alias("m"))
+    clear = counts.join(best, "cluster").where("n = m").groupBy("cluster").agg(F.count(F.lit(1)).alias("k")).where("k = 1").select("cluster")
+    kept = o.join(clear, "cluster", "left_semi")
+    named = clusters.assign_identifiers(kept.select("record", "cluster"), kept.select("record", "uri"))
+    return named.join(kept.select("record", "cluster"), "record").where(~F.col("uri").startswith("ent/")).select("uri", "cluster").distinct()
