@@ -22,6 +22,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from siltstone.functions.skew import hot_keys
+from siltstone.session import cut
 
 OPEN_END = 2**62
 SLICES = 32
@@ -103,7 +104,8 @@ def timeline(versions: DataFrame, hot_floor: int = 50_000) -> DataFrame:
     gives no segments.
     """
     rows = versions.select("entity", F.col("version").cast("string").alias("version"), "start", F.coalesce("end", F.lit(OPEN_END)).alias("end"), F.coalesce("major", F.lit(-(2**62))).alias("major"), F.coalesce("minor", F.lit(-(2**62))).alias("minor"))
-    rows = rows.where("entity is not null and version is not null and start is not null and end > start").distinct()
+    # read for the hot entities, their slices and the sweep: written once
+    rows = cut(rows.where("entity is not null and version is not null and start is not null and end > start").distinct())
     hot, _ = hot_keys(rows, ["entity"], hot_floor)
     bounds = _slices(rows, hot, "start")
     rows = rows.withColumn("part", _slice_of(F.col("start"), bounds))
