@@ -362,9 +362,20 @@ def token_stats(spark, d):
     return profile.token_stats(table(spark, d, "documents"), "text").select("token", "n", r6("share"))
 
 
-@query("select * from (values ('n_name', 1), ('n_nationkey', 1)) t(\"key\", width)")
+_KEY_TABLES = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_mktsegment"], "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_orderdate"]}
+
+
+def _keys_sql() -> str:
+    unique = lambda t, *cs: f"(select count(*) = count(distinct ({', '.join(cs)})) and count(*) filter ({' or '.join(f'{c} is null' for c in cs)}) = 0 from {t})"
+    one = [f"select '{t}' as \"table\", '{c}' as \"key\", 1 as width where {unique(t, c)}" for t, cs in _KEY_TABLES.items() for c in cs]
+    two = [f"select '{t}', '{x},{y}', 2 where {unique(t, x, y)} and not {unique(t, x)} and not {unique(t, y)}" for t, cs in _KEY_TABLES.items() for i, x in enumerate(cs) for y in cs[i + 1 :]]
+    return " union all ".join(one + two)
+
+
+@query(_keys_sql())
 def candidate_keys(spark, d):
-    return profile.candidate_keys(table(spark, d, "nation"))
+    found = [profile.candidate_keys(table(spark, d, t), cs).select(F.lit(t).alias("table"), "key", "width") for t, cs in _KEY_TABLES.items()]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("with h as (select distinct ('0x' || substr(md5(o_custkey::varchar), 1, 15))::bigint as h from orders where o_custkey is not null), lanes as (select unnest(range(0, 16)) as i) select i::int as lane, min((h::hugeint * (2 * i * 40503 + 1) + (i * 2654435761 + 12345)) % 2305843009213693951)::bigint as value from h, lanes group by 1")
@@ -388,9 +399,12 @@ def _fd_sql(t: str, columns: list[str]) -> str:
     )
 
 
-@query(_fd_sql("nation", ["n_nationkey", "n_name", "n_regionkey"]))
+_FD_COLUMNS = {"nation": ["n_nationkey", "n_name", "n_regionkey"], "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_returnflag", "l_linestatus"]}
+
+
+@query(" union all ".join(_fd_sql(t, cs) for t, cs in _FD_COLUMNS.items()))
 def fd_exact_unary(spark, d):
-    return dependencies.functional_dependencies(table(spark, d, "nation"), max_lhs=1)
+    return reduce(DataFrame.unionByName, [dependencies.functional_dependencies(table(spark, d, t), cs, max_lhs=1) for t, cs in _FD_COLUMNS.items()])
 
 
 @query(_fd_sql("bom_components", ["parent_model_code", "component_category", "uom", "component_description"]))
@@ -398,7 +412,7 @@ def fd_g3_unary(spark, d):
     return dependencies.functional_dependencies(table(spark, d, "bom_components"), ["parent_model_code", "component_category", "uom", "component_description"], max_lhs=1)
 
 
-_IND = {"customer": ["c_custkey", "c_nationkey"], "orders": ["o_orderkey", "o_custkey"], "nation": ["n_nationkey", "n_regionkey"], "region": ["r_regionkey"], "supplier": ["s_suppkey", "s_nationkey"]}
+_IND = {"customer": ["c_custkey", "c_nationkey"], "orders": ["o_orderkey", "o_custkey"], "nation": ["n_nationkey", "n_regionkey"], "region": ["r_regionkey"], "supplier": ["s_suppkey", "s_nationkey"], "part": ["p_partkey", "p_size"], "lineitem": ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"]}
 
 
 @query("with v as (" + " union all ".join(f"select distinct '{t}.{c}' as col, {c}::varchar as value from {t} where {c} is not null" for t, cs in _IND.items() for c in cs) + "), n as (select col, count(*) as n from v group by 1) select a.col as lhs, b.col as rhs, any_value(x.n) as lhs_distinct, any_value(y.n) as rhs_distinct, count(*) as common, round(count(*)::double / any_value(x.n), 6) as coverage from v a join v b on a.value = b.value and a.col <> b.col join n x on x.col = a.col join n y on y.col = b.col where x.n >= 2 group by 1, 2 having count(*)::double / any_value(x.n) >= 0.95")
