@@ -109,11 +109,9 @@ def orphans(references: DataFrame, parents: DataFrame, rows_per_range: int = ROW
     known = known.groupBy("key", "start").agg(F.max("end").alias("end"))
     refs = references.where("key is not null").select("key", F.coalesce("at", F.lit(FOREVER - 1)).alias("at"), F.col("row_key").cast("string").alias("row_key"))
     ranges = _ranges(spark, known, refs, rows_per_range)
-    sent = spark.sparkContext.broadcast(ranges)
-
     @F.pandas_udf("cell int, edge boolean")
     def place(key: pd.Series, at: pd.Series, draw: pd.Series) -> pd.DataFrame:
-        return sent.value.place(key, at, draw)
+        return ranges.place(key, at, draw)  # the bounds travel with the function
 
     place = place.asNondeterministic()  # not to be evaluated twice
     held = known.select("key", F.col("start").alias("at"), "end", place("key", "start", F.lit(0.0)).alias("p")).select("key", "at", "end", "p.*")

@@ -250,11 +250,11 @@ class UnitModel:
 
     def predict(self, records: DataFrame, hidden: Column | None = None) -> DataFrame:
         """records with predicted_unit and its calibrated confidence; hidden: where statements are kept from it."""
-        model = records.sparkSession.sparkContext.broadcast(self)
+        score = self.score  # travels by value with the function; a broadcast object would need the package on the workers
 
         def assign(batches: Iterator[tuple[pd.Series, ...]]) -> Iterator[pd.DataFrame]:
             for columns in batches:
-                yield model.value.score(columns)[["code", "confidence"]]
+                yield score(columns)[["code", "confidence"]]
 
         # the optimizer must not ask it twice, so it isn't told that it is deterministic
         udf = F.pandas_udf(assign, "code int, confidence double").asNondeterministic()
