@@ -24,7 +24,6 @@ from __future__ import annotations
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -231,19 +230,28 @@ def compared(found: DataFrame, alpha: float) -> DataFrame:
     return VectorAssembler(inputCols=["share", "gap", "back"], outputCol="features").transform(placed.withColumn("back", F.col("mutual").cast("double")))
 
 
-def fit_confidence(practised: DataFrame):
-    """The logistic model fitted on practised (features, label), three quarters of them, and its mean calibration error
-    on the rest in ten bands of confidence; (None, None) where all labels are equal or none are there."""
-    rows = practised.select("features", "label", F.pmod(F.xxhash64("q", F.lit(9)), F.lit(4)).alias("fold")).cache()
+def confidence_of(weights: list[float]) -> Column:
+    """The logistic function of share, gap and mutuality; the last weight stands alone. An expression, as a fitted model
+    drags its session along, which doesn't travel once that has observed anything."""
+    *each, alone = weights
+    return 1 / (1 + F.exp(-(alone + sum((w * F.col(c) for w, c in zip(each, ("share", "gap", "back"), strict=True)), F.lit(0.0)))))
+
+
+def fit_confidence(practised: DataFrame) -> tuple[list[float] | None, float | None]:
+    """The weights of a logistic model fitted on practised (share, gap, back, features, label), three quarters of them, and
+    its mean calibration error on the rest in ten bands of confidence; (None, None) where all labels are equal or none
+    are there."""
+    rows = practised.select("share", "gap", "back", "features", "label", F.pmod(F.xxhash64("q", F.lit(9)), F.lit(4)).alias("fold")).cache()
     if rows.where("fold > 0").select("label").distinct().count() < 2:
         rows.unpersist()
         return None, None
     model = LogisticRegression(maxIter=25, regParam=1e-4).fit(rows.where("fold > 0"))
-    held = model.transform(rows.where("fold = 0")).withColumn("p", F.get(vector_to_array("probability"), 1))
+    fitted = [float(c) for c in model.coefficients] + [float(model.intercept)]
+    held = rows.where("fold = 0").withColumn("p", confidence_of(fitted))
     bands = held.groupBy(F.least(F.floor(F.col("p") * 10), F.lit(9))).agg(F.count(F.lit(1)).alias("n"), F.abs(F.avg("p") - F.avg("label")).alias("off"))
     error = bands.agg(F.sum(F.col("n") * F.col("off")) / F.sum("n")).first()[0]
     rows.unpersist()
-    return model, error
+    return fitted, error
 
 
 def match(identities: DataFrame, register: DataFrame, alpha: float = ALPHA, train_rows: int = TRAIN_ROWS) -> DataFrame:
@@ -267,7 +275,7 @@ def match(identities: DataFrame, register: DataFrame, alpha: float = ALPHA, trai
     practised = compared(practised.select("q", "d", "score", "weight"), alpha).where("place = 1").join(own, "q").withColumn("label", (F.col("d") == F.col("origin")).cast("double"))
     model, _ = fit_confidence(practised)
     pairs = cut(compared(found.where(~made), alpha))
-    pairs = pairs.withColumn("confidence", F.lit(None).cast("double")) if model is None else model.transform(pairs).withColumn("confidence", F.get(vector_to_array("probability"), 1))
+    pairs = pairs.withColumn("confidence", F.lit(None).cast("double") if model is None else confidence_of(model))
     pairs = pairs.select("q", "d", "place", "mutual", "confidence")
     pairs = pairs.join(q.select(F.col("id").alias("q"), F.struct(*PARTS, "seen").alias("x")), "q").join(d.select(F.col("id").alias("d"), "reg_key", F.struct(*PARTS, "since", "until").alias("y")), "d")
     checked = pairs.withColumn("fits", agreement("x", "y")).where("fits > 0")

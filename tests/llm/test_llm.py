@@ -233,7 +233,13 @@ def test_confidence_is_calibrated(spark):
     found = matching.retrieve(p, d).join(p.select(F.col("id").alias("q"), "origin", "absent"), "q").where("not (absent and d = origin)")
     pairs = matching.compared(found.select("q", "d", "score", "weight"), matching.ALPHA).where("place = 1").join(p.select(F.col("id").alias("q"), "origin"), "q")
     model, error = matching.fit_confidence(pairs.withColumn("label", (F.col("d") == F.col("origin")).cast("double")))
-    assert error < 0.06 and all(c > 0 for c in model.coefficients)
+    assert error < 0.06 and all(c > 0 for c in model[:3])
+
+
+def test_match_after_an_observation(spark, data):
+    """Counting in the same session before doesn't keep the fitted confidence from travelling."""
+    groups.connected(spark.createDataFrame([(1, 2)], "a long, b long")).count()
+    assert queries.p6_found(spark, data).count() > 0
 
 
 def test_match_of_awkward_rows(spark):
