@@ -7,7 +7,7 @@ is the sum of the shared terms' inverse document frequencies times a factor that
 terms (scaled so that it is 1 at most). Only records in force when the query was seen, of no other state, and with at
 least ALPHA of the query's own weight, are matches at all. That makes pruning exact: if the most common terms of a query and its single
 heaviest one together stay below this, a record that reaches it shares at least two of the other, rarer terms. The index
-therefore holds pairs of terms, and is only read for pairs of rarer ones; what is met is scored with all terms. A query
+therefore holds pairs of terms, is made part by part, and is only read for pairs of rarer ones; what is met is scored with all terms. A query
 whose heaviest term alone is enough reads the postings of single terms. The state, the most common term of nearly all
 queries, always counts as common, so it is in no pair.
 
@@ -22,6 +22,8 @@ mutual.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import Column, DataFrame, Window
@@ -29,7 +31,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import fold, micros, parse_day, present
 from siltstone.llm.name_variants import near, parsed_names
-from siltstone.session import cut
+from siltstone.session import cut, cut_counting, cut_in_parts, discard, release
 
 #: Least share of a query's own weight: less in common is no match.
 ALPHA = 0.25
@@ -41,6 +43,9 @@ TRAIN_ROWS = 3_000
 EXCHANGED = 0.08
 #: Least confidence of a match that the attributes don't confirm and that isn't mutual.
 CONFIDENT = 0.05
+#: Postings that stand on disk at a time for each record and query, and candidates that are scored at a time; up to FEW
+#: of either in all, one part is cheaper.
+POSTINGS, CANDIDATES, FEW = 6, 1, 250_000
 
 PARTS = ["kind", "core", "given", "middle", "generation", "state", "city", "post", "number", "model", "year", "serial"]
 
@@ -57,7 +62,8 @@ def _digits(c: Column) -> Column:
 
 def _with_names(df: DataFrame) -> DataFrame:
     names = parsed_names(df.where("name is not null"))
-    return df.join(names, "name", "left")
+    # small files hold many names: a file's size would have them broadcast
+    return df.join(names.hint("merge"), "name", "left")
 
 
 def register_records(faa: DataFrame) -> DataFrame:
@@ -102,16 +108,35 @@ def terms(query: bool = False) -> Column:
     return F.array_distinct(F.array_compact(F.array(*each)))
 
 
-def _pairs() -> Column:
-    """Hashes of all pairs of a record's terms but its state; equal hashes of unequal pairs only add candidates."""
-    t = F.array_sort(F.filter("terms", lambda x: ~x.startswith("state:")))
-    return F.flatten(F.transform(t, lambda x, i: F.transform(F.slice(t, i + 2, F.greatest(F.size(t) - i - 1, F.lit(0))), lambda y: F.xxhash64(x, y))))
+def _few(key: Column, bits: int = 40) -> Column:
+    """A hash of an id, short as it stands in every posting; ids of the same hash only add candidates."""
+    return F.xxhash64(key).bitwiseAND(F.lit(2**bits - 1))
+
+
+def _day(c: Column) -> Column:
+    return F.floor(c / 86_400_000_000).cast("int")
+
+
+def _keys(singles: Column, halves: Column, part: int, parts: int) -> Column:
+    """What one of the parts of the index holds of a record or query: its single terms and its pairs of terms, as hashes,
+    by their smaller term; equal hashes of unequal terms or pairs only add candidates."""
+    mine = lambda t: F.pmod(t, F.lit(parts)) == part
+    of = lambda x: F.transform(F.filter(halves, lambda y: y > x), lambda y: F.xxhash64(x, y))
+    return F.concat(F.filter(singles, mine), F.flatten(F.transform(F.filter(halves, mine), of)))
+
+
+def _hashes(terms: Column) -> Column:
+    return F.transform(terms, lambda t: F.xxhash64(t))
+
+
+def _pairable(terms: Column) -> Column:
+    return F.filter(terms, lambda t: ~t.startswith("state:"))
 
 
 def weights(queries: DataFrame, records: DataFrame) -> DataFrame:
     """(q, term, w): the terms of each query that the index has, with their weights."""
     n = records.count()
-    frequency = records.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df"))
+    frequency = records.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")).hint("merge")
     weight = F.ln(1 + (n - F.col("df") + 0.5) / (F.col("df") + 0.5))
     return queries.select(F.col("id").alias("q"), F.explode("terms").alias("term")).join(frequency, "term").select("q", "term", weight.alias("w"))
 
@@ -125,37 +150,71 @@ def with_factors(records: DataFrame, k1: float = K1, b: float = B) -> DataFrame:
 
 
 def score(pairs: DataFrame, asked: DataFrame, records: DataFrame) -> DataFrame:
-    """pairs (q, d) with score and weight. A query's terms are summed in one order, so equal records tie exactly."""
-    whole = asked.groupBy("q").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("asked"))
-    whole = whole.withColumn("weight", F.aggregate("asked", F.lit(0.0), lambda a, x: a + x["w"]))
+    """pairs (hq, hd) as (q, d) with score and weight, of records in force and of no other state. A query's terms are
+    summed in one order, so equal records tie exactly."""
     shared = F.filter("asked", lambda x: F.array_contains(F.col("terms"), x["term"]))
-    scored = pairs.join(whole, "q").join(records.select(F.col("id").alias("d"), "terms", "factor"), "d")
-    return scored.withColumn("score", F.col("factor") * F.aggregate(shared, F.lit(0.0), lambda a, x: a + x["w"])).drop("asked", "terms", "factor")
-
-
-def retrieve(queries: DataFrame, records: DataFrame, alpha: float = ALPHA, top: int | None = None) -> DataFrame:
+    queries = asked.select("hq", "q", "seen", "of", "asked", "weight").hint("merge")
+    held = records.select(_few(F.col("id")).alias("hd"), F.col("id").alias("d"), "since", "until", "state", "terms", "factor").hint("merge")
+    possible = (F.col("since") <= F.col("seen")) & (F.col("seen") <= F.coalesce("until", F.lit(2**62))) & F.coalesce(F.col("state") == F.col("of"), F.lit(True))
+    scored = pairs.join(queries, "hq").join(held, "hd").where(possible)
+    return scored.select("q", "d", (F.col("factor") * F.aggregate(shared, F.lit(0.0), lambda a, x: a + x["w"])).alias("score"), "weight")
+
+
+def asked_of(queries: DataFrame, records: DataFrame, alpha: float) -> DataFrame:
+    """A row for each query that shares a term with the index and was seen: q, hq, seen, of (its state), asked (its terms
+    and their weights), weight, and by which hashes of terms it reads the index: singles, or halves of pairs."""
+    asked = weights(queries, records).groupBy("q").agg(F.array_sort(F.collect_list(F.struct("term", "w"))).alias("asked"))
+    asked = asked.join(queries.select(F.col("id").alias("q"), "seen", F.col("state").alias("of")).where("seen is not null").hint("merge"), "q")
+    total = lambda c: F.aggregate(c, F.lit(0.0), lambda a, x: a + x["w"])
+    of_state = lambda x: x["term"].startswith("state:")
+    asked = asked.withColumn("weight", total("asked")).withColumn("place", total(F.filter("asked", of_state)))
+    asked = asked.withColumn("most", F.coalesce(F.array_max(F.transform(F.filter("asked", lambda x: ~of_state(x)), lambda x: x["w"])), F.lit(0.0)))
+    rising = F.array_sort(F.transform("asked", lambda x: F.struct((~of_state(x)).alias("other"), x["w"].alias("w"), x["term"].alias("term"))))
+    asked = asked.withColumn("rising", rising).withColumn("rising", F.transform("rising", lambda x, i: F.struct(x["term"].alias("term"), total(F.slice("rising", F.lit(1), i + 1)).alias("common"))))
+    least = F.lit(alpha * (1 - 1e-9)) * F.col("weight")  # sums in another order differ in their last bits
+    rarer = lambda beside: F.transform(F.filter("rising", lambda x: x["common"] + beside >= least), lambda x: x["term"])
+    lone, none = F.col("place") + F.col("most") >= least, F.array().cast("array<bigint>")
+    singles, halves = F.when(lone, _hashes(rarer(F.lit(0.0)))).otherwise(none), F.when(lone, none).otherwise(_hashes(_pairable(rarer(F.col("most")))))
+    return asked.select("q", _few(F.col("q")).alias("hq"), "seen", "of", "asked", "weight", singles.alias("singles"), halves.alias("halves"))
+
+
+def retrieve(queries: DataFrame, records: DataFrame, alpha: float = ALPHA, top: int | None = None, few: int = FEW) -> DataFrame:
     """(q, d, score, weight): for each query the records that reach alpha of the query's own weight, all of them, or the
     best top, ties by id.
 
     queries: id, terms, seen and state; records: id, terms, factor (as with_factors), since, until and state. A record is
     only met while it is in force: since <= seen <= until, a null until is open; and if the states don't differ. weight is the sum over the query's terms that
     the index has. Queries that share no such record have no row.
+
+    The index is never there as a whole: it is made and read in parts, each of at most few postings or POSTINGS for each
+    record and query, and what is met is scored in parts as well. So the disk holds a bounded multiple of the tables.
     """
     records = records.where("since is not null")
-    possible = (F.col("since") <= F.col("seen")) & (F.col("seen") <= F.coalesce("until", F.lit(2**62))) & F.coalesce(F.col("state") == F.col("of"), F.lit(True))
-    days, span = queries.select(F.col("id").alias("q"), "seen", F.col("state").alias("of")).where("seen is not null"), ["since", "until", "state"]
-    asked = weights(queries, records)
-    by_query, of_state = Window.partitionBy("q"), F.col("term").startswith("state:")
-    asked = asked.withColumn("weight", F.sum("w").over(by_query)).withColumn("most", F.max(F.when(~of_state, F.col("w")).otherwise(0.0)).over(by_query)).withColumn("place", F.sum(F.when(of_state, F.col("w")).otherwise(0.0)).over(by_query))
-    asked = cut(asked.withColumn("common", F.sum("w").over(by_query.orderBy(F.desc(of_state), "w", "term").rowsBetween(Window.unboundedPreceding, Window.currentRow))).join(days, "q"))
-    least = alpha * F.col("weight")
-    postings = records.select(F.col("id").alias("d"), *span, F.explode("terms").alias("term"))
-    lone = asked.where((F.col("place") + F.col("most") >= least) & (F.col("common") >= least)).select("q", "seen", "of", "term").join(postings, "term")
-    rare = asked.where((F.col("place") + F.col("most") < least) & (F.col("common") + F.col("most") >= least)).groupBy("q", "seen", "of").agg(F.collect_list("term").alias("terms"))
-    sought = rare.select("q", "seen", "of", F.explode(_pairs()).alias("pair"))
-    paired = sought.join(records.select(F.col("id").alias("d"), *span, F.explode(_pairs()).alias("pair")), "pair")
-    met = paired.where(possible).select("q", "d").unionByName(lone.where(possible).select("q", "d")).distinct()
-    scored = score(met, asked.drop("seen", "of"), records).where(F.col("score") >= alpha * F.col("weight"))
+    pairs_of = lambda c: F.size(c) * (F.size(c) - 1) / 2
+    asked, sought = cut_counting(asked_of(queries, records, alpha), rows=F.lit(1), singles=F.size("singles"), pairs=pairs_of("halves"))
+    release(records.sparkSession)
+    held = records.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("terms")).alias("singles"), F.sum(pairs_of(_pairable(F.col("terms")))).alias("pairs")).first()
+    rows = held["rows"] + sought["rows"]
+    postings = sum(sought[k] + (held[k] or 0) for k in ("singles", "pairs") if sought[k])
+    # records in the index by what queries seek at all
+    own = [_hashes(F.col("terms")) if sought["singles"] else F.array().cast("array<bigint>"), _hashes(_pairable(F.col("terms"))) if sought["pairs"] else F.array().cast("array<bigint>")]
+    span = [_day(F.col("since")).alias("first"), F.coalesce(_day(F.col("until")), F.lit(2**31 - 1)).alias("last"), F.hash("state").alias("state"), F.col("state").isNull().alias("anywhere")]
+    index = records.select(_few(F.col("id")).alias("hd"), *span, own[0].alias("singles"), own[1].alias("halves"))
+    readers = asked.select("hq", _day(F.col("seen")).alias("day"), F.when(F.col("of").isNotNull(), F.hash("of")).alias("of"), "singles", "halves")
+    possible = (F.col("first") <= F.col("day")) & (F.col("day") <= F.col("last")) & (F.col("anywhere") | F.coalesce(F.col("state") == F.col("of"), F.lit(True)))
+
+    def met(part: int, parts: int) -> DataFrame:
+        keys = F.explode(_keys(F.col("singles"), F.col("halves"), part, parts)).alias("key")
+        x = readers.select("hq", "day", "of", keys)
+        return x.join(index.select("hd", "first", "last", "state", "anywhere", keys).hint("merge"), "key").where(possible).select("hq", "hd").distinct()
+
+    parts = max(1, math.ceil(postings / max(few, POSTINGS * rows)))
+    candidates = cut_in_parts(met(i, parts) for i in range(parts))
+    rounds = max(1, math.ceil(candidates.count() / max(few, CANDIDATES * rows)))
+    chosen = lambda df, i: df.where(F.pmod("hq", F.lit(rounds)) == i)
+    scored = cut_in_parts(score(chosen(candidates, i).distinct(), chosen(asked, i), records).where(F.col("score") >= alpha * F.col("weight")) for i in range(rounds))
+    discard(candidates)
+    discard(asked)
     if top is None:
         return scored
     order = Window.partitionBy("q").orderBy(F.desc("score"), "d")
@@ -263,21 +322,27 @@ def match(identities: DataFrame, register: DataFrame, alpha: float = ALPHA, trai
     record's key each counts.
     """
     q = cut(identity_records(identities).withColumn("terms", terms(True)).withColumn("id", F.col("id").cast("string")))
+    release(q.sparkSession)
     d = register_records(register).where("id is not null").withColumn("terms", terms()).withColumn("reg_key", F.col("id"))
     d = d.withColumn("id", F.concat_ws("|", "reg_key", F.hex(F.xxhash64(*[c for c in d.columns if c != "terms"]))))
-    d = cut(with_factors(d))
+    d = with_factors(cut(d))
+    release(d.sparkSession)
     p = cut(practice(q, d, train_rows))
+    release(d.sparkSession)
     both = q.select("id", "terms", "seen", "state").unionByName(p.select("id", "terms", "seen", "state"))
-    found = cut(retrieve(both, d, alpha))
+    found = retrieve(both, d, alpha)
     made = F.col("q").startswith("practice:")
     own = p.select(F.col("id").alias("q"), "origin", "absent")
     practised = found.where(made).join(own, "q").where(~(F.col("absent") & (F.col("d") == F.col("origin"))))
     practised = compared(practised.select("q", "d", "score", "weight"), alpha).where("place = 1").join(own, "q").withColumn("label", (F.col("d") == F.col("origin")).cast("double"))
     model, _ = fit_confidence(practised)
     pairs = cut(compared(found.where(~made), alpha))
+    discard(found)
+    discard(p)
+    release(d.sparkSession)
     pairs = pairs.withColumn("confidence", F.lit(None).cast("double") if model is None else confidence_of(model))
     pairs = pairs.select("q", "d", "place", "mutual", "confidence")
-    pairs = pairs.join(q.select(F.col("id").alias("q"), F.struct(*PARTS, "seen").alias("x")), "q").join(d.select(F.col("id").alias("d"), "reg_key", F.struct(*PARTS, "since", "until").alias("y")), "d")
+    pairs = pairs.join(q.select(F.col("id").alias("q"), F.struct(*PARTS, "seen").alias("x")).hint("merge"), "q").join(d.select(F.col("id").alias("d"), "reg_key", F.struct(*PARTS, "since", "until").alias("y")).hint("merge"), "d")
     checked = pairs.withColumn("fits", agreement("x", "y")).where("fits > 0")
     best = checked.groupBy("q").agg(F.min_by(F.struct("reg_key", "confidence", "mutual", "fits"), F.struct("place", "reg_key")).alias("m")).select("q", "m.*")
     id_type = identities.schema["identity_id"].dataType

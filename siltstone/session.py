@@ -5,6 +5,7 @@ from __future__ import annotations
 import atexit
 import os
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
@@ -70,6 +71,28 @@ def cut_counting(df: DataFrame, **counts) -> tuple[DataFrame, dict[str, int]]:
     return held, {k: v or 0 for k, v in seen.get.items()}
 
 
+def cut_in_parts(parts: Iterable[DataFrame]) -> DataFrame:
+    """The rows of all parts (at least one) as cut would hold them. Each part is written before the next begins, and the
+    shuffle files it needed go, so the disk holds those of one part only."""
+    path = None
+    for df in parts:
+        if path is None:
+            spark, schema = df.sparkSession, df.schema
+            path = f"{shared_folder(spark)}/{uuid.uuid4().hex}"
+        df.write.mode("append").parquet(path)
+        del df  # what is held here isn't garbage
+        release(spark)
+    held = spark.read.schema(schema).parquet(path)
+    held._held_at = path
+    return held
+
+
+def release(spark: SparkSession) -> None:
+    """Shuffle files and broadcasts of plans that nobody holds stay until the driver happens to collect its garbage;
+    this has it do so now."""
+    spark._jvm.System.gc()
+
+
 def discard(df: DataFrame) -> None:
     """Remove a table made by cut that no later plan reads."""
     if path := getattr(df, "_held_at", None):

@@ -195,6 +195,39 @@ def test_retrieve_equals_brute_force(spark):
     assert len(best) == len({q for q, _ in expected}) and all(r["score"] >= max(s.expected for (q, _), s in expected.items() if q == r["q"]) - 1e-9 for r in best)
 
 
+def test_retrieve_in_parts(spark, monkeypatch):
+    """The index made and what is met scored in many parts give the same as in one; no part leaves its shuffle files."""
+    import time
+
+    from siltstone import session
+
+    rnd, made = random.Random(5), []
+    draw = lambda n: sorted({rnd.choice("abcdefgh") + str(rnd.randrange(5)) for _ in range(n)})
+    docs = [(f"d{i}", draw(7), 10, rnd.choice([None, 60]), rnd.choice(["TX", None])) for i in range(200)]
+    asked = [(f"q{i}", draw(rnd.choice([1, 6])), 20, rnd.choice(["TX", None])) for i in range(60)]
+    queries = spark.createDataFrame(asked, "id string, terms array<string>, seen long, state string")
+    records = matching.with_factors(spark.createDataFrame(docs, "id string, terms array<string>, since long, until long, state string"))
+    whole = {tuple(r) for r in matching.retrieve(queries, records, 0.3).collect()}
+    shuffles = spark.sparkContext._jsc.sc().env().mapOutputTracker().shuffleStatuses
+    session.release(spark)
+    time.sleep(2)
+    before = shuffles().size()
+
+    def counted(parts):
+        made.append(0)
+        for part in parts:
+            made[-1] += 1
+            yield part
+
+    monkeypatch.setattr(matching, "POSTINGS", 0)
+    monkeypatch.setattr(matching, "CANDIDATES", 0)
+    monkeypatch.setattr(matching, "cut_in_parts", lambda parts: session.cut_in_parts(counted(parts)))
+    found = matching.retrieve(queries, records, 0.3, few=1000)
+    time.sleep(2)
+    assert min(made) > 2 and shuffles().size() < before + sum(made)
+    assert len(whole) > 30 and {tuple(r) for r in found.collect()} == whole
+
+
 FAA = "reg_key string, registrant_name string, street string, city string, state_code string, zip_code string, mfr_mdl_code string, year_mfr string, serial_number string, cert_issue_date string, expiration_date string"
 IDENTITY = "identity_id long, raw_value string, place_text string, postal_text string, house_number string, model_text string, year_text string, serial_tail string, seen_on string"
 
