@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from siltstone.functions.text import fold, present
 from siltstone.llm.groups import connected
 from siltstone.llm.metric_join import radius_join
-from siltstone.session import cut
+from siltstone.session import cut, release
 
 RADIUS = 3
 
@@ -220,6 +220,7 @@ def _settled(faces: DataFrame, met: DataFrame) -> DataFrame:
     known = groups.select(F.col("node").alias("b"), F.col("label").alias("known"))
     fits = met.where("level_a = 1 and level_b = 0").join(groups.select(F.col("node").alias("a"), F.col("label").alias("own")), "a").join(known, "b")
     groups = cut(groups.join(one_group(fits).withColumnRenamed("own", "label"), "label", "left").select("node", F.coalesce("joined", "label").alias("label")))
+    release(groups.sparkSession)
     known = groups.select(F.col("node").alias("b"), F.col("label").alias("known"))
     fits = met.where("level_a = 2 and level_b < 2").join(known, "b").select(F.col("a").alias("own"), "known")
     return groups.join(one_group(fits).withColumnRenamed("own", "node"), "node", "left").select("node", F.coalesce("joined", "label").alias("label"))
@@ -245,6 +246,7 @@ def link_registrants(records: DataFrame, key: str, name: str, street: str, city:
     rows = rows.join(parsed_names(rows), "name")
     parts = ["block", "kind", "core", "given", "middle", "generation", "number", "street", "city", "post"]
     rows = cut(rows.withColumn("face", F.xxhash64(*[F.coalesce(F.col(p), F.lit("\0")) for p in parts])))
+    release(rows.sparkSession)
     faces = rows.select("face", *parts).distinct()
     close = radius_join(faces.select("block", F.col("core").alias("s")), RADIUS).select("block", F.col("a").alias("core"), F.col("b").alias("other"))
     equal = faces.select("block", "core", F.col("core").alias("other")).distinct()
@@ -256,6 +258,7 @@ def link_registrants(records: DataFrame, key: str, name: str, street: str, city:
     level = lambda s: F.when(F.col(f"{s}.kind") == "org", 0).when(F.length(f"{s}.given") <= 1, 2).when(F.col(f"{s}.generation") == "?", 1).otherwise(0)
     met = met.select(F.col("x.face").alias("a"), F.col("y.face").alias("b"), level("x").alias("level_a"), level("y").alias("level_b"))
     met = cut(met.unionByName(met.select(F.col("b").alias("a"), F.col("a").alias("b"), F.col("level_b").alias("level_a"), F.col("level_a").alias("level_b"))).distinct())
+    release(rows.sparkSession)
     found = rows.select("key", "name", F.col("face").alias("node")).join(_settled(faces, met), "node")
     return found.select(F.col("label").alias("group_id"), "key", "name").distinct()
 
@@ -322,6 +325,7 @@ def link_models(descriptions: DataFrame, models: DataFrame, radius: int = 2) ->
     short = short.groupBy("said").agg(F.min("family").alias("full"), F.count(F.lit(1)).alias("n")).where("n = 1").select("said", "full")
     said = said.withColumnRenamed("family", "said").join(short, "said", "left").select("name", "block", F.coalesce("full", "said").alias("said"))
     said = cut(said)
+    release(said.sparkSession)
     close = radius_join(said.select("block", F.col("said").alias("s")).unionByName(known.select("block", F.col("family").alias("s"))), radius)
     both = close.unionByName(close.select("block", F.col("b").alias("a"), F.col("a").alias("b"), "distance"))
     same = said.select("block", F.col("said").alias("a"), F.col("said").alias("b"), F.lit(0).alias("distance")).distinct()

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from siltstone.functions.text import fold, is_absent
 from siltstone.llm import groups, matching, mixing, name_variants, packing, text_stats, tokens
-from siltstone.session import table
+from siltstone.session import cut, release, table
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -80,9 +80,14 @@ def p2_registrants(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pairs = name_variants.variant_pairs(registrant_groups(spark, sf_dir))
+    # each half is cut off before the next is planned: one plan of all of it, and what planning leaves, fills the driver
+    groups = cut(registrant_groups(spark, sf_dir))
+    release(spark)
+    pairs = name_variants.variant_pairs(groups)
     models = described_models(spark, sf_dir).where("name <> product_name").select(F.lit("bom_components").alias("table_name"), F.col("bom_id").alias("key_a"), F.col("model").alias("key_b"))
-    return pairs.select(F.lit("faa_master").alias("table_name"), "key_a", "key_b").unionByName(models.distinct())
+    models = cut(models.distinct())
+    release(spark)
+    return pairs.select(F.lit("faa_master").alias("table_name"), "key_a", "key_b").unionByName(models)
 
 
 def p6_matches(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -164,6 +164,12 @@ def test_models(spark, text, model):
     assert [r["model"] for r in got] == ([model] if model else [])
 
 
+def test_pairs_have_a_small_plan(spark, data):
+    """The driver plans the pairs over groups and models that are cut off, not all that led to them several times over."""
+    plan = queries.p2_found(spark, data)._jdf.queryExecution().optimizedPlan().toString()
+    assert 0 < plan.count("Relation [") <= 6
+
+
 # matching
 
 
